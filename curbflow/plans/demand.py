@@ -1,0 +1,19 @@
+"""Binned rides and weather to a regression with residual series."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from curbflow.operators.models import ride_regression, spatial_means
+from curbflow.operators.weather import rides_with_weather
+from curbflow.session import enable_checkpoints
+
+
+def regress_rides(rides: DataFrame, weather: DataFrame, year: int, months: tuple[int, ...]):
+    """Scored rides of some months, with hourly and daily residual series."""
+    enable_checkpoints(rides.sparkSession)
+    chosen = weather.where((F.col("year") == year) & F.col("month").isin(*months))
+    data = rides_with_weather(rides, chosen).checkpoint()
+    scored = ride_regression(data)
+    return scored, spatial_means(scored, "hour"), spatial_means(scored, "day")
