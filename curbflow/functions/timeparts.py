@@ -26,7 +26,9 @@ def weather_clock(text: Column) -> Column:
 
 
 def hours_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(3.6e9)
+    """Hours as a double. The interval is taken on the wall clock, without a zone."""
+    seconds = (end - start).cast("interval second").cast("decimal(18,6)").cast("double")
+    return seconds / F.lit(3600.0)
 
 
 def quarter_hour(ts: Column) -> Column:

@@ -53,16 +53,17 @@ def trips_in(trips: DataFrame, region: str) -> DataFrame:
 def merge_flows(out: DataFrame, into: DataFrame) -> DataFrame:
     """Net flow from two separate count tables: keep both sides, fill with 0."""
     keys = ["region_id", *SLOT_PARTS]
-    same = [out[k].eqNullSafe(into[k]) for k in keys]
+    arrivals = into.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     extra = [c for c in out.columns if c not in (*keys, "trips_out")]
-    filled_out = F.coalesce(out["trips_out"], F.lit(0))
-    filled_in = F.coalesce(into["trips_in"], F.lit(0))
-    return out.join(into, same, "full").select(
-        *[F.coalesce(out[k], into[k]).alias(k) for k in keys],
+    filled_out = F.coalesce("trips_out", F.lit(0))
+    filled_in = F.coalesce("trips_in", F.lit(0))
+    return out.join(arrivals, same, "full").select(
+        *[F.coalesce(k, f"_{k}").alias(k) for k in keys],
         filled_out.alias("trips_out"),
         filled_in.alias("trips_in"),
         (filled_in - filled_out).alias("net_trips_in"),
-        *[out[c] for c in extra],
+        *extra,
     )
 
 

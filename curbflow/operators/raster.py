@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from curbflow.functions.aggregates import Mean
 from curbflow.operators.cleaning import validity
+from curbflow.session import enable_checkpoints
 
 RIDE_KEYS = ("pickup_cell", "year", "month", "weekday", "pickup_day", "pickup_hour")
 
@@ -116,8 +117,10 @@ def kernel_density(
     """Gaussian kernel density at ``points`` positions from ``low`` to ``high``.
 
     Values are counted per narrow bin first, so the kernel runs over bins and
-    not over rows. Each bin meets only the positions its kernel reaches.
+    not over rows. Each bin meets only the positions its kernel reaches. The bin
+    counts are stored, since their total is needed as well.
     """
+    enable_checkpoints(df.sparkSession)
     width = bin_width or bandwidth / 8
     step = (high - low) / (points - 1)
     bins = (
@@ -125,6 +128,7 @@ def kernel_density(
         .where(F.col("bin").isNotNull())
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
+        .checkpoint()
     )
     center = (F.col("bin") + F.lit(0.5)) * F.lit(width)
     reach = F.lit(_KERNEL_REACH * bandwidth)

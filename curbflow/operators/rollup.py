@@ -22,14 +22,26 @@ BOROUGH_CLIP = 320.0
 MONDAY = 2
 
 
-def attach_weather(net: DataFrame, weather: DataFrame) -> DataFrame:
-    """Hourly weather on every net-flow row; rows without a reading are kept."""
-    return net.join(broadcast_if_small(weather), ["year", "month", "day", "hour"], "left")
+def attach_weather(
+    net: DataFrame, weather: DataFrame, *, at_most_hours: int | None = None
+) -> DataFrame:
+    """Hourly weather on every net-flow row; rows without a reading are kept.
+
+    Without a known bound the weather table is counted, so pass a stored one.
+    """
+    side = broadcast_if_small(weather, at_most_rows=at_most_hours)
+    return net.join(side, ["year", "month", "day", "hour"], "left")
 
 
-def attach_codes(net: DataFrame, codes: DataFrame, region: str = "region_id") -> DataFrame:
+def attach_codes(
+    net: DataFrame,
+    codes: DataFrame,
+    region: str = "region_id",
+    *,
+    at_most_regions: int | None = None,
+) -> DataFrame:
     """Area attributes on every row; regions missing from the codes are kept."""
-    return net.join(broadcast_if_small(codes), region, "left")
+    return net.join(broadcast_if_small(codes, at_most_rows=at_most_regions), region, "left")
 
 
 def roll_up(

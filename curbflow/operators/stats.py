@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from curbflow.functions.aggregates import Mean
 from curbflow.operators.cleaning import fare_rate_trips
 from curbflow.operators.joins import broadcast_if_small
+from curbflow.session import enable_checkpoints
 
 
 def fare_rate_pattern(trips: DataFrame, keys: Sequence[str], *, mean: Mean = F.avg) -> DataFrame:
@@ -70,14 +71,16 @@ def exact_quantiles(
         counts.groupBy(*keys, "bucket")
         .agg(F.sum("n").alias("bucket_n"))
         .select(
-            *keys,
-            "bucket",
+            *[F.col(k).alias(f"_{k}") for k in [*keys, "bucket"]],
             F.coalesce(before, F.lit(0)).alias("before"),
             F.sum("bucket_n").over(key_window).alias("total"),
         )
     )
+    # null-safe: keeps an unknown key, and adds no filter that would tell the two
+    # uses of the counts apart, so that they are computed once
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "bucket"]]
     inner = Window.partitionBy(*keys, "bucket").orderBy(value)
-    ranked = counts.join(buckets, [*keys, "bucket"]).withColumn(
+    ranked = counts.join(buckets, same).withColumn(
         "upto", F.col("before") + F.sum("n").over(inner)
     )
 
@@ -108,11 +111,13 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All rows whose key repeats, each with the number of copies.
 
     Copies are counted before the shuffle rather than with a window, which would
-    gather a key's rows in one task. The rows are then found by a join; it is a
-    broadcast while the repeated keys are few, else a shuffled join whose hot
-    partitions are split at run time.
+    gather a key's rows in one task. The repeated keys are stored once and the
+    rows found by a join: a broadcast while the keys are few, else a shuffled
+    join whose hot partitions are split at run time.
     """
-    repeated = repeated_keys(df, keys).withColumnsRenamed({k: f"_{k}" for k in keys})
+    enable_checkpoints(df.sparkSession)
+    renamed = {k: f"_{k}" for k in keys}
+    repeated = repeated_keys(df, keys).withColumnsRenamed(renamed).checkpoint()
     same = [df[k].eqNullSafe(F.col(f"_{k}")) for k in keys]
     return df.join(broadcast_if_small(repeated), same).drop(*[f"_{k}" for k in keys])
 

@@ -22,11 +22,16 @@ class AreaWeeks:
 
 
 def net_with_areas(
-    trips: DataFrame, weather: DataFrame, codes: DataFrame, region: str
+    trips: DataFrame,
+    weather: DataFrame,
+    codes: DataFrame,
+    region: str,
+    *,
+    at_most_regions: int | None = None,
 ) -> DataFrame:
     """Net flow per region and slot, with hourly weather and area codes."""
     net = attach_weather(net_flow(trips, region), weather)
-    return attach_codes(net, codes)
+    return attach_codes(net, codes, at_most_regions=at_most_regions)
 
 
 def area_weeks(

@@ -329,6 +329,7 @@ def _areas_net(spark, sf_dir):
         _stored_hourly(spark, sf_dir),
         standins.tract_codes(spark, sf_dir),
         "tract_id",
+        at_most_regions=standins.N_TRACTS,
     )
 
 
@@ -356,6 +357,7 @@ def rollup_all_levels(spark, sf_dir):
     net = rollup.attach_codes(
         flows.net_flow(standins.tract_trips(spark, sf_dir), "tract_id"),
         standins.tract_codes(spark, sf_dir),
+        at_most_regions=standins.N_TRACTS,
     )
     return rollup.roll_up_levels(net, levels)
 
@@ -396,6 +398,7 @@ def _net_week(spark, sf_dir, areas):
     net = rollup.attach_codes(
         flows.net_flow(standins.tract_trips(spark, sf_dir), "tract_id"),
         standins.tract_codes(spark, sf_dir),
+        at_most_regions=standins.N_TRACTS,
     )
     if areas != ["region_id"]:
         net = rollup.roll_up(net, areas, weather=False)

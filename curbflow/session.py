@@ -14,6 +14,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # HotSpot leaves longer methods uncompiled, which costs far more than
+    # splitting the stage
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

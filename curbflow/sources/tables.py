@@ -53,9 +53,15 @@ def write_regional(
 
 
 def write_both_ends(trips: DataFrame, root: str, *, region: str, **options) -> None:
-    """The table twice: led by pickup region and led by dropoff region."""
-    for end in ("pickup", "dropoff"):
-        write_regional(trips, f"{root}/{end}", end=end, region=region, **options)
+    """The table twice: led by pickup region and led by dropoff region.
+
+    The second copy is made from the first, so that cleaning and the spatial
+    step behind ``trips`` run once.
+    """
+    write_regional(trips, f"{root}/pickup", end="pickup", region=region, **options)
+    stored = trips.sparkSession.read.parquet(f"{root}/pickup")
+    same = stored.select(*[F.col(f.name).cast(f.dataType) for f in trips.schema])
+    write_regional(same, f"{root}/dropoff", end="dropoff", region=region, **options)
 
 
 def read_region(spark: SparkSession, path: str, column: str, region_id: int) -> DataFrame:

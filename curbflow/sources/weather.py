@@ -17,8 +17,17 @@ OBSERVATION_TABLE = "obsTable"
 TIME_CELL, TEMPERATURE_CELL, WIND_CELL, RAIN_CELL = 0, 1, 8, 10
 
 
+def _element(tag: str, attributes: str = "[^>]*") -> str:
+    """Pattern of an element with its content as group 1.
+
+    The content is matched in runs of plain text between tags, without the
+    back-tracking of a lazy ``.*?``.
+    """
+    return rf"(?i)<{tag}\b{attributes}>([^<]*+(?:<(?!/{tag}\b)[^<]*+)*+)</{tag}\b"
+
+
 def _elements(html: Column, tag: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(_element(tag)), F.lit(1))
 
 
 def _text(html: Column) -> Column:
@@ -32,10 +41,9 @@ def readings_from_pages(pages: DataFrame) -> DataFrame:
     date from the address. Numbers keep their sign; cells a short row lacks are
     NULL.
     """
-    table = F.regexp_extract(
-        "html", rf"""(?is)<table\b[^>]*\bid=["']?{OBSERVATION_TABLE}\b[^>]*>(.*?)</table>""", 1
-    )
-    body = F.regexp_extract(F.col("table"), r"(?is)<tbody\b[^>]*>(.*?)</tbody>", 1)
+    named = rf"""[^>]*\bid=["']?{OBSERVATION_TABLE}\b[^>]*"""
+    table = F.regexp_extract("html", _element("table", named), 1)
+    body = F.regexp_extract(F.col("table"), _element("tbody"), 1)
     date = day_in_url(F.col("url"))
 
     def cell(place: int) -> Column:
@@ -44,8 +52,8 @@ def readings_from_pages(pages: DataFrame) -> DataFrame:
     return (
         pages.select(*[part.alias(name) for name, part in date.items()], table.alias("table"))
         .select("year", "month", "day", F.posexplode(_elements(body, "tr")).alias("seq", "row"))
+        .where(F.col("row").rlike(r"(?i)<td\b"))
         .select("year", "month", "day", "seq", _elements(F.col("row"), "td").alias("cells"))
-        .where(F.size("cells") > 0)
         .select(
             "year",
             "month",
