@@ -21,6 +21,9 @@ RIDE_COVARIATES = ("temperature", "precipitation")
 # features the iterative solver is used.
 _MAX_DIRECT_FEATURES = 4096
 
+# Candidate splits of the time of day: one per five minutes.
+_TIME_BINS = 288
+
 
 def _all_known(columns: Sequence[str]):
     known = F.lit(True)
@@ -153,6 +156,7 @@ def trip_time_model(
             weightCol="w",
             maxDepth=depth,
             maxIter=rounds,
+            maxBins=_TIME_BINS,
             seed=7,
         )
     )

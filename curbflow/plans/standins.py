@@ -232,7 +232,7 @@ CROSSINGS = (
     (40.76, -73.99, 40.75, -73.93, "c"),
     (40.80, -73.98, 40.80, -73.90, "d"),
     (40.85, -73.96, 40.84, -73.85, "e"),
-    (40.600, -74.000, 40.601, -74.001, "same cell"),
+    (40.6000, -73.9970, 40.5995, -73.9980, "same cell"),
     (40.60, -74.00, 41.50, -74.00, "off the grid"),
 )
 
