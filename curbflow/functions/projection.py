@@ -56,7 +56,10 @@ class LambertConic:
         lon = F.lit(self.central_meridian) + F.degrees(F.atan2(east, south) / F.lit(cone))
 
         chi = F.lit(math.pi / 2) - F.lit(2.0) * F.atan(t)
-        return lon, F.degrees(_geodetic(chi))
+        # the series leaves some 1e-11 rad; one step of the exact equation removes it
+        bent = F.lit(E1) * F.sin(_geodetic(chi))
+        slip = F.pow((F.lit(1.0) - bent) / (F.lit(1.0) + bent), F.lit(E1 / 2))
+        return lon, F.degrees(F.lit(math.pi / 2) - F.lit(2.0) * F.atan(t * slip))
 
 def _geodetic(chi: Column) -> Column:
     """Geodetic latitude from conformal latitude, series in the eccentricity."""

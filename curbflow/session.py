@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # call sites of column expressions are not recorded: plans are built faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # HotSpot leaves longer methods uncompiled, which costs far more than
     # splitting the stage
     "spark.sql.codegen.hugeMethodLimit": "8000",

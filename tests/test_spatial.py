@@ -183,7 +183,7 @@ def test_projection_inverts_the_forward_formulas(spark, zone, forward):
     df = spark.createDataFrame(data, "true_lon double, true_lat double, x double, y double")
     out = layers.reproject(df, zone)
     off = out.agg(F.max(F.abs(F.col("lon") - F.col("true_lon"))), F.max(F.abs(F.col("lat") - F.col("true_lat")))).first()
-    assert max(off) < 2e-9
+    assert max(off) < 1e-9
 
 
 def test_projection_origin(spark):
