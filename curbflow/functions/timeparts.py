@@ -49,23 +49,47 @@ def clock_part(ts: Column, part: str) -> Column:
     return parts[part](ts)
 
 
-def slot_of_day(ts: Column) -> Column:
-    """15-minute slot number, 0..95."""
-    return F.hour(ts) * SLOTS_PER_HOUR + quarter_hour(ts)
+def slot_index(ts: Column) -> Column:
+    """15-minute slots since 1970-01-01 00:00 on the wall clock.
 
+    One number stands for all calendar parts, so rows are grouped by it and the
+    parts are worked out once per group (``slot_parts``, ``week_slot_parts``).
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = (ts - epoch).cast("interval second").cast("bigint")
+    return F.floor(seconds / F.lit(float(SLOT_MINUTES * 60)))
+
+
+def _in_day(slot: Column) -> dict[str, Column]:
+    of_day = F.pmod(slot, F.lit(SLOTS_PER_DAY))
+    return {
+        "hour": F.floor(of_day / SLOTS_PER_HOUR).cast("int"),
+        "quarter_hour": (of_day % SLOTS_PER_HOUR).cast("int"),
+    }
 
-def slot_parts(date: Column, slot: Column) -> dict[str, Column]:
-    """Calendar parts of a (date, slot of day) pair, computed after aggregation."""
+
+def slot_parts(slot: Column) -> dict[str, Column]:
+    """Calendar parts of a slot index."""
+    date = F.date_from_unix_date(F.floor(slot / SLOTS_PER_DAY).cast("int"))
     return {
         "year": F.year(date),
         "month": F.month(date),
         "day": F.dayofmonth(date),
         "weekday": F.dayofweek(date),
-        "hour": F.floor(slot / SLOTS_PER_HOUR).cast("int"),
-        "quarter_hour": (slot % SLOTS_PER_HOUR).cast("int"),
+        **_in_day(slot),
     }
 
 
+def week_slot(ts: Column) -> Column:
+    """Slot of the week, 0..671, from Sunday 00:00. 1970-01-01 was a Thursday."""
+    return F.pmod(slot_index(ts) + 4 * SLOTS_PER_DAY, F.lit(7 * SLOTS_PER_DAY))
+
+
+def week_slot_parts(slot: Column) -> dict[str, Column]:
+    """Weekday (Sunday = 1), hour and quarter of a week slot."""
+    return {"weekday": (F.floor(slot / SLOTS_PER_DAY) + 1).cast("int"), **_in_day(slot)}
+
+
 def fractional_hour(hour: Column, minute: Column) -> Column:
     return hour + minute / F.lit(60.0)
 

@@ -6,27 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbflow.functions.aggregates import Mean
-from curbflow.functions.timeparts import SLOT_PARTS, clock_part, slot_of_day, slot_parts, wall_clock
+from curbflow.functions.timeparts import (
+    SLOT_PARTS,
+    slot_index,
+    slot_parts,
+    wall_clock,
+    week_slot,
+    week_slot_parts,
+)
 
 NO_REGION = 0
 
 
-def _end(end: str, region: str) -> tuple[Column, Column, Column]:
-    ts = wall_clock(F.col(f"{end}_datetime"))
-    return F.col(f"{end}_{region}"), F.to_date(ts), slot_of_day(ts)
+def _end(end: str, region: str) -> tuple[Column, Column]:
+    return F.col(f"{end}_{region}"), slot_index(wall_clock(F.col(f"{end}_datetime")))
 
 
 def _spread_slot(counts: DataFrame, *columns: str) -> DataFrame:
-    """Replace (service_date, slot) by its calendar parts."""
-    parts = slot_parts(F.col("service_date"), F.col("slot"))
+    """Replace the slot index by its calendar parts."""
+    parts = slot_parts(F.col("slot"))
     return counts.select("region_id", *[parts[p].alias(p) for p in SLOT_PARTS], *columns)
 
 
 def _by_slot(trips: DataFrame, end: str, region: str) -> DataFrame:
-    place, date, slot = _end(end, region)
-    return trips.select(
-        place.alias("region_id"), date.alias("service_date"), slot.alias("slot"), "*"
-    ).where(F.col("region_id") != NO_REGION)
+    place, slot = _end(end, region)
+    return trips.select(place.alias("region_id"), slot.alias("slot"), "*").where(
+        F.col("region_id") != NO_REGION
+    )
 
 
 def trips_out(trips: DataFrame, region: str, mean_rate: Mean | None = None) -> DataFrame:
@@ -34,17 +40,15 @@ def trips_out(trips: DataFrame, region: str, mean_rate: Mean | None = None) -> D
     sums = [F.count(F.lit(1)).alias("trips_out")]
     if mean_rate is not None:
         sums.append(mean_rate(F.col("fare_rev_per_hour")).alias("mean_fare_rev_per_hour"))
-    counts = (
-        _by_slot(trips, "pickup", region).groupBy("region_id", "service_date", "slot").agg(*sums)
-    )
-    return _spread_slot(counts, *counts.columns[3:])
+    counts = _by_slot(trips, "pickup", region).groupBy("region_id", "slot").agg(*sums)
+    return _spread_slot(counts, *counts.columns[2:])
 
 
 def trips_in(trips: DataFrame, region: str) -> DataFrame:
     """Arrivals per region and slot."""
     counts = (
         _by_slot(trips, "dropoff", region)
-        .groupBy("region_id", "service_date", "slot")
+        .groupBy("region_id", "slot")
         .agg(F.count(F.lit(1)).alias("trips_in"))
     )
     return _spread_slot(counts, "trips_in")
@@ -78,19 +82,18 @@ def net_flow(
 
     ``region`` is the column suffix (``pickup_<region>``, ``dropoff_<region>``).
     Each trip is read once and split into its two ends, so one aggregation
-    replaces two counts and a full join. The grouping key is (region, date,
-    slot): a busy region spreads over its slots and is counted before the
-    shuffle. Slots without trips have no row. ``exclude_internal`` leaves out
+    replaces two counts and a full join. The grouping key is (region, slot): a
+    busy region spreads over its slots and is counted before the shuffle. Slots without trips have no row. ``exclude_internal`` leaves out
     trips that start and end in the same region.
     """
-    out_place, out_date, out_slot = _end("pickup", region)
-    in_place, in_date, in_slot = _end("dropoff", region)
-    rate = F.col("fare_rev_per_hour") if mean_rate is not None else F.lit(None).cast("double")
+    out_place, out_slot = _end("pickup", region)
+    in_place, in_slot = _end("dropoff", region)
+    unknown = F.lit(None).cast("double")
+    rate = F.col("fare_rev_per_hour") if mean_rate is not None else unknown
 
-    def leg(place, date, slot, leaving: bool, fare_rate):
+    def leg(place: Column, slot: Column, leaving: bool, fare_rate: Column) -> Column:
         return F.struct(
             place.alias("region_id"),
-            date.alias("service_date"),
             slot.alias("slot"),
             F.lit(leaving).alias("leaving"),
             fare_rate.alias("rate"),
@@ -101,8 +104,8 @@ def net_flow(
     legs = trips.select(
         F.inline(
             F.array(
-                leg(out_place, out_date, out_slot, True, rate),
-                leg(in_place, in_date, in_slot, False, F.lit(None).cast("double")),
+                leg(out_place, out_slot, True, rate),
+                leg(in_place, in_slot, False, unknown),
             )
         )
     ).where(F.col("region_id") != NO_REGION)
@@ -112,7 +115,7 @@ def net_flow(
     ]
     if mean_rate is not None:
         sums.append(mean_rate(F.col("rate")).alias("mean_fare_rev_per_hour"))
-    counts = legs.groupBy("region_id", "service_date", "slot").agg(*sums)
+    counts = legs.groupBy("region_id", "slot").agg(*sums)
     counts = counts.withColumn("net_trips_in", F.col("trips_in") - F.col("trips_out"))
     extra = ["mean_fare_rev_per_hour"] if mean_rate is not None else []
     return _spread_slot(counts, "trips_out", "trips_in", "net_trips_in", *extra)
@@ -120,16 +123,14 @@ def net_flow(
 
 def _week_slot_counts(trips: DataFrame, region: str, clock: str, count: str) -> DataFrame:
     ts = wall_clock(F.col(f"{clock}_datetime"))
-    origin, destination = f"pickup_{region}", f"dropoff_{region}"
-    return (
-        trips.select(
-            origin,
-            destination,
-            *[clock_part(ts, p).alias(p) for p in ("weekday", "hour", "quarter_hour")],
-        )
-        .groupBy(origin, destination, "weekday", "hour", "quarter_hour")
+    ends = [f"pickup_{region}", f"dropoff_{region}"]
+    counts = (
+        trips.select(*ends, week_slot(ts).alias("slot"))
+        .groupBy(*ends, "slot")
         .agg(F.count(F.lit(1)).alias(count))
     )
+    parts = week_slot_parts(F.col("slot"))
+    return counts.select(*ends, *[part.alias(name) for name, part in parts.items()], count)
 
 
 def transfers_out(trips: DataFrame, region: str) -> DataFrame:

@@ -100,12 +100,18 @@ def flow_patterns(
     ).agg(pattern.alias("pattern"), *[mean(F.col(m)).alias(m) for m in measures])
 
 
-def densify(values: DataFrame, domain: DataFrame, key: str, fill: float | None = None) -> DataFrame:
-    """Every id of ``domain``; ids without a value are NULL, or ``fill``."""
-    out = domain.join(values, key, "left")
+def densify(
+    values: DataFrame, domain: DataFrame, keys: Sequence[str], fill: float | None = None
+) -> DataFrame:
+    """Every key of ``domain``; keys without a value are NULL, or ``fill``.
+
+    Aggregate first and densify only the slice that is shown: all regions squared
+    by all slots of a week are billions of rows.
+    """
+    out = domain.join(values, list(keys), "left")
     if fill is None:
         return out
-    return out.fillna(fill, subset=[c for c in values.columns if c != key])
+    return out.fillna(fill, subset=[c for c in values.columns if c not in keys])
 
 
 def id_domain(spark: SparkSession, last: int, key: str = "region_id") -> DataFrame:

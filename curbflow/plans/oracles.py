@@ -609,6 +609,15 @@ def build() -> dict[str, str]:
             WHERE p.r IS NULL OR q.r IS NULL""",
             "fine",
         ),
+        "od_slice_dense": sql(
+            f"""SELECT a.t AS pickup_tract_id, b.t AS dropoff_tract_id, coalesce(n, 0) AS n
+            FROM (SELECT CAST(unnest(range(1, {standins.N_TRACTS + 1})) AS INTEGER) AS t) a
+            CROSS JOIN (SELECT CAST(unnest(range(1, {standins.N_TRACTS + 1})) AS INTEGER) AS t) b
+            LEFT JOIN (SELECT pickup_region, dropoff_region, count(*) AS n FROM tract
+                WHERE dayofweek(pickup_datetime) = 1 AND hour(pickup_datetime) = 8 AND minute(pickup_datetime) < 15
+                GROUP BY ALL) m ON m.pickup_region = a.t AND m.dropoff_region = b.t""",
+            "tract",
+        ),
         "unused_cells": sql(
             "SELECT cell_id FROM cells EXCEPT SELECT cell_id FROM used", "cells", "used"
         ),

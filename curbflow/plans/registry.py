@@ -195,6 +195,19 @@ def region_parity(spark, sf_dir):
     return flows.region_parity(standins.cell_trips(spark, sf_dir), "grid")
 
 
+@query
+def od_slice_dense(spark, sf_dir):
+    """One weekday slot of the matrix with a row for every pair of tracts."""
+    eight = (F.col("weekday") == rollup.MONDAY) & (F.col("hour") == 8) & (F.col("quarter_hour") == 0)
+    matrix = flows.od_matrix(standins.tract_trips(spark, sf_dir), "tract_id").where(eight)
+    counts = matrix.select("pickup_tract_id", "dropoff_tract_id", "n")
+    pairs = rollup.id_domain(spark, standins.N_TRACTS, "pickup_tract_id").select(
+        F.col("pickup_tract_id").cast("int").alias("pickup_tract_id"),
+        F.explode(F.sequence(F.lit(1), F.lit(standins.N_TRACTS))).alias("dropoff_tract_id"),
+    )
+    return rollup.densify(counts, pairs, ["pickup_tract_id", "dropoff_tract_id"], fill=0)
+
+
 @query
 def unused_cells(spark, sf_dir):
     return stats.missing_ids(GRID.cells(spark), _used_cells(spark, sf_dir), "cell_id")
@@ -426,7 +439,7 @@ def dense_tract_totals(spark, sf_dir):
     net = flows.net_flow(standins.tract_trips(spark, sf_dir), "tract_id")
     totals = net.groupBy("region_id").agg(F.sum("net_trips_in").alias("net_trips_in"))
     dense = rollup.densify(
-        totals, rollup.id_domain(spark, standins.N_TRACTS + 6), "region_id", fill=0
+        totals, rollup.id_domain(spark, standins.N_TRACTS + 6), ["region_id"], fill=0
     )
     return dense.withColumn("region_label", padded_id(F.col("region_id")))
 
