@@ -128,14 +128,17 @@ def diffusion(
 
     Each step is one join and one aggregation. The edges and every tenth state
     (all of them with ``keep_all``) are checkpointed to the shared folder, so the
-    plan stays short and a lost executor costs at most ten steps.
+    plan stays short and a lost executor costs at most ten steps. The cells are
+    counted once; while the field is small it is broadcast to the edges.
     """
     enable_checkpoints(field.sparkSession)
     state = field.select("cell_id", F.col("value").cast("double").alias("value")).checkpoint()
     spokes = _spokes(graph, state).checkpoint()
+    n_cells = spokes.select("dst").distinct().count()
     states = [state.withColumn("step", F.lit(0))]
     for step in range(1, steps + 1):
-        state = _step(state, spokes, delta)
+        sized = broadcast_if_small(state, at_most_rows=n_cells, row_bytes=_CELL_BYTES)
+        state = _step(sized, spokes, delta)
         if keep_all or step % checkpoint_every == 0:
             state = state.checkpoint()
         if keep_all:

@@ -310,6 +310,15 @@ PIECES["rides"] = (
         FROM placed WHERE dx BETWEEN 1 AND {_N} AND dy BETWEEN 0 AND {_N - 1} GROUP BY ALL""",
 )
 
+PIECES["coarse_rides"] = (
+    ("coarse", "hourly"),
+    f"""SELECT r.*, w.windspeed FROM (SELECT pickup_region AS pickup_cell, {part('year', 'pickup_datetime')} AS year,
+        {part('month', 'pickup_datetime')} AS month, {part('day', 'pickup_datetime')} AS pickup_day,
+        {part('hour', 'pickup_datetime')} AS pickup_hour, count(*) AS rides
+        FROM coarse WHERE pickup_region <> 0 GROUP BY ALL) r
+        LEFT JOIN hourly w ON w.year = r.year AND w.month = r.month AND w.day = r.pickup_day AND w.hour = r.pickup_hour""",
+)
+
 # graph
 PIECES["grid_edges"] = (
     ("used",),
@@ -779,6 +788,17 @@ def build() -> dict[str, str]:
             "rides",
             "hourly",
         ),
+        "ride_regression_on_hour": sql(
+            """SELECT pickup_cell, pickup_day, pickup_hour, rides,
+            round(avg(rides) OVER (PARTITION BY pickup_hour), 6) AS rides_hat FROM coarse_rides""",
+            "coarse_rides",
+        ),
+        "ride_regression_on_wind": sql(
+            """SELECT pickup_cell, pickup_day, pickup_hour, rides,
+            round(a + b * windspeed, 6) AS rides_hat FROM coarse_rides,
+            (SELECT regr_slope(rides, windspeed) AS b, regr_intercept(rides, windspeed) AS a FROM coarse_rides) f""",
+            "coarse_rides",
+        ),
         "grid_graph": sql("SELECT src, dst FROM grid_edges", "grid_edges"),
         "land_graph": sql("SELECT src, dst FROM land_edges", "land_edges"),
         "bridged_graph": sql("SELECT src, dst FROM roads", "roads"),

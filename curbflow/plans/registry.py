@@ -635,6 +635,26 @@ def ride_regression(spark, sf_dir):
     return models.ride_regression(_coarse_rides(spark, sf_dir))
 
 
+@query
+def ride_regression_on_hour(spark, sf_dir):
+    """With one category the fitted values are its means."""
+    out = models.ride_regression(
+        _coarse_rides(spark, sf_dir), factors=("pickup_hour",), covariates=()
+    )
+    fitted = F.round("rides_hat", 6).alias("rides_hat")
+    return out.select("pickup_cell", "pickup_day", "pickup_hour", "rides", fitted)
+
+
+@query
+def ride_regression_on_wind(spark, sf_dir):
+    """With one covariate the fit is a straight line."""
+    out = models.ride_regression(
+        _coarse_rides(spark, sf_dir), factors=(), covariates=("windspeed",)
+    )
+    fitted = F.round("rides_hat", 6).alias("rides_hat")
+    return out.select("pickup_cell", "pickup_day", "pickup_hour", "rides", fitted)
+
+
 @query
 def regression_residuals_daily(spark, sf_dir):
     return models.spatial_means(models.ride_regression(_coarse_rides(spark, sf_dir)), "day")

@@ -29,6 +29,7 @@ def write_regional(
     region: str,
     partitions: Sequence[str] = MONTH_PARTITIONS,
     region_folders: bool = False,
+    n_groups: int | None = None,
     mode: str = "overwrite",
 ) -> None:
     """Write trips by month, sorted by the region of one end inside each file.
@@ -36,15 +37,17 @@ def write_regional(
     The rebalance hint groups rows by month and region and splits groups that
     are too large for one task, so a hot region becomes several files. Files are
     sorted on the eight keys; Parquet min/max statistics then skip to a region.
-    ``region_folders`` makes the region a folder level instead.
+    ``region_folders`` makes the region a folder level instead. ``n_groups`` is
+    the number of shuffle partitions before splitting, by default the session's.
     """
     other = "dropoff" if end == "pickup" else "pickup"
     folders = [*partitions, f"{end}_{region}"] if region_folders else [*partitions]
     keys = [k for k in sort_keys(end, other, region) if k not in folders]
     order = [F.col(c).asc_nulls_first() for c in (*folders, *keys)]
     groups = list(dict.fromkeys([*partitions, f"{end}_{region}"]))
+    target = groups if n_groups is None else [n_groups, *groups]
     (
-        trips.hint("rebalance", *groups)
+        trips.hint("rebalance", *target)
         .sortWithinPartitions(*order)
         .write.mode(mode)
         .partitionBy(*folders)

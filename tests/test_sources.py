@@ -157,7 +157,7 @@ def test_regional_layout_round_trip(spark, folder):
 
 
 def test_files_are_sorted_by_region(spark, folder):
-    tables.write_regional(tagged(spark), folder, end="pickup", region="tract_id")
+    tables.write_regional(tagged(spark), folder, end="pickup", region="tract_id", n_groups=3)
     rows = (
         spark.read.parquet(folder)
         .select("pickup_tract_id", "_metadata.file_path", F.monotonically_increasing_id().alias("i"))
