@@ -6,20 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbflow.llm import personal_data, quality_rules
+from curbflow.llm import chunked_bpe, personal_data, quality_rules
 from curbflow.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary that the test environment installs."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.span_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op6_chunked_bpe": op6_chunked_bpe,
     "op8_pii": op8_pii,
 }
 
