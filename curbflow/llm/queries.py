@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbflow.llm import chunked_bpe, personal_data, quality_rules
+from curbflow.llm import chunked_bpe, decontamination, oracles, personal_data, quality_rules, revisits
 from curbflow.llm.common import table
 
 
@@ -21,6 +21,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -31,8 +39,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_revisits": op4_revisits,
+    "op5_decontamination": op5_decontamination,
     "op6_chunked_bpe": op6_chunked_bpe,
     "op8_pii": op8_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_revisits": oracles.OP4,
+    "op5_decontamination": oracles.OP5,
+}
