@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbflow.llm import chunked_bpe, decontamination, oracles, personal_data, quality_rules, revisits
+from curbflow.llm import chunked_bpe, decontamination, oracles, personal_data, quality_rules, revisits, simhash
 from curbflow.llm.common import table
 
 
@@ -37,12 +37,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.span_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_revisits": op4_revisits,
     "op5_decontamination": op5_decontamination,
     "op6_chunked_bpe": op6_chunked_bpe,
     "op8_pii": op8_pii,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {
