@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbflow.llm import chunked_bpe, decontamination, oracles, personal_data, quality_rules, revisits, simhash
+from curbflow.llm import chunked_bpe, decontamination, matching, oracles, personal_data, quality_rules, revisits, simhash
 from curbflow.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_revisits": op4_revisits,
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chunked_bpe": op6_chunked_bpe,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
+    "op10_matching": op10_matching,
 }
 
 ORACLES: dict[str, str] = {
