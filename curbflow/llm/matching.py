@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from curbflow.llm.common import map_rows, ship, written
 
-ORDER = 3
+ORDER = 4
 FOLDS, HELD_FOLD = 7, 2
 BLOCK_BYTES = 12 << 20
 START, END = 256, 257  # before the first byte (never predicted), after the last
