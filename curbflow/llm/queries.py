@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbflow.llm import chunked_bpe, decontamination, matching, oracles, personal_data, quality_rules, revisits, simhash
+from curbflow.llm import chunked_bpe, decontamination, matching, oracles, personal_data, quality_rules, repeats, revisits, simhash
 from curbflow.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.span_digest(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_revisits": op4_revisits,
     "op5_decontamination": op5_decontamination,
     "op6_chunked_bpe": op6_chunked_bpe,
+    "op7_repeats": op7_repeats,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_matching": op10_matching,
