@@ -140,3 +140,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_b
         F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` without any window, unchanged. Contaminated texts are few or
+    many; the join on their keys is left to the adaptive plan."""
+    hits, _ = occurrences(docs, items, size, block_bytes)
+    gone = written(hits.select("k1", "k2").distinct(), "contaminated")
+    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), *text_key())
+    return rows.join(gone, ["k1", "k2"], "left_anti").select("row.*")

@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbflow.llm import chunked_bpe, decontamination, matching, oracles, personal_data, quality_rules, repeats, revisits, simhash
+from curbflow.llm import chunked_bpe, decontamination, kneser_ney, licenses, matching, oracles, personal_data, quality_rules, repeats, revisits, simhash
 from curbflow.llm.common import table
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return verdicts.drop("k1", "k2")
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The public vocabulary that the test environment installs."""
     import public_tokenizers
@@ -50,7 +59,9 @@ def op10_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kneser_ney": op1_kneser_ney,
     "op2_quality_rules": op2_quality_rules,
+    "op3_licenses": op3_licenses,
     "op4_revisits": op4_revisits,
     "op5_decontamination": op5_decontamination,
     "op6_chunked_bpe": op6_chunked_bpe,
