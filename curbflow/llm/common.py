@@ -47,9 +47,16 @@ def words_of(text: str) -> list[str]:
     return text.split() if _ODD_SPACE(text) is None else _WORDS(text)
 
 
+ARROW_ROWS = 2000  # rows in a batch between Spark and Python; texts are long
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once per application."""
+    """Send this package to the executors' Python, once per application, and keep the
+    batches that go there small."""
     context = spark.sparkContext
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(batch)) > ARROW_ROWS:
+        spark.conf.set(batch, ARROW_ROWS)
     package = Path(__file__).resolve().parents[1]
     if any(f.endswith(f"/{package.name}.zip") for f in context.listFiles):
         return

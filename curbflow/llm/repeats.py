@@ -299,7 +299,7 @@ def _window_covers(rows: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(texts: Texts, length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """``k1, k2, spans``: bytes of each distinct text that another place repeats (another
-    text, or the same). Spans are sorted and apart from each other."""
+    text, or the same), as packed spans that may overlap, see ``joined_spans``."""
     counts = _counted(texts.rows(), length, gram).groupBy("h").agg(F.sum("n").alias("n"))
     again = written(counts.where("n > 1").select("h"), "anchors")
     bitmap = sieve(again, "h")
@@ -341,18 +341,20 @@ def repeated_spans(texts: Texts, length: int = LENGTH, gram: int = GRAM, group_l
     covers = covers.unionAll(twice.select("c1", "c2", F.array(whole)))
     covers = covers.groupBy("c1", "c2").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # two rows at most
     hit = placed.select("c1", "c2", "k1", "k2", "places").join(covers, ["c1", "c2"])
+    # a span is one number, start and end
     per_place = F.flatten(
-        F.transform("places", lambda p: F.transform("spans", lambda s: F.struct((p + s["a"]).alias("a"), (p + s["b"]).alias("b"))))
+        F.transform("places", lambda p: F.transform("spans", lambda s: (p + s["a"]).cast("long") * (1 << 32) + p + s["b"]))
     )
     # a text's spans meet in one row, no more of them than its bytes
-    spans = hit.groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list(per_place))).alias("raw"))
+    return hit.groupBy("k1", "k2").agg(F.flatten(F.collect_list(per_place)).alias("spans"))
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            merged = [_merged([(s["a"], s["b"]) for s in row]) for row in b.column(2).to_pylist()]
-            yield {"k1": b.column(0), "k2": b.column(1), "spans": [[{"a": x, "b": y} for x, y in m] for m in merged]}
 
-    return map_rows(spans, merge, "k1 bigint, k2 bigint, spans array<struct<a:int,b:int>>", batch=500)
+def joined_spans(packed: np.ndarray) -> np.ndarray:
+    """Packed spans as sorted rows (start, end) that lie apart."""
+    packed = np.unique(packed)
+    start, end = packed >> 32, np.maximum.accumulate(packed & 0xFFFFFFFF)
+    new = np.concatenate([[True], start[1:] > end[:-1]])
+    return np.stack([start[new], end[np.append(new[1:], True)]], axis=1)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -362,16 +364,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            removed, digests = [], []
-            for text, own in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            removed, runs, digests = [], [], []
+            for text, packed in zip(b.column(2).to_pylist(), b.column(3)):
                 raw, at, kept = _raw(text), 0, hashlib.sha256()
-                for s in own:
-                    kept.update(raw[at : s["a"]])
-                    at = s["b"]
+                own = joined_spans(packed.values.to_numpy())
+                for x, y in own.tolist():
+                    kept.update(raw[at:x])
+                    at = y
                 kept.update(raw[at:])
-                removed.append(sum(s["b"] - s["a"] for s in own))
+                removed.append(int((own[:, 1] - own[:, 0]).sum()))
+                runs.append(len(own))
                 digests.append(kept.hexdigest())
-            runs = [len(own) for own in b.column(3).to_pylist()]
             yield {"k1": b.column(0), "k2": b.column(1), "gone": removed, "runs": runs, "rest": digests}
 
     cuts = map_rows(
