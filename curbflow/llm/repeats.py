@@ -194,12 +194,11 @@ def _common(a: bytes, b: bytes) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def prefix_intervals(keys: list[bytes], members: list[int], least: int) -> list[tuple[int, list[int], list[int]]]:
+def prefix_intervals(keys: list[bytes], members: list[int], least: int) -> Iterator[tuple[int, list[int], list[int]]]:
     """Intervals of the sorted members that share ``least`` bytes or more, as (shared,
     members, number of the child each member is in), found by one scan with a stack."""
     order = sorted(members, key=keys.__getitem__)
     shared = [_common(keys[a], keys[b]) for a, b in zip(order, order[1:])]
-    out = []
     stack: list[list[int]] = []  # [shared, first position, borders between children ...]
     for i, s in enumerate([*shared, -1]):
         first = i
@@ -212,38 +211,25 @@ def prefix_intervals(keys: list[bytes], members: list[int], least: int) -> list[
                     child[at + 1 - first] = 1
                 for j in range(1, len(child)):
                     child[j] += child[j - 1]
-                out.append((value, part, child))
+                yield value, part, child
         if s < 0:
             break
         if stack and stack[-1][0] == s:
             stack[-1].append(i)
         else:
             stack.append([s, first, i])
-    return out
 
 
-def maximal_repeats(left: list[bytes], right: list[bytes], length: int) -> list[tuple[int, int, list[int]]]:
+def maximal_repeats(left: list[bytes], right: list[bytes], length: int) -> Iterator[tuple[int, int, list[int]]]:
     """(bytes before the anchor, bytes from it on, members) of every maximal repeat of at
     least ``length`` bytes. ``left`` holds the bytes before the anchor in reverse."""
-    out = []
     reach = max(map(len, left))
     for ahead, part, child in prefix_intervals(right, list(range(len(right))), length - reach):
         side = dict(zip(part, child))
         for behind, group, _ in prefix_intervals(left, part, length - ahead):
             # diverse on the left by being an interval; on the right if it spans children
             if len({side[m] for m in group}) > 1:
-                out.append((behind, ahead, group))
-    return out
-
-
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+                yield behind, ahead, group
 
 
 _CONTEXT = "h bigint, c1 bigint, c2 bigint, before binary, after binary"
@@ -254,11 +240,14 @@ def _covers(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[dict]:
     """Spans around the anchor that a context shares with others; rows come sorted by ``h``."""
 
     def solve(rows: list[tuple]) -> list[tuple]:
-        spans: dict[int, list] = {}
+        behinds, aheads = [0] * len(rows), [0] * len(rows)
+        # all spans of a context hold its anchor, so their union is one span
         for behind, ahead, group in maximal_repeats([r[3] for r in rows], [r[4] for r in rows], length):
             for m in group:
-                spans.setdefault(m, []).append((-behind, ahead))
-        return [(rows[m][1], rows[m][2], [{"a": a, "b": b} for a, b in _merged(s)]) for m, s in spans.items()]
+                behinds[m] = max(behinds[m], behind)
+                aheads[m] = max(aheads[m], ahead)
+        spans = zip(rows, behinds, aheads)
+        return [(r[1], r[2], [{"a": -x, "b": y}]) for r, x, y in spans if y]
 
     def columns(out: list[tuple]) -> dict:
         return dict(zip(("c1", "c2", "spans"), map(list, zip(*out)))) if out else {"c1": [], "c2": [], "spans": []}
