@@ -73,6 +73,19 @@ class WordEncoder:
                 known[w] = (" ".join(map(str, ids[a:b])), " ".join(tokens[a:b]))
         return [known[w] for w in words]
 
+    def packed(self, words: list[str]) -> tuple[bytes, bytes]:
+        """Ids of the words and how many each has, as numbers of four bytes."""
+        ids = [p[0].split() for p in self.pairs(words)]
+        flat = np.array([int(i) for own in ids for i in own], "<u4")
+        return flat.tobytes(), np.array([len(own) for own in ids], "<u4").tobytes()
+
+    def unpacked(self, ids: bytes, counts: bytes) -> list[tuple[str, str]]:
+        flat = np.frombuffer(ids, "<u4").tolist()
+        ends = np.cumsum(np.frombuffer(counts, "<u4")).tolist()
+        token = self.tokenizer.id_to_token
+        parts = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        return [(" ".join(map(str, own)), " ".join(map(token, own))) for own in parts]
+
 
 def encoder(path: str) -> WordEncoder:
     """One per Python worker: its memory serves all tasks of the worker."""
@@ -103,9 +116,10 @@ def cuts(text: str, mask_bits: int = 10) -> list[int]:
     return [*at[at < len(text)].tolist(), len(text)]
 
 
-def chunk_name(chunk: str) -> int:
-    """64 bits of a chunk's SHA-256, signed; equal names are compared as text later."""
-    return int.from_bytes(hashlib.sha256(chunk.encode("utf-8", "surrogatepass")).digest()[:8], "little", signed=True)
+def chunk_name(chunk: str) -> tuple[int, int]:
+    """128 bits of a chunk's SHA-256, as two signed numbers."""
+    digest = hashlib.sha256(chunk.encode("utf-8", "surrogatepass")).digest()
+    return tuple(int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
 
 
 def inner(chunk: str, first: bool, last: bool) -> tuple[int, int]:
@@ -185,15 +199,15 @@ def _chunks(text: str, mask_bits: int) -> list[str]:
 
 
 def shared_chunks(texts: DataFrame, mask_bits: int) -> DataFrame:
-    """``name`` of every chunk that stands in more than one place."""
+    """``n1, n2``: names of the chunks that stand in more than one place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             names = [chunk_name(c) for t in b.column(0).to_pylist() if t for c in _chunks(t, mask_bits)]
-            yield {"name": names}
+            yield {"n1": [n[0] for n in names], "n2": [n[1] for n in names]}
 
-    names = map_rows(texts.select("text"), run, "name bigint", batch=500)
-    return names.groupBy("name").count().where("count > 1").select("name")
+    names = map_rows(texts.select("text"), run, "n1 bigint, n2 bigint", batch=500)
+    return names.groupBy("n1", "n2").count().where("count > 1").select("n1", "n2")
 
 
 def encode_documents(docs: DataFrame, path: str, mask_bits: int = 10) -> DataFrame:
@@ -201,30 +215,30 @@ def encode_documents(docs: DataFrame, path: str, mask_bits: int = 10) -> DataFra
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     shared = written(shared_chunks(texts, mask_bits), "shared-chunks")
-    bitmap = sieve(shared, "name")
+    bitmap = sieve(shared, "n1")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         """Finished documents, and of the others every chunk: its words' tokens where
         it is certainly not shared, else its name and text."""
         enc, bits = encoder(path), bitmap.value
-        columns = ("doc_id", "row", "n_tokens", "ids_sha256", "decoded_sha256", "seq", "name", "chunk")
+        columns = ("doc_id", "row", "n_tokens", "ids_sha256", "decoded_sha256", "seq", "n1", "n2", "chunk")
         for b in batches:
             out: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 chunks = _chunks(text, mask_bits)
                 names = np.array([chunk_name(c) for c in chunks], dtype=np.int64)
-                maybe = in_sieve(bits, names)
+                maybe = in_sieve(bits, np.ascontiguousarray(names[:, 0]))
                 if not maybe.any():
                     own = [encode_inner(c, enc)[1] for c in chunks]
-                    out.append((doc_id, None, *digests(assemble(chunks, own, enc)), None, None, None))
+                    out.append((doc_id, None, *digests(assemble(chunks, own, enc)), None, None, None, None))
                     continue
                 row = hashlib.sha256(f"{doc_id}\0{text}".encode("utf-8", "surrogatepass")).digest()[:16]
                 for i, (c, name, m) in enumerate(zip(chunks, names.tolist(), maybe.tolist())):
-                    out.append((doc_id, row, None, None, None, i, name if m else None, c))
+                    out.append((doc_id, row, None, None, None, i, *(name if m else (None, None)), c))
             yield dict(zip(columns, map(list, zip(*out)))) if out else {c: [] for c in columns}
 
     pieces = written(
-        map_rows(texts, scan, f"doc_id bigint, row binary, {_DONE}, seq int, name bigint, chunk string", batch=500),
+        map_rows(texts, scan, f"doc_id bigint, row binary, {_DONE}, seq int, n1 bigint, n2 bigint, chunk string", batch=500),
         "chunks",
     )
     done = pieces.where("row is null").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -235,25 +249,28 @@ def encode_documents(docs: DataFrame, path: str, mask_bits: int = 10) -> DataFra
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         enc = encoder(path)
         for b in batches:
-            own = [encode_inner(c, enc)[1] for c in b.column(1).to_pylist()]
-            yield {
-                "name": b.column(0),
-                "chunk": b.column(1),
-                "ids": [[p[0] for p in pairs] for pairs in own],
-                "tokens": [[p[1] for p in pairs] for pairs in own],
-            }
-
-    # each shared chunk is encoded once: equal texts meet after a partial aggregation
+            chunks = b.column(2).to_pylist()
+            own = [enc.packed(_WORD.findall(c[slice(*inner(c, False, False))])) for c in chunks]
+            ids, counts = map(list, zip(*own)) if own else ([], [])
+            yield {"n1": b.column(0), "n2": b.column(1), "text": b.column(2), "ids": ids, "counts": counts}
+
+    # each shared chunk is encoded once: equal chunks meet after a partial aggregation
+    named = waiting.where("n1 is not null")
     encoded = map_rows(
-        waiting.where("name is not null").groupBy("name", "chunk").agg(F.lit(1)).select("name", "chunk"),
+        named.groupBy("n1", "n2").agg(F.first("chunk").alias("chunk")).select("n1", "n2", "chunk"),
         encode,
-        "name bigint, chunk string, ids array<string>, tokens array<string>",
+        "n1 bigint, n2 bigint, text string, ids binary, counts binary",
         batch=500,
     )
-    parts = waiting.select("row", "seq", "name", "chunk").distinct()
-    parts = parts.join(encoded, ["name", "chunk"], "left").select("row", "seq", "chunk", "ids", "tokens")
-    # a document's parts meet in one row; that is no more than the document itself
-    whole = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("seq", "chunk", "ids", "tokens"))).alias("parts"))
+    # its places travel as names until they meet the tokens
+    found = named.select("row", "seq", "n1", "n2").join(encoded, ["n1", "n2"])
+    found = found.select("row", "seq", F.col("text").alias("chunk"), "ids", "counts")
+    none = F.lit(None).cast("binary")
+    own = waiting.where("n1 is null").select("row", "seq", "chunk", none.alias("ids"), none.alias("counts"))
+    # a document's parts meet in one row, repeated rows as a set: no more than the document
+    whole = found.unionAll(own).groupBy("row").agg(
+        F.sort_array(F.collect_set(F.struct("seq", "chunk", "ids", "counts"))).alias("parts")
+    )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         enc = encoder(path)
@@ -262,7 +279,7 @@ def encode_documents(docs: DataFrame, path: str, mask_bits: int = 10) -> DataFra
             for parts in b.column(1).to_pylist():
                 chunks = [p["chunk"] for p in parts]
                 own = [
-                    encode_inner(p["chunk"], enc)[1] if p["ids"] is None else list(zip(p["ids"], p["tokens"]))
+                    encode_inner(p["chunk"], enc)[1] if p["ids"] is None else enc.unpacked(p["ids"], p["counts"])
                     for p in parts
                 ]
                 out.append(digests(assemble(chunks, own, enc)))
