@@ -38,7 +38,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` stored in the shared folder and read back: lineage ends here, and a
     lost executor costs no recomputation of what came before."""
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
