@@ -32,12 +32,12 @@ def file_name(path: Column) -> Column:
 
 
 def file_year(path: Column) -> Column:
-    """Year in a name that ends in ``yyyy-MM.csv``."""
-    return F.regexp_extract(path, r"(\d{4})-(\d{2})\.csv$", 1).try_cast("int")
+    """Year in a name that ends in ``yyyy-MM.csv`` or ``yyyy-MM.csv.gz``."""
+    return F.regexp_extract(path, r"(\d{4})-(\d{2})\.csv(?:\.gz)?$", 1).try_cast("int")
 
 
 def file_month(path: Column) -> Column:
-    return F.regexp_extract(path, r"(\d{4})-(\d{2})\.csv$", 2).try_cast("int")
+    return F.regexp_extract(path, r"(\d{4})-(\d{2})\.csv(?:\.gz)?$", 2).try_cast("int")
 
 
 def region_in_path(path: Column, leaf: str = "net") -> Column:

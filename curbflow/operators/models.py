@@ -21,8 +21,8 @@ RIDE_COVARIATES = ("temperature", "precipitation")
 # features the iterative solver is used.
 _MAX_DIRECT_FEATURES = 4096
 
-# Candidate splits of the time of day: one per five minutes.
-_TIME_BINS = 288
+# Candidate splits of the time of day: one per five minutes by default.
+TIME_BINS = 288
 
 
 def _all_known(columns: Sequence[str]):
@@ -48,13 +48,17 @@ def ride_regression(
     """
     inputs = [label, *factors, *covariates]
     complete = rides.where(_all_known(inputs))
-    levels = complete.agg(
-        *[F.approx_count_distinct(f).alias(f) for f in factors],
-        *[(F.max(c) > F.min(c)).alias(c) for c in covariates],
-    ).first()
-    used_factors = [f for f in factors if levels[f] > 1]
-    used_covariates = [c for c in covariates if levels[c]]
-    width = n_features or sum(levels[f] for f in used_factors) + len(used_covariates)
+    varies = complete.agg(*[(F.max(c) > F.min(c)).alias(c) for c in (*factors, *covariates)]).first()
+    used_factors = [f for f in factors if varies[f]]
+    used_covariates = [c for c in covariates if varies[c]]
+    if not used_factors and not used_covariates:  # the mean is all there is to fit
+        whole = complete.agg(F.avg(label).alias(f"{label}_hat"))
+        known = F.when(_all_known(inputs), F.col(f"{label}_hat"))
+        fitted = rides.join(F.broadcast(whole)).withColumn(f"{label}_hat", known)
+        return fitted.withColumn(f"{label}_resid", F.col(label) - F.col(f"{label}_hat"))
+    if n_features is None:
+        levels = [complete.select(f).distinct().count() for f in used_factors]
+        n_features = sum(levels) + len(used_covariates)
     named = {f: f"{f}_level" for f in used_factors}
     formula = RFormula(
         formula=f"{label} ~ " + " + ".join([*named.values(), *used_covariates]),
@@ -62,13 +66,14 @@ def ride_regression(
         featuresCol="_features",
         labelCol="_label",
     )
-    # levels seen in `complete` may be more than the estimate, hence the margin
-    direct = width * 1.2 < _MAX_DIRECT_FEATURES
+    direct = n_features < _MAX_DIRECT_FEATURES
     fit = LinearRegression(
         featuresCol="_features",
         labelCol="_label",
         predictionCol=f"{label}_hat",
         solver="normal" if direct else "l-bfgs",
+        maxIter=1000,
+        tol=1e-10,
     )
     coded = complete.withColumns({name: F.col(f).cast("string") for f, name in named.items()})
     model = Pipeline(stages=[formula, fit]).fit(coded)
@@ -122,7 +127,7 @@ def time_of_day(trips: DataFrame) -> DataFrame:
 
 
 def trip_time_model(
-    trips: DataFrame, *, with_weekday: bool = True, depth: int = 4, rounds: int = 10
+    trips: DataFrame, *, with_weekday: bool = True, depth: int = 4, rounds: int = 10, time_bins: int = TIME_BINS
 ) -> PipelineModel:
     """Regression of trip time on pickup time of day, and weekday if asked.
 
@@ -134,13 +139,13 @@ def trip_time_model(
         trips.where(_all_known([*keys, "trip_time"]))
         .groupBy(*keys)
         .agg(F.avg("trip_time").alias("trip_time"), F.count(F.lit(1)).cast("double").alias("w"))
-        .withColumns({"pickup_weekday": F.col("pickup_weekday").cast("string")} if with_weekday else {})
+        .withColumns({"_weekday_text": F.col("pickup_weekday").cast("string")} if with_weekday else {})
     )
     stages, features = [], ["pickup_time"]
     if with_weekday:
         stages.append(
             StringIndexer(
-                inputCol="pickup_weekday",
+                inputCol="_weekday_text",
                 outputCol="_weekday",
                 stringOrderType="alphabetAsc",
                 handleInvalid="keep",
@@ -156,7 +161,7 @@ def trip_time_model(
             weightCol="w",
             maxDepth=depth,
             maxIter=rounds,
-            maxBins=_TIME_BINS,
+            maxBins=time_bins,
             seed=7,
         )
     )
@@ -164,9 +169,10 @@ def trip_time_model(
 
 
 def with_trip_time_hat(trips: DataFrame, model: PipelineModel) -> DataFrame:
-    """Append the model's estimate to every trip that has the inputs."""
-    known = trips.where(F.col("pickup_time").isNotNull())
-    coded = known
+    """Append the model's estimate to every trip; NULL without a pickup time."""
+    coded = trips.where(F.col("pickup_time").isNotNull())
     if "pickup_weekday" in trips.columns:
-        coded = known.withColumn("pickup_weekday", F.col("pickup_weekday").cast("string"))
-    return model.transform(coded).drop("_weekday", "_features")
+        coded = coded.withColumn("_weekday_text", F.col("pickup_weekday").cast("string"))
+    scored = model.transform(coded).select(*trips.columns, "trip_time_hat")
+    unknown = trips.where(F.col("pickup_time").isNull()).withColumn("trip_time_hat", F.lit(None).cast("double"))
+    return scored.unionByName(unknown)

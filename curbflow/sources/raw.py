@@ -119,9 +119,11 @@ def rejected_lines(lines: DataFrame, n: int, line: str = "value") -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, header: Sequence[str], line: str = "value") -> DataFrame:
-    """Split CSV lines into text columns named by ``header``; header lines go."""
+    """Split CSV lines into text columns named by ``header``; header lines go,
+    with or without blanks around their names."""
     schema = ", ".join(f"`{name}` string" for name in header)
-    body = lines.where(F.col(line) != ",".join(header))
+    names = F.array_join(F.transform(F.split(line, ","), lambda name: F.trim(name)), ",")
+    body = lines.where(names != ",".join(name.strip() for name in header))
     return body.select(F.from_csv(line, schema, {"mode": "PERMISSIVE"}).alias("row")).select("row.*")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbflow.functions.text import region_in_path
+from curbflow.session import shared_dir
 
 MONTH_PARTITIONS = ("pickup_year", "pickup_month")
 
@@ -39,6 +41,8 @@ def write_regional(
     sorted on the eight keys; Parquet min/max statistics then skip to a region.
     ``region_folders`` makes the region a folder level instead. ``n_groups`` is
     the number of shuffle partitions before splitting, by default the session's.
+    ``overwrite`` replaces the folders that ``trips`` has rows for and leaves the
+    others, so a month may be written again.
     """
     other = "dropoff" if end == "pickup" else "pickup"
     folders = [*partitions, f"{end}_{region}"] if region_folders else [*partitions]
@@ -50,6 +54,7 @@ def write_regional(
         trips.hint("rebalance", *target)
         .sortWithinPartitions(*order)
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*folders)
         .parquet(path)
     )
@@ -58,13 +63,16 @@ def write_regional(
 def write_both_ends(trips: DataFrame, root: str, *, region: str, **options) -> None:
     """The table twice: led by pickup region and led by dropoff region.
 
-    The second copy is made from the first, so that cleaning and the spatial
-    step behind ``trips`` run once.
+    Both copies are made from one stored set of rows, so that cleaning and the
+    spatial step behind ``trips`` run once. Months already in the tree stay, and
+    a month that is written again is replaced in both copies.
     """
-    write_regional(trips, f"{root}/pickup", end="pickup", region=region, **options)
-    stored = trips.sparkSession.read.parquet(f"{root}/pickup")
-    same = stored.select(*[F.col(f.name).cast(f.dataType) for f in trips.schema])
-    write_regional(same, f"{root}/dropoff", end="dropoff", region=region, **options)
+    spark = trips.sparkSession
+    staged = f"{shared_dir(spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
+    trips.write.parquet(staged)
+    rows = spark.read.schema(trips.schema).parquet(staged)
+    for end in ("pickup", "dropoff"):
+        write_regional(rows, f"{root}/{end}", end=end, region=region, **options)
 
 
 def read_region(spark: SparkSession, path: str, column: str, region_id: int) -> DataFrame:

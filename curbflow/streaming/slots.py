@@ -9,11 +9,13 @@ from curbflow.functions.timeparts import SLOT_MINUTES, SLOT_PARTS, clock_part
 from curbflow.operators.flows import NO_REGION
 
 
-def stream_net_flow(trips: DataFrame, region: str, *, lateness: str = "3 hours") -> DataFrame:
+def stream_net_flow(trips: DataFrame, region: str, *, lateness: str) -> DataFrame:
     """Net flow per region and slot, emitted once a slot can no longer change.
 
     Both ends of a trip are events of their own time. ``lateness`` must cover the
-    longest trip, since a pickup is only known once the trip has been recorded.
+    longest trip, since a pickup is only known once the trip has been recorded: the
+    pickup of a longer trip is discarded, and its dropoff still counts. Spark reports
+    the discarded rows as ``numRowsDroppedByWatermark`` in the query's progress.
     Works on a batch DataFrame too, where the watermark has no effect.
     """
 

@@ -201,3 +201,20 @@ def test_tables_keys_and_sql(spark, folder):
     tables.save(df, f"{folder}/out", fmt="csv")
     assert spark.read.option("header", True).csv(f"{folder}/out").columns == df.columns
     assert {r["column"]: r["type"] for r in tables.describe(df).collect()}["weekday"] == "int"
+
+
+def test_monthly_runs_replace_their_month_only(spark, folder):
+    """Three months in three calls, one of them twice: no month doubles or goes."""
+    df = tagged(spark).cache()
+    months = [r[0] for r in df.select("pickup_month").distinct().collect()]
+    for month in [*months, months[0]]:
+        tables.write_both_ends(df.where(F.col("pickup_month") == month), folder, region="tract_id")
+    for end in ("pickup", "dropoff"):
+        back = spark.read.parquet(f"{folder}/{end}").select(*df.columns)
+        assert back.exceptAll(df).count() == 0 and df.exceptAll(back).count() == 0
+
+
+def test_header_with_blanks_is_not_a_row(spark):
+    lines = spark.createDataFrame([("a, b ,c",), ("1,2,3",), ("x,y,z",)], "value string")
+    rows = raw.parse_lines(lines, ("a", "b", "c"))
+    assert sorted(r["a"] for r in rows.collect()) == ["1", "x"]

@@ -74,5 +74,5 @@ def test_stream_slots_equal_batch_slots(spark, folder):
 def test_slots_work_on_a_batch(spark):
     df = spark.createDataFrame(rows(datetime(2015, 1, 5), 60), SCHEMA)
     columns = ["region_id", *SLOT_PARTS, "trips_out", "trips_in", "net_trips_in"]
-    one, two = stream_net_flow(df, "zone").select(columns), net_flow(df, "zone").select(columns)
+    one, two = stream_net_flow(df, "zone", lateness="3 hours").select(columns), net_flow(df, "zone").select(columns)
     assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
