@@ -4,31 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType, VariantType
 
 # A side is broadcast only up to this many bytes.
 BROADCAST_BYTES = 256 * 1024 * 1024
 
+_ROW_BYTES = 32  # what a row takes in memory besides its values
+_VALUE_BYTES = 16
+
+
+def row_size(side: DataFrame) -> tuple[int, Column | None]:
+    """Bytes that every row takes, and an expression for what varies by row: the
+    lengths of texts, and of nested values as JSON. None where nothing varies."""
+    varying = []
+    for field in side.schema:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            varying.append(F.octet_length(column))
+        elif isinstance(field.dataType, (ArrayType, MapType, StructType, VariantType)):
+            varying.append(F.octet_length(F.to_json(F.struct(column))))
+    fixed = _ROW_BYTES + _VALUE_BYTES * len(side.columns)
+    if not varying:
+        return fixed, None
+    return fixed, sum((F.coalesce(v, F.lit(0)).cast("bigint") for v in varying), F.lit(fixed).cast("bigint"))
+
 
 def broadcast_if_small(
     side: DataFrame,
     *,
     at_most_rows: int | None = None,
-    row_bytes: int = 64,
+    row_bytes: int | None = None,
     row_weight: Column | None = None,
     limit_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Hint a broadcast only for a side whose size is known or measured.
 
     ``at_most_rows`` is a bound that follows from parameters (such as n² cells).
-    Without one the side is measured: its rows are counted, or ``row_weight``
-    (bytes per row) is summed for rows of uneven width. Beyond ``limit_bytes``
+    It decides alone only where rows have a fixed width, given as ``row_bytes`` or
+    by the schema. Otherwise the side is measured: its rows are counted, or their
+    bytes summed where it holds texts or nested values (``row_weight`` replaces that
+    estimate). Beyond ``limit_bytes``
     the side comes back without a hint: Spark then joins by shuffle, and its
     adaptive skew join splits the partitions of hot keys.
     """
-    if at_most_rows is not None:
-        size = at_most_rows * row_bytes
+    fixed, varying = row_size(side)
+    if row_bytes is not None:
+        fixed, varying = row_bytes, None
+    elif row_weight is None:
+        row_weight = varying
+    if at_most_rows is not None and varying is None:
+        size = at_most_rows * fixed
     elif row_weight is not None:
         size = side.agg(F.coalesce(F.sum(row_weight), F.lit(0))).first()[0]
     else:
-        size = side.count() * row_bytes
+        size = side.count() * fixed
     return F.broadcast(side) if size <= limit_bytes else side

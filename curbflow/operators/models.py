@@ -5,21 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import RFormula, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbflow.functions.aggregates import Mean
 from curbflow.functions.timeparts import fractional_hour, mid_day, mid_hour
 from curbflow.operators.cleaning import short_trips
+from curbflow.operators.joins import broadcast_if_small
 
 RIDE_FACTORS = ("month", "weekday", "pickup_hour", "pickup_cell")
 RIDE_COVARIATES = ("temperature", "precipitation")
 
-# The direct solver holds one row per pair of features; beyond this many
-# features the iterative solver is used.
-_MAX_DIRECT_FEATURES = 4096
+# Columns beside the largest factor: their cross-products are one dense matrix,
+# and Spark's direct solver takes no more than this.
+MAX_COLUMNS = 4096
 
 # Candidate splits of the time of day: one per five minutes by default.
 TIME_BINS = 288
@@ -38,46 +41,55 @@ def ride_regression(
     label: str = "rides",
     factors: Sequence[str] = RIDE_FACTORS,
     covariates: Sequence[str] = RIDE_COVARIATES,
-    n_features: int | None = None,
 ) -> DataFrame:
     """Least squares of ``label`` on categories and weather.
 
     Adds ``<label>_hat`` and ``<label>_resid``. Rows with a missing input stay in
     the result with NULL in both. ``rides`` is read several times, so pass a
-    stored table. Levels that never vary are dropped from the formula.
+    stored table. Inputs that never vary are left out.
+
+    The factor with most levels, usually the cell, may have any number of them: it is
+    eliminated by taking every input as its difference from the level's mean, which
+    leaves the fit of the others as it is. The others are solved for directly; above
+    ``MAX_COLUMNS`` of them this raises an error, as no second method stands in.
     """
     inputs = [label, *factors, *covariates]
     complete = rides.where(_all_known(inputs))
     varies = complete.agg(*[(F.max(c) > F.min(c)).alias(c) for c in (*factors, *covariates)]).first()
-    used_factors = [f for f in factors if varies[f]]
-    used_covariates = [c for c in covariates if varies[c]]
-    if not used_factors and not used_covariates:  # the mean is all there is to fit
-        whole = complete.agg(F.avg(label).alias(f"{label}_hat"))
-        known = F.when(_all_known(inputs), F.col(f"{label}_hat"))
-        fitted = rides.join(F.broadcast(whole)).withColumn(f"{label}_hat", known)
-        return fitted.withColumn(f"{label}_resid", F.col(label) - F.col(f"{label}_hat"))
-    if n_features is None:
-        levels = [complete.select(f).distinct().count() for f in used_factors]
-        n_features = sum(levels) + len(used_covariates)
-    named = {f: f"{f}_level" for f in used_factors}
-    formula = RFormula(
-        formula=f"{label} ~ " + " + ".join([*named.values(), *used_covariates]),
-        stringIndexerOrderType="alphabetDesc",
-        featuresCol="_features",
-        labelCol="_label",
-    )
-    direct = n_features < _MAX_DIRECT_FEATURES
-    fit = LinearRegression(
-        featuresCol="_features",
-        labelCol="_label",
-        predictionCol=f"{label}_hat",
-        solver="normal" if direct else "l-bfgs",
-        maxIter=1000,
-        tol=1e-10,
-    )
-    coded = complete.withColumns({name: F.col(f).cast("string") for f, name in named.items()})
-    model = Pipeline(stages=[formula, fit]).fit(coded)
-    scored = model.transform(coded).select(*rides.columns, f"{label}_hat")
+    levels = {f: complete.select(f).distinct().count() for f in factors if varies[f]}
+    group = max(levels, key=levels.get, default=None)
+    columns = [F.col(c).cast("double") for c in covariates if varies[c]]
+    n_columns = len(columns) + sum(n - 1 for f, n in levels.items() if f != group)
+    if n_columns > MAX_COLUMNS:
+        raise ValueError(f"{n_columns} columns beside {group}; at most {MAX_COLUMNS}")
+    for factor in levels.keys() - {group}:
+        # bounded by the check above
+        values = sorted(row[0] for row in complete.select(factor).distinct().collect())
+        columns += [(F.col(factor) == F.lit(v)).cast("double") for v in values[1:]]
+    keyed = complete.withColumn("_group", F.col(group) if group else F.lit(0))
+    middle = [F.avg(label).alias("_mean")]
+    if columns:
+        keyed = keyed.withColumn("_inputs", array_to_vector(F.array(*columns)))
+        middle.append(Summarizer.mean(F.col("_inputs")).alias("_center"))
+    means = keyed.groupBy("_group").agg(*middle)
+    bytes_each = F.lit(8 * n_columns + 64)
+    shifted = keyed.join(broadcast_if_small(means, row_weight=bytes_each), "_group")
+    estimate = F.col("_mean")
+    if columns:
+        gap = F.zip_with(vector_to_array("_inputs"), vector_to_array("_center"), lambda x, c: x - c)
+        shifted = shifted.withColumns({"_features": array_to_vector(gap), "_label": F.col(label) - F.col("_mean")})
+        fit = LinearRegression(
+            featuresCol="_features",
+            labelCol="_label",
+            predictionCol="_shift",
+            fitIntercept=False,
+            solver="normal",
+            maxIter=1000,  # only used where columns depend on each other
+            tol=1e-12,
+        )
+        shifted = fit.fit(shifted.select("_features", "_label")).transform(shifted)
+        estimate = estimate + F.col("_shift")
+    scored = shifted.select(*rides.columns, estimate.alias(f"{label}_hat"))
     unknown = rides.where(~_all_known(inputs)).withColumn(f"{label}_hat", F.lit(None).cast("double"))
     return scored.unionByName(unknown).withColumn(
         f"{label}_resid", F.col(label) - F.col(f"{label}_hat")

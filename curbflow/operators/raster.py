@@ -141,13 +141,15 @@ def kernel_density(
     )
     x = F.lit(low) + F.col("point") * F.lit(step)
     u = (x - F.col("center")) / F.lit(bandwidth)
-    weight = F.floor(F.exp(F.lit(-0.5) * u * u) * F.lit(float(KERNEL_UNIT))).cast("bigint")
+    weight = F.floor(F.exp(F.lit(-0.5) * u * u) * F.lit(float(KERNEL_UNIT)))
+    # a weight times the rows of a bin outgrows bigint from 1e10 rows on
+    weight = weight.cast("decimal(10,0)") * F.col("n").cast("decimal(18,0)")
     total = bins.agg(F.sum("n")).scalar()
     scale = F.lit(1.0 / (bandwidth * math.sqrt(2 * math.pi) * KERNEL_UNIT))
     return (
         reached.groupBy("point")
-        .agg(F.sum(weight * F.col("n")).alias("mass"))
-        .select("point", x.alias("x"), (F.col("mass") * scale / total).alias("density"))
+        .agg(F.sum(weight).alias("mass"))
+        .select("point", x.alias("x"), (F.col("mass").cast("double") * scale / total).alias("density"))
     )
 
 
@@ -159,20 +161,21 @@ def kernel_weights(reach: int, sigma: float, unit: int = 1000) -> list[int]:
 def smooth_2d(counts: DataFrame, *, bins: int, reach: int, sigma: float) -> DataFrame:
     """Smooth 2-D bin counts ``(bx, by, n)`` with a separable Gaussian.
 
-    One pass per axis: every count spreads to its ``2 reach + 1`` neighbours.
+    One pass per axis: every count spreads to its ``2 reach + 1`` neighbours. The mass
+    is added up in whole numbers of 38 digits and given as a double.
     """
-    weights = F.array(*[F.lit(w).cast("bigint") for w in kernel_weights(reach, sigma)])
-    out = counts.select("bx", "by", F.col("n").cast("bigint").alias("mass"))
+    weights = F.array(*[F.lit(w).cast("decimal(10,0)") for w in kernel_weights(reach, sigma)])
+    out = counts.select("bx", "by", F.col("n").cast("decimal(18,0)").alias("mass"))
     for axis, other in (("bx", "by"), ("by", "bx")):
         out = (
             out.select("bx", "by", "mass", F.posexplode(weights).alias("k", "w"))
             .select(
                 (F.col(axis) + F.col("k") - reach).alias(axis),
                 other,
-                (F.col("mass") * F.col("w")).alias("mass"),
+                (F.col("mass").cast("decimal(27,0)") * F.col("w")).alias("mass"),
             )
             .where(F.col(axis).between(0, bins - 1))
             .groupBy("bx", "by")
             .agg(F.sum("mass").alias("mass"))
         )
-    return out
+    return out.withColumn("mass", F.col("mass").cast("double"))

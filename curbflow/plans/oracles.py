@@ -312,7 +312,9 @@ PIECES["rides"] = (
 
 PIECES["coarse_rides"] = (
     ("coarse", "hourly"),
-    f"""SELECT r.*, w.windspeed FROM (SELECT pickup_region AS pickup_cell, {part('year', 'pickup_datetime')} AS year,
+    f"""SELECT r.*, w.windspeed, w.temperature, coalesce(w.precipitation, 0.0::DOUBLE) AS precipitation
+        FROM (SELECT pickup_region AS pickup_cell, {part('year', 'pickup_datetime')} AS year,
+        {part('weekday', 'pickup_datetime')} AS weekday,
         {part('month', 'pickup_datetime')} AS month, {part('day', 'pickup_datetime')} AS pickup_day,
         {part('hour', 'pickup_datetime')} AS pickup_hour, count(*) AS rides
         FROM coarse WHERE pickup_region <> 0 GROUP BY ALL) r
@@ -438,7 +440,7 @@ def _smooth() -> str:
     weights = ", ".join(
         f"({k - reach}, {w})" for k, w in enumerate(kernel_weights(reach, sigma))
     )
-    return f"""SELECT c.bx + i.k AS bx, c.by + j.k AS by, CAST(sum(c.n * i.w * j.w) AS BIGINT) AS mass
+    return f"""SELECT c.bx + i.k AS bx, c.by + j.k AS by, CAST(sum(c.n * i.w * j.w) AS DOUBLE) AS mass
         FROM (SELECT {bx} AS bx, {by} AS by, count(*) AS n FROM clean WHERE {within} GROUP BY ALL) c
         CROSS JOIN (VALUES {weights}) AS i(k, w) CROSS JOIN (VALUES {weights}) AS j(k, w)
         WHERE c.bx + i.k BETWEEN 0 AND {bins - 1} AND c.by + j.k BETWEEN 0 AND {bins - 1} GROUP BY ALL"""
@@ -773,7 +775,7 @@ def build() -> dict[str, str]:
         ),
         "sample_trips": sql(
             f"""SELECT trip_id, trip_time, fare_amount FROM trips
-            ORDER BY (trip_id * 2654435761 + 12345) % 4294967296, trip_id LIMIT {registry.SAMPLE_SIZE}""",
+            ORDER BY ((trip_id % 2147483648) * 2654435761 + 12345) % 4294967296, trip_id LIMIT {registry.SAMPLE_SIZE}""",
             "trips",
         ),
         "weather_cross_cells": sql(
@@ -788,6 +790,19 @@ def build() -> dict[str, str]:
             "rides",
             "hourly",
         ),
+        "ride_regression_totals": sql(
+            "SELECT input, level, round(sum(rides * x), 2) AS rides_hat, count(*) AS n FROM ("
+            + " UNION ALL ".join(
+                f"SELECT '{name}' AS input, {level} AS level, {x} AS x, rides FROM coarse_rides "
+                "WHERE temperature IS NOT NULL AND precipitation IS NOT NULL"
+                for name, level, x in [
+                    *((f, f"CAST({f} AS BIGINT)", "1.0::DOUBLE") for f in ("month", "weekday", "pickup_hour", "pickup_cell")),
+                    *((c, "NULL::BIGINT", c) for c in ("temperature", "precipitation")),
+                ]
+            )
+            + ") t GROUP BY ALL",
+            "coarse_rides",
+        ),
         "ride_regression_on_hour": sql(
             """SELECT pickup_cell, pickup_day, pickup_hour, rides,
             round(avg(rides) OVER (PARTITION BY pickup_hour), 6) AS rides_hat FROM coarse_rides""",

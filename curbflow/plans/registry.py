@@ -595,7 +595,8 @@ def busiest_region(spark, sf_dir):
 
 @query
 def sample_trips(spark, sf_dir):
-    rank = F.pmod(F.col("trip_id") * 2654435761 + 12345, F.lit(4294967296))
+    low = F.pmod(F.col("trip_id"), F.lit(2147483648))  # so that the product stays a bigint
+    rank = F.pmod(low * 2654435761 + 12345, F.lit(4294967296))
     out = stats.sample_rows(_timed(spark, sf_dir), SAMPLE_SIZE, rank, "trip_id")
     return out.select("trip_id", "trip_time", "fare_amount")
 
@@ -635,6 +636,25 @@ def ride_regression(spark, sf_dir):
     return models.ride_regression(_coarse_rides(spark, sf_dir))
 
 
+@query
+def ride_regression_totals(spark, sf_dir):
+    """The normal equations of the full fit: over every level of a category, and weighted
+    by every covariate, the estimates add up to the rides."""
+    fitted = models.ride_regression(_coarse_rides(spark, sf_dir)).where("rides_hat IS NOT NULL")
+    whole, one = F.lit(None).cast("bigint"), F.lit(1.0)
+    terms = [(f, F.col(f).cast("bigint"), one) for f in models.RIDE_FACTORS]
+    terms += [(c, whole, F.col(c)) for c in models.RIDE_COVARIATES]
+    term = F.array(*[F.struct(F.lit(n).alias("input"), v.alias("level"), x.alias("x")) for n, v, x in terms])
+    return (
+        fitted.select("rides_hat", F.explode(term).alias("term"))
+        .groupBy(F.col("term.input").alias("input"), F.col("term.level").alias("level"))
+        .agg(
+            F.round(F.sum(F.col("rides_hat") * F.col("term.x")), 2).alias("rides_hat"),
+            F.count(F.lit(1)).alias("n"),
+        )
+    )
+
+
 @query
 def ride_regression_on_hour(spark, sf_dir):
     """With one category the fitted values are its means."""

@@ -158,3 +158,9 @@ def test_smoothing_keeps_interior_mass(spark):
     weights = raster_ops.kernel_weights(3, 1.5)
     assert out.count() == 49
     assert out.agg(F.sum("mass")).first()[0] == 3 * sum(weights) ** 2
+
+
+def test_counts_beyond_bigint_products(spark):
+    counts = spark.createDataFrame([(5, 5, 10**14)], "bx long, by long, n long")
+    out = raster_ops.smooth_2d(counts, bins=11, reach=2, sigma=1.0)
+    assert out.where("bx = 5 AND by = 5").first()["mass"] == 1e20

@@ -94,3 +94,11 @@ def test_broadcast_only_below_the_limit(spark):
     assert not hinted(limit_bytes=100 * 64 - 1)
     assert not hinted(row_weight=F.col("id"), limit_bytes=4949)
     assert hinted(row_weight=F.col("id"), limit_bytes=4950)
+
+
+def test_wide_rows_are_measured_before_a_broadcast(spark):
+    wide = spark.range(40).select("id", F.repeat(F.lit("x"), 100_000).alias("t"), F.array("id").alias("a"))
+    assert joins.broadcast_if_small(wide, limit_bytes=3_000_000) is wide
+    assert joins.broadcast_if_small(wide, at_most_rows=40, limit_bytes=3_000_000) is wide
+    assert joins.broadcast_if_small(wide, limit_bytes=5_000_000) is not wide
+    assert joins.broadcast_if_small(spark.range(40), limit_bytes=3_000) is not wide
