@@ -9,7 +9,7 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, Struct
 # A side is broadcast only up to this many bytes.
 BROADCAST_BYTES = 256 * 1024 * 1024
 
-_ROW_BYTES = 32  # what a row takes in memory besides its values
+_ROW_BYTES = 48  # what a row takes in memory besides its values
 _VALUE_BYTES = 16
 
 
