@@ -11,9 +11,11 @@ Buckets above ``bucket_limit`` are divided into parts and every two parts are co
 a task of their own, so no task holds more than the limit, and no pair is left out.
 
 ``near_texts`` serves similarities such as 0.8, where 64 bits would differ in a dozen
-places: it takes fingerprints of 512 bits and joins them through 32 runs of 16 bits, which
-finds nine in ten pairs at 0.8 and nearly all from 0.85 on, and the bits that differ
-estimate the similarity. Tables, buckets and links are the same.
+places: it takes fingerprints of 512 bits over distinct shingles and joins them through 32
+runs of 16 bits. Tables, buckets and links are the same, but these links only propose
+groups: within a group the exact Jaccard similarity of the shingle sets decides, for all
+pairs that are not connected already. A large group is divided into parts that each
+meet the group's first text; what that does not connect meets all parts.
 
 Cases: a null or empty text has fingerprint zero and is linked like any other. A text of
 fewer words than a shingle is one shingle. Repeated rows are each answered. A null
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbflow.llm.common import in_sieve, map_rows, ship, sieve, text_key, written
@@ -69,8 +71,8 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 
 def wide_fingerprint(text: str, size: int, words: int) -> np.ndarray:
-    """``words`` times 64 bits, each of another mix of the same hashes."""
-    hashes = shingle_hashes(text, size)
+    """``words`` times 64 bits, each of another mix of the hashes of distinct shingles."""
+    hashes = np.unique(shingle_hashes(text, size))
     out = np.zeros(words, np.int64)
     for i in range(words if len(hashes) else 0):
         mixed = (hashes ^ np.uint64(xxhash.xxh64_intdigest(str(i)))) * np.uint64(0x9E3779B97F4A7C15)
@@ -260,12 +262,116 @@ def near_texts(
             runs = [p.view(np.uint16).astype(np.int64) + (np.arange(4 * words) << RUN_BITS) for p in prints]
             yield {"id": b.column(0), "fp": [p.tobytes() for p in prints], "tables": tables, "buckets": runs}
 
-    texts = docs.select(text_key()[0], F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(text_key()[0].alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "id bigint, fp binary, tables binary, buckets array<bigint>"
     prints = map_rows(texts, run, schema, batch=500).groupBy("id").agg(*(F.first(c).alias(c) for c in ("fp", "tables", "buckets")))
     rows = written(prints, "prints").select("id", "fp", "tables", F.explode("buckets").alias("bucket"))
     links = _linked(rows, ("fp", "tables"), similarity_radius(similarity, 64 * words), bucket_limit)
-    return components(links).withColumnRenamed("node", "k1")
+    groups = written(components(links).select(F.col("node").alias("id"), F.col("root").alias("bucket")), "proposed")
+    return components(_exact_links(_shingle_sets(texts, groups, size), similarity)).withColumnRenamed("node", "k1")
+
+
+def _shingle_sets(texts: DataFrame, groups: DataFrame, size: int) -> DataFrame:
+    """``bucket, id, shingles`` of the texts in a proposed group."""
+    bitmap = sieve(groups, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            b = b.filter(pa.array(in_sieve(bitmap.value, b.column(0).to_numpy())))
+            sets = [np.unique(shingle_hashes(t, size)).tobytes() for t in b.column(1).to_pylist()]
+            yield {"id": b.column(0), "shingles": sets}
+
+    sets = map_rows(texts, run, "id bigint, shingles binary", batch=500).groupBy("id").agg(F.first("shingles").alias("shingles"))
+    return written(sets.join(groups, "id").select("bucket", "id", "shingles"), "shingles")
+
+
+PART_ROWS = (128, 20_000)  # texts of a part of a group: from, and at most, above 64 parts
+_PARTS = 64
+
+
+def _parts(n: Column) -> Column:
+    few, most = (F.ceil(n / rows).cast("long") for rows in PART_ROWS)
+    return F.greatest(F.least(few, F.lit(_PARTS).cast("long")), most)
+
+
+def _numbers(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def _exact_links(members: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links that connect all texts of a group (``bucket``, its smallest id) whose
+    shingle sets are similar. A pair is left out only where both are connected already."""
+
+    def linked(rows: DataFrame) -> DataFrame:
+        rows = rows.select("bucket", "part", "id", "shingles").repartition("bucket", "part")
+        rows = rows.sortWithinPartitions("bucket", "part", "id")
+        return map_rows(rows, lambda batches: _set_links(batches, similarity), "a bigint, b bigint")
+
+    large = members.groupBy("bucket").count().where(F.col("count") > PART_ROWS[0])
+    large = written(large.select("bucket", _parts(F.col("count")).alias("parts")), "large-groups")
+    if large.isEmpty():
+        return linked(members.withColumn("part", F.lit(0).cast("long")))
+    rows = members.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")))
+    first = F.col("id") == F.col("bucket")
+    near = rows.where(~first).withColumn("part", F.col("own"))
+    near = near.unionByName(rows.where(first).withColumn("part", _numbers(F.col("parts"))))
+    links = written(linked(near), "near-links")
+    # the first text is the smallest, so what it is connected to has it as root
+    known = components(links).withColumnRenamed("root", "found")
+    rows = rows.where("parts > 1")
+    left = rows.join(known, rows["id"] == known["node"], "left").where(~F.coalesce(F.col("found") == F.col("bucket"), F.lit(False)) & ~first)
+    left = written(left.select(*rows.columns), "left")
+    again = written(left.groupBy("bucket").agg(_parts(F.count("*")).alias("again")), "left-parts")
+    if again.isEmpty():
+        return links
+    left = left.join(again, "bucket").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(7)), F.col("again")))
+    left = left.withColumn("own", _numbers(F.col("parts")))
+    rows = rows.join(again, "bucket").withColumn("mine", _numbers(F.col("again")))
+    met = left.unionByName(rows).withColumn("part", F.col("own") * F.col("again") + F.col("mine"))
+    return links.unionAll(linked(met.dropDuplicates(["bucket", "part", "id"])))
+
+
+def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """As ``spanning_links``, by the Jaccard similarity of sets; empty sets are equal."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    links: list[tuple[int, int]] = []
+    unseen = np.arange(len(sets))
+    while len(unseen) > 1:
+        root, unseen = unseen[0], unseen[1:]
+        front = [root]
+        while front and len(unseen):
+            one = front.pop()
+            inside = np.zeros(len(names), bool)
+            inside[codes[ends[one] : ends[one + 1]]] = True
+            seen = np.concatenate([[0], np.cumsum(inside[codes])])
+            both = (seen[ends[1:]] - seen[ends[:-1]])[unseen]
+            whole = sizes[unseen] + sizes[one] - both
+            found = unseen[np.where(whole > 0, both / np.maximum(whole, 1), 1.0) >= similarity]
+            links += [(int(root), int(f)) for f in found]
+            unseen = np.setdiff1d(unseen, found, assume_unique=True)
+            front += found.tolist()
+    return links
+
+
+def _set_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[dict]:
+    """Links within each part of rows sorted by group and part."""
+    key, ids, sets = None, [], []
+
+    def links() -> dict:
+        found = set_links(sets, similarity) if len(sets) > 1 else []
+        return {"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}
+
+    for batch in batches:
+        for bucket, part, i, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+            if (bucket, part) != key:
+                yield links()
+                key, ids, sets = (bucket, part), [], []
+            ids.append(i)
+            sets.append(np.frombuffer(shingles, np.uint64))
+    yield links()
 
 
 def first_of_each(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -290,6 +291,45 @@ def test_first_of_each(docs, rows):
     assert ids.count(101) == 0 and ids.count(3) == 1 and len(ids) == len(set(ids))
 
 
+def shingle_sets(rows):
+    return {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in rows for w in [words(t)]}
+
+
+def roots_of(sets, similarity):
+    """The smallest id reachable over all similar pairs."""
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def test_first_of_each_is_exact(spark):
+    """Texts that only share a repeated line stay, and so do pairs just below 0.8."""
+    fresh = (f"w{i}" for i in range(10**6))
+    new = lambda n: [next(fresh) for _ in range(n)]
+    line = new(14)
+    rows = [(i, " ".join(line * 30 + new(104))) for i in range(12)]
+    for i in range(100, 140, 2):  # 79 shingles in common of 100
+        core = new(83)
+        rows += [(i, " ".join(core + new(10))), (i + 1, " ".join(core + new(11)))]
+    kept = {r["doc_id"] for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows} == set(roots_of(shingle_sets(rows), 0.8).values())
+
+
+def test_large_groups_are_exact(spark):
+    """Groups of several parts, with texts that the first one does not reach."""
+    base = [f"a{i}" for i in range(204)]
+    rows = [(i, " ".join([f"x{i}", *base[1:]])) for i in range(150)]
+    rows += [(1000 + i, " ".join([*base[:130], *(f"b{j}" for j in range(73)), f"y{i}"])) for i in range(150)]
+    sets = {i: np.unique(simhash.shingle_hashes(t, 5)) for i, t in rows}
+    members = spark.createDataFrame([(0, i, bytearray(s.tobytes())) for i, s in sets.items()], "bucket long, id long, shingles binary")
+    found = simhash.components(simhash._exact_links(members, 0.8))
+    assert {r["node"]: r["root"] for r in found.collect()} == {i: 0 if i < 1000 else 1000 for i, _ in rows}
+
+
 # ---- language model ----
 
 
