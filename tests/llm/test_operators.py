@@ -330,6 +330,24 @@ def test_large_groups_are_exact(spark):
     assert {r["node"]: r["root"] for r in found.collect()} == {i: 0 if i < 1000 else 1000 for i, _ in rows}
 
 
+def test_first_of_each_misses_nothing(spark):
+    """Pairs at 0.8, of many and of few shingles, and copies that repeat a passage."""
+    fresh = (f"w{i}" for i in range(10**6))
+    new = lambda n: [next(fresh) for _ in range(n)]
+    rows = []
+    for i in range(0, 120, 2):
+        n = (8, 40, 200)[i % 3]  # shingles in common
+        core = new(n + 4)
+        rows += [(i, " ".join(core + new(n // 8))), (i + 1, " ".join(core + new(n // 8)))]
+    for i in range(200, 230, 2):
+        core = new(204)
+        rows += [(i, " ".join(core)), (i + 1, " ".join(core + core[90:114] * 5))]
+    found = roots_of(shingle_sets(rows), 0.8)
+    assert all(found[i] == i - i % 2 for i in found)
+    kept = {r["doc_id"] for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(found.values())
+
+
 # ---- language model ----
 
 
