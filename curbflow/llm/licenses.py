@@ -1,19 +1,23 @@
 """License notices by conditional compression.
 
-Lines that hold a word of licensing are candidate blocks. A block is compressed alone and
-with each template as a raw dictionary; the bytes saved rank the templates. In that order a
-template is confirmed or not by its exact wording: its words are aligned with the
-block's, and the words missing and added are counted.
-
-Cases: a null or empty text has no block. Lines above ``max_block`` characters are cut into
-overlapping windows around their licensing words, so any text length is scanned whole. Of
-templates that save equally many bytes the first by name wins. Repeated rows are
+Every word of licensing is the anchor of small windows: for each template, and each word
+of licensing in it, the words that a copy of the template would cover there, and as many more
+on either side as may be added. A window is compressed alone and with the template as a
+raw dictionary; the bytes saved rank the windows, whatever their sign. In that order a
+template is confirmed or not by its exact wording: its words are aligned with the window's,
+and the words missing and added are counted. Of confirmed spans that overlap the first stays.
+
+Cases: a null or empty text has no notice. Windows that lack too many of a template's words
+are not compressed, as no alignment could confirm them. Of templates that save equally many
+bytes the one with fewer changes wins, then the first by name. Repeated rows are
 each answered. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -63,31 +67,35 @@ TEMPLATES = {
 }
 
 _SIGNS = re.compile(r"licen[sc]|copyright|rights reserved|permission|redistribut|public domain|free software", re.IGNORECASE)
-_WORD = re.compile(r"[\w.+-]*\w")
+_WORD = re.compile(r"\w+(?:[.+-]+\w+)*")
 
 
 @dataclass(frozen=True)
 class Rules:
     max_block: int = 4000  # characters of a candidate block
+    reach: int = 1000  # characters of a block before its first and after its last licensing word
     max_changes: float = 0.2  # words missing or added, per word of the template
     level: int = 19
 
 
 def blocks(text: str, rules: Rules = Rules()) -> list[tuple[int, int]]:
-    """Candidate blocks in code points: lines with a licensing word, long lines cut."""
-    out: list[tuple[int, int]] = []
-    at = 0
-    while (sign := _SIGNS.search(text, at)) is not None:
-        start = text.rfind("\n", 0, sign.start()) + 1
-        end = text.find("\n", sign.end())
-        end = len(text) if end < 0 else end
-        if end - start > rules.max_block:
-            start = max(start, sign.start() - rules.max_block // 2)
-            end = min(end, sign.start() + rules.max_block // 2)
-        out.append((start, end))
-        # the next sign beyond the middle of a cut window gets one of its own
-        at = end if end - start < rules.max_block else sign.start() + rules.max_block // 4
-        at = max(at, sign.end())
+    """Candidate blocks in code points: runs of licensing words with their surroundings.
+    A run too long for a block goes on in another, which overlaps it."""
+    return [(start, end) for start, end, _ in _runs(text, rules)]
+
+
+def _runs(text: str, rules: Rules) -> list[tuple[int, int, list[int]]]:
+    """Blocks with the places of their licensing words; each word is in one block's list."""
+    out: list[tuple[int, int, list[int]]] = []
+    for sign in _SIGNS.finditer(text):
+        start, end = max(0, sign.start() - rules.reach), min(len(text), sign.start() + rules.reach)
+        start = max(start, text.rfind("\n", 0, sign.start()) + 1)
+        stop = text.find("\n", sign.end(), end)
+        end = end if stop < 0 else stop
+        if out and start <= out[-1][1] and end - out[-1][0] <= rules.max_block:
+            out[-1] = (out[-1][0], end, [*out[-1][2], sign.start()])
+        else:
+            out.append((start, end, [sign.start()]))
     return out
 
 
@@ -95,9 +103,21 @@ def _folded(text: str) -> list[str]:
     return [w.casefold() for w in _WORD.findall(text)]
 
 
+def _anchors(text: str, places: list[int]) -> tuple[list[str], list[tuple[int, int]], list[int]]:
+    """Words, their spans, and the numbers of the words at ``places``."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    ends = [b for _, b in spans]
+    return [text[a:b].casefold() for a, b in spans], spans, sorted({bisect_right(ends, p) for p in places})
+
+
 def wording(template: list[str], block: list[str]) -> tuple[int, int, int, int]:
     """Template words missing, other words in between, and the block's words covered."""
     matches = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
+    # a stray word far from the rest costs more than it brings
+    while len(matches) > 1 and matches[0].size < matches[1].b - matches[0].b - matches[0].size:
+        matches = matches[1:]
+    while len(matches) > 1 and matches[-1].size < matches[-1].b - matches[-2].b - matches[-2].size:
+        matches = matches[:-1]
     if not matches:
         return len(template), 0, 0, 0
     first, last = matches[0].b, matches[-1].b + matches[-1].size
@@ -120,34 +140,48 @@ class Compressors:
             for n in self.names
         }
 
-    def ranked(self, block: bytes) -> list[tuple[int, int, int, str]]:
-        """(-saved, alone, given, template), best first."""
-        alone = len(self.alone.compress(block))
-        sizes = [(n, len(c.compress(block))) for n, c in self.given.items()]
-        return sorted((given - alone, alone, given, n) for n, given in sizes)
+        self.bags = {n: Counter(w) for n, w in self.words.items()}
+        self.anchors = {n: _anchors(t, [m.start() for m in _SIGNS.finditer(t)])[2] for n, t in TEMPLATES.items()}
+
+    def sizes(self, window: str, name: str) -> tuple[int, int]:
+        """Bytes of the window compressed alone and given the template."""
+        raw = window.encode("utf-8", "surrogatepass")
+        return len(self.alone.compress(raw)), len(self.given[name].compress(raw))
 
 
 def find(text: str, tools: Compressors, rules: Rules = Rules()) -> list[tuple]:
     """(license, start, end, size alone, size given the template, missing, added)."""
-    out = []
-    for start, end in blocks(text, rules):
-        block = text[start:end]
-        words = _folded(block)
-        for change, alone, given, name in tools.ranked(block.encode("utf-8", "surrogatepass")):
-            if change >= 0:
-                break
-            missing, added, _, _ = wording(tools.words[name], words)
-            if missing + added <= rules.max_changes * len(tools.words[name]):
-                out.append((name, start, end, alone, given, missing, added))
-                break
-    return out
+    proposed = []
+    for start, end, places in _runs(text, rules):
+        words, spans, signs = _anchors(text[start:end], [p - start for p in places])
+        for name in tools.names:
+            own, bag = tools.words[name], tools.bags[name]
+            spare = int(rules.max_changes * len(own))
+            for at in sorted({sign - anchor for sign in signs for anchor in tools.anchors[name]}):
+                low, high = max(0, at - spare), min(len(words), at + len(own) + spare)
+                window = words[low:high]
+                if (bag & Counter(window)).total() < len(own) - spare:
+                    continue
+                alone, given = tools.sizes(text[start + spans[low][0] : start + spans[high - 1][1]], name)
+                proposed.append((given - alone, alone, given, name, start, spans[low:high], window))
+    confirmed = set()
+    for change, alone, given, name, start, spans, window in proposed:
+        missing, added, first, last = wording(tools.words[name], window)
+        if missing + added <= rules.max_changes * len(tools.words[name]):
+            span = start + spans[first][0], start + spans[last - 1][1]
+            confirmed.add((change, missing + added, name, *span, alone, given, missing, added))
+    out: list[tuple] = []
+    for _, _, name, start, end, *rest in sorted(confirmed):
+        if all(end <= o[1] or start >= o[2] for o in out):
+            out.append((name, start, end, *rest))
+    return sorted(out, key=lambda o: o[1])
 
 
 _ROW = "license:string,start:int,end:int,size_alone:int,size_given:int,words_missing:int,words_added:int"
 
 
 def notices(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``doc_id`` and ``found``, the confirmed blocks of every row."""
+    """``doc_id`` and ``found``, the confirmed spans of every row."""
     names = [c.split(":")[0] for c in _ROW.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -160,7 +194,7 @@ def notices(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def scan(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row per document: its licenses, and how many blocks have the exact wording."""
+    """One row per document: its licenses, and how many spans have the exact wording."""
     found = notices(docs, rules)
     exact = F.filter("found", lambda f: (f["words_missing"] == 0) & (f["words_added"] == 0))
     labels = F.transform(

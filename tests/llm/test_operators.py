@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -466,6 +467,21 @@ def test_license_in_a_long_line():
     assert len(spans) >= 3 and all(b - a <= rules.max_block for a, b in spans)
 
 
+def test_license_lost_in_prose():
+    """Every verbatim notice in the middle of a long line of ordinary words is found."""
+    rng, rules = random.Random(3), licenses.Rules()
+    tools = licenses.Compressors(rules)
+    prose = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(n))
+    for name, notice in licenses.TEMPLATES.items():
+        for n in (100, 300, 3000):
+            text = f"{prose(n)} {notice} {prose(n)}"
+            start = text.index(notice)
+            found = [(f[0], f[1], f[2], f[5], f[6]) for f in licenses.find(text, tools, rules)]
+            assert found == [(name, start, start + len(notice.rstrip(".")), 0, 0)]
+    line = "word " * 3000 + "Released under the MIT License. " + "word " * 3000
+    assert [(f[0], f[5]) for f in licenses.find(line, tools, rules)] == [("mit", 0)]
+
+
 # ---- archives ----
 
 
