@@ -7,7 +7,8 @@ raw dictionary; the bytes saved rank the windows, whatever their sign. In that o
 template is confirmed or not by its exact wording: its words are aligned with the window's,
 and the words missing and added are counted. Of confirmed spans that overlap the first stays.
 
-Cases: a null or empty text has no notice. Windows that lack too many of a template's words
+Cases: a null or empty text has no notice. A notice may run over line breaks and the
+marks before a line; a text without line breaks may hold any number. Windows that lack too many of a template's words
 are not compressed, as no alignment could confirm them. Of templates that save equally many
 bytes the one with fewer changes wins, then the first by name. Repeated rows are
 each answered. Only ``doc_id`` and ``text`` are read.
@@ -66,7 +67,7 @@ TEMPLATES = {
     "public-domain": "This work is in the public domain.",
 }
 
-_SIGNS = re.compile(r"licen[sc]|copyright|rights reserved|permission|redistribut|public domain|free software", re.IGNORECASE)
+_SIGNS = re.compile(r"licen[sc]|copyright|rights\W{1,20}reserved|permission|redistribut|public\W{1,20}domain|free\W{1,20}software", re.IGNORECASE)
 _WORD = re.compile(r"\w+(?:[.+-]+\w+)*")
 
 
@@ -89,9 +90,6 @@ def _runs(text: str, rules: Rules) -> list[tuple[int, int, list[int]]]:
     out: list[tuple[int, int, list[int]]] = []
     for sign in _SIGNS.finditer(text):
         start, end = max(0, sign.start() - rules.reach), min(len(text), sign.start() + rules.reach)
-        start = max(start, text.rfind("\n", 0, sign.start()) + 1)
-        stop = text.find("\n", sign.end(), end)
-        end = end if stop < 0 else stop
         if out and start <= out[-1][1] and end - out[-1][0] <= rules.max_block:
             out[-1] = (out[-1][0], end, [*out[-1][2], sign.start()])
         else:
@@ -170,11 +168,22 @@ def find(text: str, tools: Compressors, rules: Rules = Rules()) -> list[tuple]:
         if missing + added <= rules.max_changes * len(tools.words[name]):
             span = start + spans[first][0], start + spans[last - 1][1]
             confirmed.add((change, missing + added, name, *span, alone, given, missing, added))
+    # of a template's own windows over one place the best worded, then by rank
+    own = {n: _apart(sorted((c for c in confirmed if c[2] == n), key=lambda c: (c[1], c))) for n in tools.names}
+    out = _apart(sorted(c for kept in own.values() for c in kept))
+    return sorted((c[2:] for c in out), key=lambda o: o[1])
+
+
+def _apart(ranked: list[tuple]) -> list[tuple]:
+    """Those that do not overlap one before them; ``ranked`` has start and end at 3 and 4."""
     out: list[tuple] = []
-    for _, _, name, start, end, *rest in sorted(confirmed):
-        if all(end <= o[1] or start >= o[2] for o in out):
-            out.append((name, start, end, *rest))
-    return sorted(out, key=lambda o: o[1])
+    starts: list[int] = []
+    for c in ranked:
+        at = bisect_right(starts, c[3])
+        if (at == 0 or out[at - 1][4] <= c[3]) and (at == len(out) or c[4] <= starts[at]):
+            out.insert(at, c)
+            starts.insert(at, c[3])
+    return out
 
 
 _ROW = "license:string,start:int,end:int,size_alone:int,size_given:int,words_missing:int,words_added:int"

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -482,6 +483,21 @@ def test_license_lost_in_prose():
     assert [(f[0], f[5]) for f in licenses.find(line, tools, rules)] == [("mit", 0)]
 
 
+def test_license_over_lines():
+    """Wrapped and commented notices, and several in one line."""
+    rules = licenses.Rules()
+    tools = licenses.Compressors(rules)
+    for name, notice in licenses.TEMPLATES.items():
+        for mark in ("", " * ", "# "):
+            wrapped = "\n".join(mark + x for x in textwrap.wrap(notice, 24))
+            found = licenses.find(f"Some words first.\n\n{wrapped}\n\nAnd more.", tools, rules)
+            assert [(f[0], f[5], f[6]) for f in found] == [(name, 0, 0)]
+    both = licenses.find("All rights reserved. Licensed under CC BY 4.0.", tools, rules)
+    assert [f[0] for f in both] == ["all-rights-reserved", "cc-by-4.0"]
+    many = licenses.find(" ".join([*licenses.TEMPLATES.values()] * 3), tools, rules)
+    assert Counter(f[0] for f in many) == dict.fromkeys(licenses.TEMPLATES, 3)
+
+
 # ---- archives ----
 
 
