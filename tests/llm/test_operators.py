@@ -450,6 +450,20 @@ def test_kneser_ney(spark, docs, rows):
     assert kneser_ney.judged(docs, labels.where("false"), how).where("kept").count() == sum(bool(t) for _, t in rows)
 
 
+def test_rare_language_is_judged_by_itself(spark):
+    """A small language has its own sample, or no threshold at all."""
+    rng = random.Random(8)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(40))
+    rows = [(i, text("etaoin"), "en") for i in range(300)] + [(1000 + i, text("uvwxyz"), "fr") for i in range(40)]
+    rows += [(2000 + i, text("jkqpbd"), "de") for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows if r[0] % 40 < 39], "doc_id long, quality int, toxic int")
+    how = kneser_ney.Fit(sample=100, min_trusted=20, min_class=10, classes=())
+    got = {r["doc_id"]: r for r in kneser_ney.judged(frame, labels, how).collect()}
+    assert all(got[i]["kept"] and got[i]["model"] == "fr" and got[i]["threshold"] for i in range(1000, 1038))
+    assert got[1000]["threshold"] < 20 and all(got[i]["kept"] and got[i]["threshold"] is None for i in range(2000, 2005))
+
+
 # ---- licenses ----
 
 
