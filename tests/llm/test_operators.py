@@ -464,6 +464,22 @@ def test_rare_language_is_judged_by_itself(spark):
     assert got[1000]["threshold"] < 20 and all(got[i]["kept"] and got[i]["threshold"] is None for i in range(2000, 2005))
 
 
+def test_bad_stretch_in_a_long_text(spark):
+    """The threshold is the quantile itself, and eight odd words show in 200 usual ones."""
+    rng = random.Random(9)
+    usual = ["".join(rng.choices("etaoin", k=5)) for _ in range(60)]
+    text = lambda n: " ".join(rng.choices(usual, k=n))
+    odd = " ".join("".join(rng.choices("jkqxzv", k=3)) for _ in range(8))
+    rows = [(i, text(200), "en") for i in range(300)] + [(1000 + i, f"{text(100)} {odd} {text(100)}", "en") for i in range(10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    how = kneser_ney.Fit(quantile=0.9, grid=1e-6)
+    got = {r["doc_id"]: r for r in kneser_ney.judged(frame, labels, how).collect()}
+    assert not any(got[i]["kept"] for i in range(1000, 1010))
+    for score, limit in (("perplexity", "threshold"), ("worst", "worst_threshold")):
+        assert sum(got[i][score] > got[i][limit] for i in range(300)) in range(28, 31)  # a tenth, to the grid
+
+
 # ---- licenses ----
 
 
