@@ -1,5 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, context scores them.
 
+Account numbers of a country outside the registry end at the longest end that passes the
+check, and need a word near them that speaks for one.
+
 Cases: a null or empty text has no spans. Repeated rows are each answered. Texts are
 read whole, in one pass per kind whose time grows with the length. Only ``doc_id``
 and ``text`` are read, so other columns may have any name.
@@ -21,11 +24,19 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn")
 KINDS = BASE_KINDS + ADDED_KINDS
 
-# fixed values: national lengths of account numbers
+# fixed values: national lengths of account numbers, as in the IBAN registry
 IBAN_LENGTHS = {
-    "AD": 24, "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27,
-    "GB": 22, "GR": 27, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27,
+    "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23,
+    "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21,
+    "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22,
+    "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
+IBAN_LEAST = 15
 
 # words that speak for a kind when they stand near a proposal
 CONTEXT = {
@@ -38,6 +49,7 @@ CONTEXT = {
 }
 # score of a proposal that passed its check, before the context is read
 START = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+START_UNKNOWN_COUNTRY = 0.3  # an account number whose length no list tells
 CONTEXT_GAIN = 0.3
 CONTEXT_REACH = 60
 THRESHOLD = 0.5
@@ -126,15 +138,19 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
     for m in _IBAN.finditer(text):
-        # words in capitals may follow; the national length says where it ends
+        # words in capitals may follow; the national length says where it ends, or
+        # without one the longest end that passes
         length = IBAN_LENGTHS.get(m[0][:2])
-        plain, end = "", m.start()
-        for c in m[0]:
-            if length is None or len(plain) == length:
+        plain, ends = "", []
+        for i, c in enumerate(m[0], 1):
+            plain += c.strip()
+            whole = i == len(m[0]) or m[0][i] == " "
+            if c != " " and (len(plain) == length if length else whole and len(plain) >= IBAN_LEAST):
+                ends.append((plain, m.start() + i))
+        for plain, end in reversed(ends):
+            if mod97(plain):
+                yield m.start(), end
                 break
-            plain, end = plain + c.strip(), end + 1
-        if length is not None and len(plain) == length and mod97(plain):
-            yield m.start(), end
 
 
 def _ssns(text: str) -> Iterator[tuple[int, int]]:
@@ -147,7 +163,8 @@ def _score(kind: str, text: str, start: int, end: int) -> float:
     near = text[max(0, start - CONTEXT_REACH) : start] + " " + text[end : end + CONTEXT_REACH]
     known = CONTEXT[kind]
     hit = any(w in known for w in _WORD.findall(near.lower()))
-    return min(1.0, START[kind] + CONTEXT_GAIN * hit)
+    unknown = kind == "iban" and text[start : start + 2] not in IBAN_LENGTHS
+    return min(1.0, (START_UNKNOWN_COUNTRY if unknown else START[kind]) + CONTEXT_GAIN * hit)
 
 
 def find(text: str) -> list[Span]:

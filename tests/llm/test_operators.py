@@ -109,6 +109,22 @@ def test_quality_rejects_shouting(spark, docs):
 # ---- personal data ----
 
 
+def test_account_numbers_of_all_countries():
+    """Examples of the registry, followed by words in capitals."""
+    known = (
+        "HU42117730161111101800000000", "RO49AAAA1B31007593840000", "BG80BNBG96611020345678", "HR1210010051863000160",
+        "SK3112000000198742637541", "SI56263300012039086", "EE382200221020145685", "LV80BANK0000435195001",
+        "LT121000011101001000", "CY17002001280000001200527600", "MT84MALT011000012345MTLCAST001S", "TR330006100519786457841326",
+    )
+    for number in known:
+        assert [(s.kind, s.start, s.end) for s in personal_data.find(f"x {number} AND MORE") if s.kind == "iban"] == [("iban", 2, 2 + len(number))]
+    digits = "".join(str(int(c, 36)) for c in "1234567890123456ZZ00")
+    other = f"ZZ{98 - int(digits) % 97:02d}1234567890123456"  # a country that is in no list
+    assert [(s.start, s.end) for s in personal_data.find(f"bank account {other}.") if s.kind == "iban"] == [(13, 13 + len(other))]
+    assert not [s for s in personal_data.find(f"part {other}.") if s.kind == "iban"]  # nothing near speaks for it
+
+
+
 def plain_spans(t):
     out = []
     for kind, pattern in (
