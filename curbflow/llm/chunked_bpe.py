@@ -3,18 +3,16 @@
 A rolling hash over the bytes of a text picks the places to cut, so equal passages
 are cut alike wherever they stand. Chunks that occur more than once in the corpus are
 encoded once, in a job of their own; chunks of one document are encoded where the
-document is. Joins are repaired: the words that a cut split are encoded again together
-with a whole word on either side, and the window grows word by word until its outer
-words agree with the tokens the chunks already have.
+document is. Joins are repaired: the words that a cut split are put together and encoded.
 
 Which chunks are shared is found by counting chunk names. A document without any is
 finished in the scan. The others send their pieces through one join. A fixed-size
 bitmap tells a scan which names may be shared (see ``common.sieve``); a false alarm
 costs a join row, never a result.
 
-Words here are runs without space, tab, LF and CR, which the vocabulary's own
-rules never join across. A tokenizer for which this did not hold would show up as outer
-words that disagree.
+Words here are runs without space, tab, LF and CR, and independent: each is encoded by
+itself, which is right for a vocabulary whose tokens never cross blanks, as the query's.
+A tokenizer for which this does not hold must not be used here; nothing would tell.
 
 Cases: a null or empty text has no tokens. Repeated rows are each answered: rows are
 told apart by a number given when the documents are stored. Any text length is cut the
@@ -144,45 +142,23 @@ def encode_inner(chunk: str, enc: WordEncoder) -> tuple[list[str], list[tuple[st
 def assemble(chunks: list[str], pairs: list[list[tuple[str, str]]], enc: WordEncoder) -> list[tuple[str, str]]:
     """Tokens of the whole text from those of its chunks' inner parts.
 
-    What a cut split hangs over from one inner part to the next. It is encoded with a
-    whole word of either side; if those do not come out as the chunks have them, the
-    window takes in another word of each.
+    What a cut split hangs over from one inner part to the next; its words are encoded
+    by themselves.
     """
     out: list[tuple[str, str]] = []
-    words_out: list[str] = []
     hanging = ""
     for chunk, own in zip(chunks, pairs):
         start, end = inner(chunk, False, False)
-        words = _WORD.findall(chunk[start:end])
         if start == end:  # no boundary inside: all of it hangs over
             hanging += chunk
             continue
-        _join(out, words_out, hanging + chunk[:start], words, own, enc)
+        out += enc.pairs(_WORD.findall(hanging + chunk[:start]))
         out += own
-        words_out += words
         hanging = chunk[end:]
-    _join(out, words_out, hanging, [], [], enc)
+    out += enc.pairs(_WORD.findall(hanging))
     return out
 
 
-def _join(out, words_out, split: str, words, own, enc: WordEncoder) -> None:
-    """Append the tokens of what a cut split, once they agree with both sides."""
-    middle = _WORD.findall(split)
-    if not middle:
-        return
-    reach = 1
-    while True:
-        left = words_out[len(words_out) - min(reach, len(words_out)) :]
-        right = words[:reach]
-        window = enc.pairs([*left, *middle, *right])
-        agree = window[: len(left)] == out[len(out) - len(left) :] and window[len(left) + len(middle) :] == own[: len(right)]
-        if agree or (len(left) < reach and len(right) < reach):
-            out += window[len(left) : len(left) + len(middle)]
-            words_out += middle
-            return
-        reach += 1
-
-
 def digests(pairs: list[tuple[str, str]]) -> tuple[int, str, str]:
     ids = " ".join([p[0] for p in pairs if p[0]])
     decoded = " ".join([p[1] for p in pairs if p[0]])

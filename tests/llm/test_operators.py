@@ -496,6 +496,22 @@ def test_bad_stretch_in_a_long_text(spark):
         assert sum(got[i][score] > got[i][limit] for i in range(300)) in range(28, 31)  # a tenth, to the grid
 
 
+def test_words_that_a_cut_split_are_encoded_alone():
+    """Words are independent: what a cut split needs no neighbour, and gives what the whole text gives."""
+    enc = chunked_bpe.WordEncoder(queries.tokenizer_path())
+    text = "Some words, don't\tsplit any-thing \n\u00e9t\u00e9  here."
+    for cut in range(1, len(text)):
+        chunks = [text[:cut], text[cut:]]
+        pairs = [chunked_bpe.encode_inner(c, enc)[1] for c in chunks]
+        asked = []
+        enc.pairs, plain = lambda w: asked.extend(w) or plain(w), enc.pairs
+        found = chunked_bpe.assemble(chunks, pairs, enc)
+        enc.pairs = plain
+        assert len(asked) + sum(map(len, pairs)) == len(found) == len(text.split())
+        ids = " ".join(p[0] for p in found if p[0])
+        assert ids == " ".join(map(str, enc.tokenizer.encode(text, add_special_tokens=False).ids))
+
+
 # ---- licenses ----
 
 
