@@ -5,8 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from curbflow.llm import chunked_bpe, decontamination, kneser_ney, licenses, matching, oracles, personal_data, quality_rules, repeats, revisits, simhash
+from pyspark.sql import functions as F
+
+from curbflow.llm import (
+    byte_bpe,
+    chunked_bpe,
+    decontamination,
+    kneser_ney,
+    licenses,
+    matching,
+    negatives,
+    oracles,
+    personal_data,
+    quality_rules,
+    repeats,
+    revisits,
+    simhash,
+    strata,
+)
 from curbflow.llm.common import table
 
 
@@ -58,6 +74,28 @@ def op10_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label").cast("bigint")
+    rows = table(spark, sf_dir, "embeddings").select(
+        vec_id.cast("bigint").alias("vec_id"),
+        "embedding",
+        F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        (vec_id % 50 == 0).alias("anchor"),
+    )
+    return negatives.mine(rows)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.document_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op13_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strata.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_quality_rules": op2_quality_rules,
@@ -69,9 +107,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_matching": op10_matching,
+    "op11_negatives": op11_negatives,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_strata": op13_strata,
 }
 
 ORACLES: dict[str, str] = {
     "op4_revisits": oracles.OP4,
     "op5_decontamination": oracles.OP5,
+    "op11_negatives": oracles.OP11,
+    "op13_strata": oracles.OP13,
 }
