@@ -6,7 +6,7 @@ is present in both directions. A field is a table ``(cell_id, value)``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbflow.functions.raster import Raster
@@ -15,6 +15,8 @@ from curbflow.session import enable_checkpoints
 
 # A cell id and its row overhead in a broadcast hash table, roughly.
 _CELL_BYTES = 32
+_STATE_BYTES = 24  # of a past value that travels along
+_PAST = "array<struct<step:int,value:double>>"
 
 
 def restrict(graph: DataFrame, cells: DataFrame, raster: Raster) -> DataFrame:
@@ -91,19 +93,23 @@ def split_field(cells: DataFrame, raster: Raster, level: float = 10.0) -> DataFr
 
 def _spokes(graph: DataFrame, cells: DataFrame) -> DataFrame:
     """Edges plus one marker per cell, so that cells without edges stay in the field."""
-    markers = cells.select(
+    ends = cells.select("cell_id").unionByName(graph.select(F.col("dst").alias("cell_id"))).distinct()
+    markers = ends.select(
         F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(True).alias("marker")
     )
     return graph.select("src", "dst", F.lit(False).alias("marker")).unionByName(markers)
 
 
 def _step(field: DataFrame, spokes: DataFrame, delta: float) -> DataFrame:
+    """The next state; a cell's marker carries its ``past`` values along."""
     inflow = F.avg(F.when(~F.col("marker"), F.col("value")))
+    value = F.coalesce(inflow, F.lit(0.0)) + F.lit(delta)
+    past = F.first(F.when(F.col("marker"), F.col("past")), ignorenulls=True)
     return (
         spokes.join(field, F.col("src") == F.col("cell_id"))
         .groupBy(F.col("dst").alias("next_id"))
-        .agg((F.coalesce(inflow, F.lit(0.0)) + F.lit(delta)).alias("value"))
-        .withColumnRenamed("next_id", "cell_id")
+        .agg(value.alias("value"), past.alias("past"))
+        .select(F.col("next_id").alias("cell_id"), "value", "past")
     )
 
 
@@ -112,7 +118,8 @@ def diffuse(field: DataFrame, graph: DataFrame, delta: float = 0.0) -> DataFrame
 
     A cell without neighbours becomes ``delta``.
     """
-    return _step(field, _spokes(graph, field), delta)
+    state = field.select("cell_id", "value", F.lit(None).cast(_PAST).alias("past"))
+    return _step(state, _spokes(graph, field), delta).drop("past")
 
 
 def diffusion(
@@ -126,26 +133,43 @@ def diffusion(
 ) -> DataFrame:
     """The field after ``steps`` steps, or with ``keep_all`` every state by ``step``.
 
-    Each step is one join and one aggregation. The edges and every tenth state
-    (all of them with ``keep_all``) are checkpointed to the shared folder, so the
-    plan stays short and a lost executor costs at most ten steps. The cells are
-    counted once; while the field is small it is broadcast to the edges.
+    Each step is one join and one aggregation. The edges are laid out by their start once;
+    no step moves them: while the field is small it is broadcast to them, and beyond that
+    only the field is shuffled to where the edges lie. What is shuffled is one partial mean
+    per cell and task. Every tenth state is checkpointed to the shared folder, so the plan
+    stays short and a lost executor costs at most ten steps. The states in between travel
+    with their cell until then, so that keeping all of them takes no job for each.
     """
-    enable_checkpoints(field.sparkSession)
-    state = field.select("cell_id", F.col("value").cast("double").alias("value")).checkpoint()
-    spokes = _spokes(graph, state).checkpoint()
-    n_cells = spokes.select("dst").distinct().count()
-    states = [state.withColumn("step", F.lit(0))]
+    spark = field.sparkSession
+    enable_checkpoints(spark)
+    state = field.select("cell_id", F.col("value").cast("double").alias("value"), F.lit(None).cast(_PAST).alias("past")).checkpoint()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spokes = _spokes(graph, state).repartition(parts, "src").checkpoint()
+    n_cells = spokes.where("marker").count()
+    row_bytes = _CELL_BYTES + (_STATE_BYTES * checkpoint_every if keep_all else 0)
+    states = [state.select("cell_id", "value", F.lit(0).alias("step"))]
     for step in range(1, steps + 1):
-        sized = broadcast_if_small(state, at_most_rows=n_cells, row_bytes=_CELL_BYTES)
+        sized = broadcast_if_small(state, at_most_rows=n_cells, row_bytes=row_bytes)
         state = _step(sized, spokes, delta)
-        if keep_all or step % checkpoint_every == 0:
-            state = state.checkpoint()
         if keep_all:
-            states.append(state.withColumn("step", F.lit(step)))
+            now = F.array(F.struct(F.lit(step).alias("step"), F.col("value").alias("value")))
+            state = state.withColumn("past", F.when(F.col("past").isNull(), now).otherwise(F.concat("past", now)))
+        if step % checkpoint_every == 0 or step == steps:
+            state = state.checkpoint()
+            if keep_all:
+                states.append(state.select("cell_id", F.explode("past").alias("then")).select("cell_id", "then.value", "then.step"))
+                state = state.withColumn("past", F.lit(None).cast(_PAST))
     if not keep_all:
-        return state
+        return state.drop("past")
     out = states[0]
     for later in states[1:]:
         out = out.unionByName(later)
     return out
+
+
+def convergence(states: DataFrame) -> DataFrame:
+    """Largest and mean absolute change of the cells in each step. A cell that a step adds
+    to the field does not count in that step."""
+    before = F.lag("value").over(Window.partitionBy("cell_id").orderBy("step"))
+    change = states.withColumn("change", F.abs(F.col("value") - before)).where("change is not null")
+    return change.groupBy("step").agg(F.max("change").alias("largest"), F.avg("change").alias("mean"))

@@ -1,28 +1,32 @@
-"""Demand regression and the trip-time model, with Spark ML."""
+"""Demand regression and the trip-time model."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbflow.functions.aggregates import Mean
 from curbflow.functions.timeparts import fractional_hour, mid_day, mid_hour
 from curbflow.operators.cleaning import short_trips
 from curbflow.operators.joins import broadcast_if_small
+from curbflow.session import enable_checkpoints
 
 RIDE_FACTORS = ("month", "weekday", "pickup_hour", "pickup_cell")
 RIDE_COVARIATES = ("temperature", "precipitation")
 
-# Columns beside the largest factor: their cross-products are one dense matrix,
-# and Spark's direct solver takes no more than this.
-MAX_COLUMNS = 4096
+# Columns beside the largest factor: their cross-products are one dense matrix of
+# 8 MB, held by every task that adds up groups and by the driver.
+MAX_COLUMNS = 1024
+
+# Of a column's own product, what elimination must leave for it to count as independent.
+LEAST_SHARE = 1e-9
 
 # Candidate splits of the time of day: one per five minutes by default.
 TIME_BINS = 288
@@ -35,6 +39,68 @@ def _all_known(columns: Sequence[str]):
     return known
 
 
+def independent_columns(within: np.ndarray, total: np.ndarray) -> list[int]:
+    """Columns that no others of the list make up, by elimination with pivots.
+
+    ``within`` is the matrix of cross-products, ``total`` how large each column's own product
+    was before means were taken out. The column with the largest share left goes first;
+    one with less than ``LEAST_SHARE`` left depends on those before it, or never varies.
+    """
+    left, chosen = within.copy(), []
+    free = [j for j in range(len(total)) if total[j] > 0]
+    while free:
+        pivot = max(free, key=lambda j: left[j, j] / total[j])
+        if left[pivot, pivot] <= LEAST_SHARE * total[pivot]:
+            break
+        chosen.append(pivot)
+        free.remove(pivot)
+        left -= np.outer(left[:, pivot], left[pivot]) / left[pivot, pivot]
+    return chosen
+
+
+def least_squares(within: np.ndarray, target: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Coefficients of all columns; those of dependent columns are zero."""
+    out = np.zeros(len(total))
+    chosen = independent_columns(within, total)
+    if chosen:
+        scale = np.sqrt(np.diag(within)[chosen])
+        part = within[np.ix_(chosen, chosen)] / np.outer(scale, scale)
+        out[chosen] = np.linalg.solve(part, target[chosen] / scale) / scale
+    return out
+
+
+def _symmetric(rows: list, size: int) -> np.ndarray:
+    out = np.zeros((size, size))
+    for i, j, v in rows:
+        out[i, j] = out[j, i] = v
+    return out
+
+
+def _between_groups(sums: DataFrame, size: int) -> DataFrame:
+    """``i, j, v``: the sum over groups of the products of their column sums, by their rows."""
+    vectors = sums.groupBy("_group").agg(F.max(F.when(F.col("i") < 0, F.col("s"))).alias("n"), F.collect_list(F.struct("i", "s")).alias("of"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((size, size))
+        for batch in batches:
+            n = batch.column(0).to_numpy()
+            length = np.diff(batch.column(1).offsets.to_numpy())
+            of = batch.column(1).flatten()
+            column, value = of.field(0).to_numpy(), of.field(1).to_numpy()
+            rows = np.zeros((len(n), size))
+            mine = column >= 0
+            rows[np.repeat(np.arange(len(n)), length)[mine], column[mine]] = value[mine]
+            held += rows.T @ (rows / n[:, None])
+        i, j = np.triu_indices(size)
+        kept = held[i, j] != 0
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i[kept].astype(np.int32)), pa.array(j[kept].astype(np.int32)), pa.array(held[i, j][kept])], ["i", "j", "v"]
+        )
+
+    partial = vectors.select("n", "of").mapInArrow(products, "i int, j int, v double")
+    return partial.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def ride_regression(
     rides: DataFrame,
     *,
@@ -45,51 +111,82 @@ def ride_regression(
     """Least squares of ``label`` on categories and weather.
 
     Adds ``<label>_hat`` and ``<label>_resid``. Rows with a missing input stay in
-    the result with NULL in both. ``rides`` is read several times, so pass a
-    stored table. Inputs that never vary are left out.
+    the result with NULL in both. ``rides`` is read three times, so pass a stored table.
 
-    The factor with most levels, usually the cell, may have any number of them: it is
-    eliminated by taking every input as its difference from the level's mean, which
-    leaves the fit of the others as it is. The others are solved for directly; above
-    ``MAX_COLUMNS`` of them this raises an error, as no second method stands in.
+    All sums come from one table, the rows added up by their categories; cross-products are
+    made from those sums. The factor with most levels, usually the cell, may have any
+    number of them: it is eliminated by its sums. Columns that never vary or that follow
+    from others are found by elimination with pivots and get no coefficient. Above
+    ``MAX_COLUMNS`` columns beside the largest factor this raises an error, as no second
+    method stands in.
     """
+    enable_checkpoints(rides.sparkSession)
     inputs = [label, *factors, *covariates]
     complete = rides.where(_all_known(inputs))
-    varies = complete.agg(*[(F.max(c) > F.min(c)).alias(c) for c in (*factors, *covariates)]).first()
-    levels = {f: complete.select(f).distinct().count() for f in factors if varies[f]}
-    group = max(levels, key=levels.get, default=None)
-    columns = [F.col(c).cast("double") for c in covariates if varies[c]]
-    n_columns = len(columns) + sum(n - 1 for f, n in levels.items() if f != group)
-    if n_columns > MAX_COLUMNS:
-        raise ValueError(f"{n_columns} columns beside {group}; at most {MAX_COLUMNS}")
-    for factor in levels.keys() - {group}:
-        # bounded by the check above
-        values = sorted(row[0] for row in complete.select(factor).distinct().collect())
-        columns += [(F.col(factor) == F.lit(v)).cast("double") for v in values[1:]]
-    keyed = complete.withColumn("_group", F.col(group) if group else F.lit(0))
-    middle = [F.avg(label).alias("_mean")]
-    if columns:
-        keyed = keyed.withColumn("_inputs", array_to_vector(F.array(*columns)))
-        middle.append(Summarizer.mean(F.col("_inputs")).alias("_center"))
-    means = keyed.groupBy("_group").agg(*middle)
-    bytes_each = F.lit(8 * n_columns + 64)
-    shifted = keyed.join(broadcast_if_small(means, row_weight=bytes_each), "_group")
-    estimate = F.col("_mean")
-    if columns:
-        gap = F.zip_with(vector_to_array("_inputs"), vector_to_array("_center"), lambda x, c: x - c)
-        shifted = shifted.withColumns({"_features": array_to_vector(gap), "_label": F.col(label) - F.col("_mean")})
-        fit = LinearRegression(
-            featuresCol="_features",
-            labelCol="_label",
-            predictionCol="_shift",
-            fitIntercept=False,
-            solver="normal",
-            maxIter=1000,  # only used where columns depend on each other
-            tol=1e-12,
+    measures = [*covariates, label]
+    # measured from their means, so that sums of squares do not cancel
+    center = complete.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in measures]).first()
+    moved = {c: F.col(c).cast("double") - F.lit(center[c]) for c in measures}
+    pairs = [(a, b) for k, a in enumerate(measures) for b in measures[k:]]
+    summed = (
+        complete.groupBy(*factors)
+        .agg(
+            F.count(F.lit(1)).cast("double").alias("_n"),
+            *[F.sum(moved[c]).alias(f"_s{k}") for k, c in enumerate(measures)],
+            *[F.sum(moved[a] * moved[b]).alias(f"_p{k}") for k, (a, b) in enumerate(pairs)],
         )
-        shifted = fit.fit(shifted.select("_features", "_label")).transform(shifted)
-        estimate = estimate + F.col("_shift")
-    scored = shifted.select(*rides.columns, estimate.alias(f"{label}_hat"))
+        .checkpoint()
+    )
+    counts = summed.agg(F.count(F.lit(1)).alias("_"), *[F.count_distinct(f).alias(f) for f in factors]).first()
+    group = max(factors, key=lambda f: counts[f], default=None)
+    others = [f for f in factors if f != group]
+    size = sum(counts[f] for f in others) + len(measures)
+    if size > MAX_COLUMNS:
+        raise ValueError(f"{size} columns beside {group}; at most {MAX_COLUMNS}")
+    # a column per level, then one per covariate, the label last
+    levels = summed.agg(*[F.sort_array(F.collect_set(f)).alias(f) for f in others]).first() if others else {}
+    place, at = {}, 0
+    for f in others:
+        place[f] = {v: at + k for k, v in enumerate(levels[f])}
+        at += len(place[f])
+    first = at
+
+    def lookup(factor: str, values: dict) -> Column:
+        flat = [F.lit(x) for pair in values.items() for x in pair]
+        return F.element_at(F.create_map(*flat), F.col(factor)) if flat else F.lit(None)
+
+    column = {f: lookup(f, place[f]) for f in others}
+    entries = [(column[f], column[g], F.col("_n")) for k, f in enumerate(others) for g in others[k:]]
+    entries += [(column[f], F.lit(first + k), F.col(f"_s{k}")) for f in others for k in range(len(measures))]
+    entries += [
+        (F.lit(first + measures.index(a)), F.lit(first + measures.index(b)), F.col(f"_p{k}")) for k, (a, b) in enumerate(pairs)
+    ]
+    entry = F.explode(F.array(*[F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), v.alias("v")) for i, j, v in entries]))
+    products = summed.select(entry.alias("e")).groupBy("e.i", "e.j").agg(F.sum("e.v").alias("v"))
+    parts = [(F.lit(-1), F.col("_n")), *[(column[f], F.col("_n")) for f in others]]
+    parts += [(F.lit(first + k), F.col(f"_s{k}")) for k in range(len(measures))]
+    part = F.explode(F.array(*[F.struct(i.cast("int").alias("i"), v.alias("s")) for i, v in parts]))
+    keyed = summed.select((F.col(group) if group else F.lit(0)).alias("_group"), part.alias("e"))
+    sums = keyed.groupBy("_group", F.col("e.i").alias("i")).agg(F.sum("e.s").alias("s")).checkpoint()
+    # both are at most the square of the columns
+    whole = _symmetric(products.collect(), size)
+    within = whole - _symmetric(_between_groups(sums, size).collect(), size)
+    beta = least_squares(within[:-1, :-1], within[:-1, -1], np.diag(whole)[:-1])
+    # of each group: what is left of its mean
+    share = F.when(F.col("i") < 0, 0.0).when(F.col("i") == size - 1, F.col("s"))
+    if size > 1:
+        share = share.otherwise(-F.col("s") * F.element_at(F.array(*[F.lit(float(x)) for x in beta]), F.col("i") + 1))
+    n = F.max(F.when(F.col("i") < 0, F.col("s")))
+    bases = sums.groupBy("_group").agg((F.sum(share) / n + F.lit(center[label])).alias("_base"))
+    estimate = F.col("_base")
+    for f in others:
+        estimate = estimate + lookup(f, {v: float(beta[k]) for v, k in place[f].items()})
+    for k, c in enumerate(covariates):
+        estimate = estimate + moved[c] * F.lit(float(beta[first + k]))
+    scored = complete.withColumn("_key", F.col(group) if group else F.lit(0)).join(
+        broadcast_if_small(bases), F.col("_key") == F.col("_group")
+    )
+    scored = scored.select(*rides.columns, estimate.alias(f"{label}_hat"))
     unknown = rides.where(~_all_known(inputs)).withColumn(f"{label}_hat", F.lit(None).cast("double"))
     return scored.unionByName(unknown).withColumn(
         f"{label}_resid", F.col(label) - F.col(f"{label}_hat")

@@ -321,6 +321,92 @@ PIECES["coarse_rides"] = (
         LEFT JOIN hourly w ON w.year = r.year AND w.month = r.month AND w.day = r.pickup_day AND w.hour = r.pickup_hour""",
 )
 
+# the full regression: months are columns 1 to 12, weekdays 13 to 19, hours 20 to 43, weather 44
+# and 45, the label 46; the cell is taken out by its means, the rest by elimination
+LABEL_COLUMN = 46
+
+
+def _regression(name: str, label: str) -> None:
+    PIECES[f"{name}_known"] = (
+        ("coarse_rides",),
+        f"""SELECT *, row_number() OVER () AS rid, {label} AS y FROM coarse_rides
+            WHERE temperature IS NOT NULL AND precipitation IS NOT NULL""",
+    )
+    PIECES[f"{name}_x"] = (
+        (f"{name}_known",),
+        " UNION ALL ".join(
+            f"SELECT rid, pickup_cell, {column} AS i, {value} AS x FROM {name}_known"
+            for column, value in (
+                ("CAST(month AS INTEGER)", "1.0::DOUBLE"),
+                ("CAST(12 + weekday AS INTEGER)", "1.0::DOUBLE"),
+                ("CAST(20 + pickup_hour AS INTEGER)", "1.0::DOUBLE"),
+                ("44", "temperature"),
+                ("45", "precipitation"),
+                (str(LABEL_COLUMN), "y"),
+            )
+        ),
+    )
+    PIECES[f"{name}_m"] = (
+        (f"{name}_x", f"{name}_known"),
+        f"""SELECT pickup_cell, i, sum(x) / max(n) AS m FROM {name}_x
+            JOIN (SELECT pickup_cell, count(*) AS n FROM {name}_known GROUP BY ALL) c USING (pickup_cell) GROUP BY ALL""",
+    )
+    PIECES[f"{name}_n"] = (
+        (f"{name}_known",),
+        f"SELECT pickup_cell, count(*) AS n FROM {name}_known GROUP BY ALL",
+    )
+    PIECES[f"{name}_a0"] = (
+        (f"{name}_x", f"{name}_m", f"{name}_n"),
+        f"""SELECT i, j, sum(v) AS v FROM (
+              SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM {name}_x a JOIN {name}_x b USING (rid) GROUP BY ALL
+              UNION ALL SELECT a.i, b.i AS j, -sum(a.m * b.m * n) AS v FROM {name}_m a JOIN {name}_m b USING (pickup_cell)
+                JOIN {name}_n USING (pickup_cell) GROUP BY ALL) p GROUP BY i, j""",
+    )
+    for k in range(1, LABEL_COLUMN):
+        PIECES[f"{name}_a{k}"] = (
+            (f"{name}_a{k - 1}",),
+            f"""SELECT a.i, a.j, CASE WHEN p.v IS NULL THEN a.v WHEN a.i = {k} THEN a.v / p.v
+                  ELSE a.v - coalesce(r.v, 0) * coalesce(c.v, 0) / p.v END AS v
+                FROM {name}_a{k - 1} a LEFT JOIN {name}_a{k - 1} r ON r.i = a.i AND r.j = {k}
+                LEFT JOIN {name}_a{k - 1} c ON c.i = {k} AND c.j = a.j
+                LEFT JOIN (SELECT v FROM {name}_a{k - 1} WHERE i = {k} AND j = {k} AND v > 1e-7) p ON true""",
+        )
+    last = f"{name}_a{LABEL_COLUMN - 1}"
+    PIECES[f"{name}_fit"] = (
+        (last, f"{name}_x", f"{name}_m", f"{name}_known"),
+        f"""SELECT k.* EXCLUDE (y), k.y, c.m + f.shift AS y_hat FROM {name}_known k
+            JOIN (SELECT pickup_cell, m FROM {name}_m WHERE i = {LABEL_COLUMN}) c USING (pickup_cell)
+            JOIN (SELECT x.rid, sum(b.v * x.x) - max(g.s) AS shift FROM {name}_x x
+                  JOIN (SELECT i, v FROM {last} WHERE j = {LABEL_COLUMN} AND i < {LABEL_COLUMN}
+                        AND i IN (SELECT i FROM {last} WHERE i = j AND abs(v - 1) < 1e-9)) b USING (i)
+                  JOIN (SELECT m.pickup_cell, sum(b.v * m.m) AS s FROM {name}_m m
+                        JOIN (SELECT i, v FROM {last} WHERE j = {LABEL_COLUMN} AND i < {LABEL_COLUMN}
+                              AND i IN (SELECT i FROM {last} WHERE i = j AND abs(v - 1) < 1e-9)) b USING (i)
+                        GROUP BY 1) g ON g.pickup_cell = x.pickup_cell
+                  GROUP BY x.rid) f USING (rid)""",
+    )
+    PIECES[f"{name}_all"] = (
+        (f"{name}_fit", "coarse_rides"),
+        f"""SELECT r.*, f.y_hat FROM coarse_rides r LEFT JOIN {name}_fit f
+            USING (pickup_cell, year, month, pickup_day, pickup_hour)""",
+    )
+
+
+_regression("plain", "rides::DOUBLE")
+_regression("logged", "ln(rides::DOUBLE)")
+RIDE_KEYS = ", ".join(registry.RIDE_KEYS)
+
+
+def _residual_means(grain: str) -> str:
+    keys = ["year", "month", "weekday", "pickup_day", *(["pickup_hour"] if grain == "hour" else [])]
+    clock = "pickup_hour, 30" if grain == "hour" else "12, 30"
+    fits = {"rides_hat": mean("y_hat"), "rides_resid": mean("(rides - y_hat)"), "residual": f"{mean('rides')} - {mean('y_hat')}"}
+    return f"""SELECT {', '.join(keys)}, {means(('rides', 'precipitation', 'temperature'))},
+        {', '.join(f'round({x}, 4) AS {name}' for name, x in fits.items())},
+        make_timestamp(year, month, pickup_day, {clock}, 0.0) AS datetime
+        FROM plain_all GROUP BY {', '.join(keys)}"""
+
+
 # graph
 PIECES["grid_edges"] = (
     ("used",),
@@ -434,6 +520,23 @@ def _density() -> str:
         GROUP BY point"""
 
 
+def _fitted_density(value: str, where: str) -> str:
+    """Each value on its two neighbouring points, then the kernel over all pairs of points."""
+    values = f"(SELECT {value} AS v FROM clean WHERE {where}) t"
+    place = "((v - start) / step)"
+    return f"""SELECT * FROM (
+        WITH a AS (SELECT count(*) AS n, min(v) AS low, max(v) AS high, 0.9::DOUBLE * pow(count(*), -0.2::DOUBLE)
+              * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34::DOUBLE) AS bw FROM {values}),
+        g AS (SELECT *, low - 3 * bw AS start, (high - low + 6 * bw) / 511 AS step FROM a),
+        b AS (SELECT CAST(floor{place} AS BIGINT) + side AS bin,
+              sum(CASE WHEN side = 0 THEN 1 - {place} + floor{place} ELSE {place} - floor{place} END) AS mass
+              FROM {values}, g, (VALUES (0), (1)) AS s(side) GROUP BY 1)
+        SELECT CAST(point AS INTEGER) AS point, round(start + point * step, 8) AS x,
+            round(sum(mass * exp(-0.5::DOUBLE * pow((point - bin) * step / bw, 2))) / (max(n) * max(bw) * sqrt(2 * pi())), 8)
+              AS density
+        FROM b, (SELECT unnest(range(0, 512)) AS point) p, g GROUP BY point, start, step) d"""
+
+
 def _smooth() -> str:
     bins, reach, sigma = (registry.SMOOTH[k] for k in ("bins", "reach", "sigma"))
     bx, by, within = _bin2d("pickup_longitude", "pickup_latitude", bins)
@@ -720,6 +823,18 @@ def build() -> dict[str, str]:
             _quantiles("(SELECT * FROM week_net WHERE weekday = 2) m", "net_trips_in", {"q01": 0.01, "q99": 0.99}, None),
             "week_net",
         ),
+        "fare_rate_quantiles": sql(
+            _quantiles("clean", "fare_rev_per_hour", {**registry.QUARTILES, "q01": 0.01, "q99": 0.99}, None), "clean"
+        ),
+        "fare_rate_quantiles_by_weekday": sql(
+            _quantiles(
+                f"(SELECT {part('weekday', 'pickup_datetime')} AS weekday, fare_rev_per_hour FROM clean) t",
+                "fare_rev_per_hour",
+                registry.QUARTILES,
+                "weekday",
+            ),
+            "clean",
+        ),
         "raster_hour_bins": sql("SELECT * FROM rides", "rides"),
         "fare_rate_grid": sql(_fare_map(f"{mean('fare_rev_per_hour')} AS fare_rev_per_hour"), "usual"),
         "passenger_grid": sql(_fare_map("CAST(sum(passenger_count) AS BIGINT) AS passenger_count"), "usual"),
@@ -734,6 +849,8 @@ def build() -> dict[str, str]:
             "usual",
         ),
         "fare_rate_density": sql(_density(), "usual"),
+        "log_fare_rate_density": sql(_fitted_density("ln(fare_rev_per_hour)", "fare_rev_per_hour > 0"), "clean"),
+        "passenger_density": sql(_fitted_density("passenger_count::DOUBLE", "true"), "clean"),
         "point_density_2d": sql(_smooth(), "clean"),
         "trip_time_distribution": sql(
             _quantiles(
@@ -790,6 +907,21 @@ def build() -> dict[str, str]:
             "rides",
             "hourly",
         ),
+        "ride_regression": sql(
+            f"SELECT {RIDE_KEYS}, rides, round(y_hat, 5) AS rides_hat, round(rides - y_hat, 5) AS rides_resid FROM plain_all",
+            "plain_all",
+        ),
+        "ride_regression_dependent": sql(
+            f"SELECT {RIDE_KEYS}, rides, round(y_hat, 5) AS rides_hat, round(rides - y_hat, 5) AS rides_resid FROM plain_all",
+            "plain_all",
+        ),
+        "log_ride_regression": sql(
+            f"""SELECT {RIDE_KEYS}, rides, round(exp(y_hat), 5) AS rides_hat,
+            round(exp(ln(rides::DOUBLE) - y_hat), 5) AS rides_resid FROM logged_all""",
+            "logged_all",
+        ),
+        "regression_residuals_daily": sql(_residual_means("day"), "plain_all"),
+        "regression_residuals_hourly": sql(_residual_means("hour"), "plain_all"),
         "ride_regression_totals": sql(
             "SELECT input, level, round(sum(rides * x), 2) AS rides_hat, count(*) AS n FROM ("
             + " UNION ALL ".join(
@@ -830,11 +962,19 @@ def build() -> dict[str, str]:
         ),
         "diffusion_steps": sql(
             " UNION ALL ".join(
-                f"SELECT {k} AS step, cell_id, round(value, 9) AS value FROM s{k}"
+                f"SELECT {k} AS step, cell_id, round(value, 6) AS value FROM s{k}"
                 for k in range(registry.DIFFUSION_STEPS + 1)
             ),
             *[f"s{k}" for k in range(registry.DIFFUSION_STEPS + 1)],
         ),
+        "diffusion_convergence": sql(
+            " UNION ALL ".join(
+                f"""SELECT CAST({k} AS INTEGER) AS step, round(max(abs(b.value - a.value)), 8) AS largest,
+                round(avg(abs(b.value - a.value)), 8) AS mean FROM s{k - 1} a JOIN s{k} b USING (cell_id)"""
+                for k in range(1, registry.DIFFUSION_STEPS + 1)
+            ),
+            *[f"s{k}" for k in range(registry.DIFFUSION_STEPS + 1)],
+        ),
         "repair_lines": sql(
             _raw_output("trips") + " WHERE trip_id % 53 <> 0 AND trip_id % 59 <> 0 AND trip_id % 61 <> 0 AND trip_id % 67 <> 0",
             "trips",
@@ -845,6 +985,14 @@ def build() -> dict[str, str]:
             "trips",
         ),
         "canonical_headers": sql(_raw_output("trips"), "trips"),
+        "header_survey": sql(
+            """SELECT CAST(18 + CASE WHEN g = 1 THEN 0 ELSE 1 END AS INTEGER) AS width,
+            CASE g WHEN 1 THEN 'g1_col01 g1_col02' WHEN 2 THEN 'V1 g2_col01' ELSE 'g3_col01 g3_col02' END AS names,
+            min(m) AS first_month, max(m) AS last_month, count(DISTINCT m) AS months
+            FROM (SELECT trip_id % 3 + 1 AS g, strftime(pickup_datetime, '%Y-%m') AS m FROM trips) t GROUP BY g""",
+            "trips",
+        ),
+        "raw_files_net_flow": sql(f"SELECT {net} FROM net_coarse", "net_coarse"),
         "manifest_parts": """SELECT DISTINCT 'https://example.org/data/' || strftime(o_orderdate, '%Y/tripdata_%Y-%m.csv') AS url,
             strftime(o_orderdate, 'tripdata_%Y-%m.csv') AS file_name, CAST(year(o_orderdate) AS INTEGER) AS year,
             CAST(month(o_orderdate) AS INTEGER) AS month FROM orders""",

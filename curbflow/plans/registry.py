@@ -20,6 +20,7 @@ from curbflow.operators import cleaning, flows, graph, models, raster, rollup, s
 from curbflow.operators import weather as readings_ops
 from curbflow.operators.joins import broadcast_if_small
 from curbflow.plans import standins
+from curbflow.plans.ingest import tag_cells
 from curbflow.plans.mobility import area_weeks, net_with_areas
 from curbflow.plans.standins import COARSE, GRID
 from curbflow.plans.transport import transport_graph
@@ -37,8 +38,8 @@ RTL = Raster(800, left_to_right=False)
 RIDE_GRID = raster.FineGrid(lon_min=-74.05, lon_max=-73.75, lat_min=40.6)
 DENSITY = {"bandwidth": 2.0, "low": 0.0, "high": 205.0, "points": 512}
 SMOOTH = {"bins": 99, "reach": 3, "sigma": 1.5}
-DIFFUSION_STEPS = 4
-CROSS_CELLS = 25
+DIFFUSION_STEPS = 99
+CROSS_CELLS = 400
 SAMPLE_SIZE = 500
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -453,8 +454,20 @@ def net_bounds(spark, sf_dir):
 @query
 def net_quantiles(spark, sf_dir):
     week = _net_week(spark, sf_dir, ["region_id"]).where(F.col("weekday") == rollup.MONDAY)
-    probs = {"q01": 0.01, "q99": 0.99}
-    return stats.exact_quantiles(week, "net_trips_in", probs, bucket_width=0.25)
+    return stats.exact_quantiles(week, "net_trips_in", {"q01": 0.01, "q99": 0.99})
+
+
+@query
+def fare_rate_quantiles(spark, sf_dir):
+    """Quantiles of a continuous value over all valid trips."""
+    trips = cleaning.clean_trips(_timed(spark, sf_dir))
+    return stats.exact_quantiles(trips, "fare_rev_per_hour", {**QUARTILES, "q01": 0.01, "q99": 0.99})
+
+
+@query
+def fare_rate_quantiles_by_weekday(spark, sf_dir):
+    trips = cleaning.clean_trips(_timed(spark, sf_dir))
+    return stats.exact_quantiles(trips, "fare_rev_per_hour", QUARTILES, ["weekday"])
 
 
 # --- rasters, rates, densities --------------------------------------------------------
@@ -518,6 +531,23 @@ def fare_rate_density(spark, sf_dir):
     return raster.kernel_density(usual, F.col("fare_rev_per_hour"), **DENSITY)
 
 
+def _rounded_density(density):
+    return density.select("point", *[F.round(c, 8).alias(c) for c in ("x", "density")])
+
+
+@query
+def log_fare_rate_density(spark, sf_dir):
+    """Density of the logarithm of the fare rate, with a bandwidth from the data."""
+    trips = cleaning.clean_trips(_timed(spark, sf_dir)).where("fare_rev_per_hour > 0")
+    return _rounded_density(raster.fitted_density(trips, F.log("fare_rev_per_hour")))
+
+
+@query
+def passenger_density(spark, sf_dir):
+    trips = cleaning.clean_trips(_timed(spark, sf_dir))
+    return _rounded_density(raster.fitted_density(trips, F.col("passenger_count")))
+
+
 @query
 def point_density_2d(spark, sf_dir):
     counts = raster.binned_2d(
@@ -631,9 +661,32 @@ def _coarse_rides(spark, sf_dir):
     return readings_ops.rides_with_weather(rides, _stored_hourly(spark, sf_dir)).checkpoint()
 
 
+RIDE_KEYS = ["pickup_cell", "year", "month", "pickup_day", "pickup_hour"]
+
+
+def _scored(out, label="rides"):
+    fits = [F.round(c, 5).alias(c) for c in (f"{label}_hat", f"{label}_resid")]
+    return out.select(*RIDE_KEYS, label, *fits)
+
+
 @query
 def ride_regression(spark, sf_dir):
-    return models.ride_regression(_coarse_rides(spark, sf_dir))
+    return _scored(models.ride_regression(_coarse_rides(spark, sf_dir)))
+
+
+@query
+def ride_regression_dependent(spark, sf_dir):
+    """A column that never varies and one that follows from another change nothing."""
+    rides = _coarse_rides(spark, sf_dir).withColumns(
+        {"one": F.lit(1.0), "warmth": F.col("temperature") * 2 - F.col("precipitation") + 7}
+    )
+    covariates = ("one", "warmth", *models.RIDE_COVARIATES)
+    return _scored(models.ride_regression(rides, covariates=covariates))
+
+
+@query
+def log_ride_regression(spark, sf_dir):
+    return _scored(models.log_ride_regression(_coarse_rides(spark, sf_dir)))
 
 
 @query
@@ -675,14 +728,20 @@ def ride_regression_on_wind(spark, sf_dir):
     return out.select("pickup_cell", "pickup_day", "pickup_hour", "rides", fitted)
 
 
+def _residuals(spark, sf_dir, grain):
+    scored = models.ride_regression(_coarse_rides(spark, sf_dir))
+    means = models.spatial_means(scored, grain, mean=MEAN)
+    return means.withColumns({c: F.round(c, 4) for c in ("rides_hat", "rides_resid", "residual")})
+
+
 @query
 def regression_residuals_daily(spark, sf_dir):
-    return models.spatial_means(models.ride_regression(_coarse_rides(spark, sf_dir)), "day")
+    return _residuals(spark, sf_dir, "day")
 
 
 @query
 def regression_residuals_hourly(spark, sf_dir):
-    return models.spatial_means(models.ride_regression(_coarse_rides(spark, sf_dir)), "hour")
+    return _residuals(spark, sf_dir, "hour")
 
 
 @query
@@ -736,16 +795,26 @@ def split_field(spark, sf_dir):
     return graph.split_field(_used_cells(spark, sf_dir), GRID)
 
 
-@query
-def diffusion_steps(spark, sf_dir):
-    """Pickups per cell spread over the transport graph, every state kept."""
+def _diffused(spark, sf_dir):
     field = _used_cells(spark, sf_dir).select(
         "cell_id", F.col("pickups").cast("double").alias("value")
     )
-    states = graph.diffusion(
+    return graph.diffusion(
         field, _transport(spark, sf_dir), DIFFUSION_STEPS, delta=0.25, keep_all=True
     )
-    return states.select("step", "cell_id", F.round("value", 9).alias("value"))
+
+
+@query
+def diffusion_steps(spark, sf_dir):
+    """Pickups per cell spread over the transport graph, every state kept."""
+    return _diffused(spark, sf_dir).select("step", "cell_id", F.round("value", 6).alias("value"))
+
+
+@query
+def diffusion_convergence(spark, sf_dir):
+    """How much each step still changes the field."""
+    change = graph.convergence(_diffused(spark, sf_dir))
+    return change.select("step", *[F.round(c, 8).alias(c) for c in ("largest", "mean")])
 
 
 # --- raw input, sinks, SQL -------------------------------------------------------------------
@@ -790,6 +859,23 @@ def canonical_headers(spark, sf_dir):
     return out
 
 
+@query
+def header_survey(spark, sf_dir):
+    """Generations of the raw files on disk: width, first names and months."""
+    survey = raw.survey_headers(spark, standins.raw_files(spark, sf_dir))
+    month = F.regexp_extract("path", r"month=(\d{4}-\d{2})", 1)
+    return survey.groupBy(F.size("header").alias("width"), F.array_join(F.slice("header", 1, 2), " ").alias("names")).agg(
+        F.min(month).alias("first_month"), F.max(month).alias("last_month"), F.count_distinct(month).alias("months")
+    )
+
+
+@query
+def raw_files_net_flow(spark, sf_dir):
+    """From text files of drifting headers to net flow per cell and slot."""
+    trips = raw.read_trips(spark, standins.raw_files(spark, sf_dir), exact_width=True)
+    return flows.net_flow(tag_cells(trips, COARSE), "grid")
+
+
 @query
 def manifest_parts(spark, sf_dir):
     """Monthly file addresses for the months that have orders."""

@@ -6,6 +6,8 @@ that any SQL engine repeats exactly. All of them read their whole table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,6 +191,48 @@ def header_generations(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return out
 
 
+FILE_ROWS = 1_000_000
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> str:
+    """Every trip in text files of three generations, by month, in a new folder.
+
+    The first generation has blanks after the commas of its header and blank lines in
+    front, the second a column of row numbers, the third one field more and is gzipped.
+    Every file also has a second header, a blank line and a line that is too short.
+    """
+    df = trips(spark, sf_dir)
+    trip, month = F.col("trip_id"), F.date_format("pickup_datetime", "yyyy-MM")
+    generation = F.pmod(trip, F.lit(3)) + 1
+    fields = raw_fields(df)
+    wide = [*fields[:-1], F.lit("0.3"), fields[-1]]
+    line = (
+        F.when(generation == 1, F.concat_ws(",", *fields))
+        .when(generation == 2, F.concat_ws(",", (trip + 1).cast("string"), *fields))
+        .otherwise(F.concat_ws(",", *wide))
+    )
+    files = max(1, table(spark, sf_dir, "events").count() // FILE_ROWS)  # of one generation and month
+    keys = ["generation", "month", "part"]
+    lines = df.select(
+        generation.cast("int").alias("generation"),
+        month.alias("month"),
+        F.pmod(F.xxhash64("trip_id"), F.lit(files)).cast("int").alias("part"),
+        F.lit(2).alias("place"),
+        line.alias("value"),
+    )
+    names = {g: [f"g{g}_col{i:02d}" for i in range(1, RAW_WIDTH + 1 + (g == 3))] for g in (1, 2, 3)}
+    headers = {1: " , ".join(names[1]), 2: ",".join(["", *names[2]]), 3: ",".join(f'"{n}"' for n in names[3])}
+    header = F.when(F.col("generation") == 1, headers[1]).when(F.col("generation") == 2, headers[2]).otherwise(headers[3])
+    noise = [(0, F.lit("  ")), (1, header), (3, header), (4, F.lit("")), (5, F.lit("1,2,3"))]
+    added = F.explode(F.array(*[F.struct(F.lit(k).alias("place"), v.alias("value")) for k, v in noise]))
+    others = lines.select(*keys).distinct().select(*keys, added.alias("line")).select(*keys, "line.*")
+    files_of = lines.unionByName(others).repartition(*keys).sortWithinPartitions(*keys, "place").drop("place")
+    root = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    for name, chosen, packed in (("plain", F.col("generation") < 3, "none"), ("packed", F.col("generation") == 3, "gzip")):
+        files_of.where(chosen).write.partitionBy(*keys).option("compression", packed).text(f"{root}/{name}")
+    return root
+
+
 OBSERVATIONS_PER_PAGE = 3
 
 

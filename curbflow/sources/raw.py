@@ -8,12 +8,14 @@ column 18 or, in the widest generation, column 19.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbflow.functions.text import file_month, file_name, file_year
+from curbflow.functions.timeparts import wall_clock
+from curbflow.operators.joins import broadcast_if_small
+from curbflow.session import enable_checkpoints
 
 # Canonical names of the columns by position, from 1.
 CANONICAL_BY_POSITION = {
@@ -118,41 +120,77 @@ def rejected_lines(lines: DataFrame, n: int, line: str = "value") -> DataFrame:
     return drop_blank_lines(lines, line).where(field_count(F.col(line)) != n)
 
 
+def header_names(line: Column) -> Column:
+    """Names in a header line, without blanks and quotes around them. A name left empty
+    is called by its position: the row numbers of an export become ``V1``."""
+    names = F.transform(F.split(line, ",", -1), lambda name: F.trim(F.btrim(F.trim(name), F.lit('"'))))
+    return F.transform(
+        names, lambda name, i: F.when(name == "", F.concat(F.lit("V"), (i + 1).cast("string"))).otherwise(name)
+    )
+
+
+def is_header(line: Column, names: Column, first: Column) -> Column:
+    """Does the line hold these names? ``first`` is one of them: only lines in which it
+    occurs are split and compared."""
+    return line.contains(first) & (header_names(line) == names)
+
+
 def parse_lines(lines: DataFrame, header: Sequence[str], line: str = "value") -> DataFrame:
     """Split CSV lines into text columns named by ``header``; header lines go,
     with or without blanks around their names."""
     schema = ", ".join(f"`{name}` string" for name in header)
-    names = F.array_join(F.transform(F.split(line, ","), lambda name: F.trim(name)), ",")
-    body = lines.where(names != ",".join(name.strip() for name in header))
+    names = [name.strip() for name in header]
+    literal = F.array(*[F.lit(name) for name in names])
+    body = lines.where(~is_header(F.col(line), literal, F.lit(max(names, key=len))))
     return body.select(F.from_csv(line, schema, {"mode": "PERMISSIVE"}).alias("row")).select("row.*")
 
 
 # --- headers ---------------------------------------------------------------
 
+MOST_HEADERS = 1000  # different headers that one data set may have
+
 
-def survey_headers(
-    spark: SparkSession, paths: Iterable[str], threads: int = 8
-) -> dict[str, Header]:
-    """Header of each file, from its first non-blank line only."""
+def raw_lines(spark: SparkSession, paths: str | Iterable[str], **options: str) -> DataFrame:
+    """``value`` of every line, the ``path`` of its file, and ``place``, which sorts the
+    lines of a file. ``options`` go to the text source, e.g. ``pathGlobFilter``."""
+    options = {"recursiveFileLookup": "true", **options}  # folders named key=value are no columns here
+    lines = spark.read.options(**options).text([paths] if isinstance(paths, str) else list(paths))
+    # a file's blocks sort by where they start, the lines of a block by the running number
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return lines.select("value", F.col("_metadata.file_path").alias("path"), place.alias("place"))
 
-    def first_line(path: str) -> Header:
-        line = drop_blank_lines(spark.read.text(path)).limit(1).first()
-        return tuple(name.strip() for name in line[0].split(",")) if line else ()
 
-    paths = list(paths)
-    with ThreadPoolExecutor(threads) as pool:
-        return dict(zip(paths, pool.map(first_line, paths)))
+def survey_headers(spark: SparkSession, paths: str | Iterable[str], **options: str) -> DataFrame:
+    """``path, header``: the names in the first non-blank line of every file that has one.
+
+    One job over all files, whatever their number: the first line of each is a minimum,
+    taken in the scan and then across the blocks of a file.
+    """
+    lines = drop_blank_lines(raw_lines(spark, paths, **options))
+    first = lines.groupBy("path").agg(F.min_by("value", "place").alias("value"))
+    return first.select("path", header_names(F.col("value")).alias("header"))
+
+
+def distinct_headers(survey: DataFrame) -> list[Header]:
+    """The generations of a survey, those of most files first."""
+    counted = survey.groupBy("header").agg(F.count(F.lit(1)).alias("files"))
+    rows = counted.orderBy(F.desc("files"), "header").limit(MOST_HEADERS + 1).collect()
+    if len(rows) > MOST_HEADERS:
+        raise ValueError(f"more than {MOST_HEADERS} different headers; are these files of one data set?")
+    return [tuple(row["header"]) for row in rows]
 
 
 def canonical_names(header: Sequence[str]) -> dict[str, str]:
-    """Raw name → canonical name for one header, by position."""
+    """Raw name → canonical name for one header, by position. A column of row numbers in
+    front does not count."""
+    names_only = header[1:] if header and header[0] == "V1" else header
     names = {
-        header[position - 1]: canonical
+        names_only[position - 1]: canonical
         for position, canonical in CANONICAL_BY_POSITION.items()
-        if position <= len(header)
+        if position <= len(names_only)
     }
-    if len(header) >= 18:
-        names[header[-1]] = TOTAL
+    if len(names_only) >= 18:
+        names[names_only[-1]] = TOTAL
     return names
 
 
@@ -187,42 +225,47 @@ def typed(df: DataFrame) -> DataFrame:
 # --- reading ---------------------------------------------------------------
 
 
-def read_generation(
-    spark: SparkSession,
-    paths: Sequence[str],
-    header: Header,
-    aliases: Mapping[str, Sequence[str]],
-    *,
-    exact_width: bool = False,
-) -> DataFrame:
-    """Files with one header: repair lines, split, rename and cast, in one scan."""
-    lines = drop_blank_lines(spark.read.text(list(paths)))
-    if exact_width:
-        lines = keep_field_count(lines, len(header))
-    return typed(rename_canonical(parse_lines(lines, header), aliases))
+def file_layouts(spark: SparkSession, headers: Sequence[Header]) -> tuple[list[str], DataFrame]:
+    """The columns of all generations together, and for each header the places in its lines
+    where they stand: ``header, width, named, slots``, a slot being null where a generation
+    lacks the column."""
+    canonical = {raw: name for name, raws in alias_sets(headers).items() for raw in raws}
+    renamed = [[canonical.get(raw, raw) for raw in header] for header in headers]
+    columns = list(dict.fromkeys(name for names in renamed for name in names))
+    rows = [
+        (list(header), len(header), max(header, key=len), [names.index(c) if c in names else None for c in columns])
+        for header, names in zip(headers, renamed)
+    ]
+    return columns, spark.createDataFrame(rows, "header array<string>, width int, named string, slots array<int>")
 
 
 def read_trips(
-    spark: SparkSession, paths: Iterable[str], *, exact_width: bool = False
+    spark: SparkSession, paths: str | Iterable[str], *, exact_width: bool = False, **options: str
 ) -> DataFrame:
-    """All raw trip files under one canonical schema.
+    """All raw trip files under one canonical schema, in one scan.
 
-    Files are grouped by header, so the plan has one scan per header generation
-    and not one per file. Columns a generation lacks are NULL.
+    A survey finds the header of every file; each line then meets its file's layout by a
+    join on the path, and every column is taken from the place where that layout has it.
+    Neither files nor generations multiply the scans, and no list of files is kept on the
+    driver. Columns a generation lacks are NULL. Blank lines and repeated headers go;
+    with ``exact_width`` so do lines that are wider or narrower than their header.
     """
-    headers = survey_headers(spark, paths)
-    aliases = alias_sets(headers.values())
-    by_header: dict[Header, list[str]] = {}
-    for path, header in headers.items():
-        if header:
-            by_header.setdefault(header, []).append(path)
-    if not by_header:
+    enable_checkpoints(spark)
+    survey = survey_headers(spark, paths, **options).checkpoint()
+    headers = distinct_headers(survey)
+    if not headers:
         raise ValueError("no file with a header line")
-    generations = [
-        read_generation(spark, files, header, aliases, exact_width=exact_width)
-        for header, files in by_header.items()
-    ]
-    out = generations[0]
-    for generation in generations[1:]:
-        out = out.unionByName(generation, allowMissingColumns=True)
-    return out
+    columns, layouts = file_layouts(spark, headers)
+    by_path = survey.join(F.broadcast(layouts), "header")
+    lines = drop_blank_lines(raw_lines(spark, paths, **options)).drop("place").join(broadcast_if_small(by_path), "path")
+    if exact_width:
+        lines = lines.where(field_count(F.col("value")) == F.col("width"))
+    lines = lines.where(~is_header(F.col("value"), F.col("header"), F.col("named")))
+    widest = max(map(len, headers))
+    schema = ", ".join(f"_{i} string" for i in range(widest))
+    mode = {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    fields = lines.select(F.from_csv("value", schema, mode).alias("row"), "slots")
+    fields = fields.select(F.array(*[F.col(f"row._{i}") for i in range(widest)]).alias("fields"), "slots")
+    rows = fields.select(*[F.get("fields", F.get("slots", F.lit(k))).alias(name) for k, name in enumerate(columns)])
+    clocks = [c for c in ("pickup_datetime", "dropoff_datetime") if c in columns]
+    return typed(rows).withColumns({c: wall_clock(F.col(c)) for c in clocks})

@@ -49,8 +49,10 @@ def test_list_files_by_pattern(spark, raw_folder):
 
 def test_header_survey_and_aliases(spark, raw_folder):
     paths = [r["path"] for r in raw.list_files(spark, raw_folder).collect()]
-    headers = raw.survey_headers(spark, paths)
-    assert set(headers.values()) == {NARROW, RENAMED, WIDE}
+    survey = raw.survey_headers(spark, paths)
+    by_name = {r["path"].rsplit("/", 1)[1]: tuple(r["header"]) for r in survey.collect()}
+    assert by_name == {"trips_2009-01.csv": NARROW, "trips_2010-02.csv": RENAMED, "trips_2015-03.csv": WIDE}
+    assert set(raw.distinct_headers(survey)) == {NARROW, RENAMED, WIDE}
     aliases = raw.alias_sets([NARROW, RENAMED, WIDE, NARROW])
     assert len(aliases) == 17
     assert aliases["pickup_datetime"] == ["g1_col02", "g2_col02", "g3_col02"]
@@ -71,6 +73,56 @@ def test_read_trips_with_repair(spark, raw_folder):
     assert "g1_col14" in loose.columns and "g3_col18" in loose.columns
 
 
+def test_survey_takes_one_job(spark, folder):
+    """Many small files, blocks of one file apart, blank starts, quotes, gzip, no lines at all."""
+    import gzip
+
+    for i in range(60):
+        with open(f"{folder}/t_{i:02d}.csv", "w") as file:
+            file.write("\n \n" * (i % 3) + ('"a", b ,"c"' if i % 2 else ",x,y") + "\n" + f"{i},2,3\n" * 40)
+    with gzip.open(f"{folder}/t_60.csv.gz", "wt") as file:
+        file.write("\n" + ",".join(WIDE) + "\n" + line(1, 19) + "\n")
+    open(f"{folder}/t_61.csv", "w").close()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        spark.sparkContext.setJobGroup("survey", "survey")
+        survey = raw.survey_headers(spark, folder, pathGlobFilter="t_*").collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("survey")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # adaptive execution runs the two stages of one query as two jobs
+    assert len(jobs) <= 2
+    found = {int(r["path"].split("t_")[1][:2]): r["header"] for r in survey}
+    assert set(found) == set(range(61))
+    assert all(found[i] == (["a", "b", "c"] if i % 2 else ["V1", "x", "y"]) for i in range(60))
+    assert found[60] == list(WIDE)
+
+
+def test_too_many_headers(spark, folder, monkeypatch):
+    monkeypatch.setattr(raw, "MOST_HEADERS", 2)
+    for i in range(3):
+        with open(f"{folder}/t{i}.csv", "w") as file:
+            file.write(f"a{i},b\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        raw.read_trips(spark, folder)
+    with pytest.raises(ValueError, match="no file"):
+        raw.read_trips(spark, folder, pathGlobFilter="*.none")
+
+
+def test_row_numbers_do_not_shift_columns(spark, folder):
+    with open(f"{folder}/a.csv", "w") as file:
+        file.write(" ," + " , ".join(NARROW) + "\n" + "1," + line(1) + "\n" + "," + ",".join(NARROW) + "\n2, " + line(2) + "\n")
+    with open(f"{folder}/b.csv", "w") as file:
+        file.write(",".join(WIDE) + "\n" + line(3, 19) + "\n")
+    df = raw.read_trips(spark, folder)
+    rows = sorted(tuple(r) for r in df.select("V1", "tip_amount", "total_amount", "vendor_id").fillna("none").collect())
+    assert rows == [("1", 1.0, 12.5, "CMT"), ("2", 2.0, 12.5, "CMT"), ("none", 3.0, 12.5, "CMT")]
+    assert dict(df.dtypes)["pickup_datetime"] == "timestamp_ntz"
+    assert df.where("pickup_datetime is null").count() == 0
+
+
 def test_rejected_lines_are_kept_apart(spark, raw_folder):
     lines = spark.read.text(f"{raw_folder}/trips_2010-02.csv")
     assert raw.rejected_lines(lines, 18).count() == 2
