@@ -2,28 +2,32 @@
 
 A rolling hash over the bytes of a text picks the places to cut, so equal passages
 are cut alike wherever they stand. Chunks that occur more than once in the corpus are
-encoded once, in a job of their own; chunks of one document are encoded where the
-document is. Joins are repaired: the words that a cut split are put together and encoded.
-
-Which chunks are shared is found by counting chunk names. A document without any is
-finished in the scan. The others send their pieces through one join. A fixed-size
-bitmap tells a scan which names may be shared (see ``common.sieve``); a false alarm
-costs a join row, never a result.
-
-Words here are runs without space, tab, LF and CR, and independent: each is encoded by
-itself, which is right for a vocabulary whose tokens never cross blanks, as the query's.
-A tokenizer for which this does not hold must not be used here; nothing would tell.
-
-Cases: a null or empty text has no tokens. Repeated rows are each answered: rows are
-told apart by a number given when the documents are stored. Any text length is cut the
-same way; a text without a word boundary is one piece. Only ``doc_id`` and ``text`` are read.
+encoded once, in a job of their own; a document without any is encoded where it is read.
+
+Joins are repaired: around every cut a window of the text, from a word before to a word
+after the one that the cut may have split and with the blanks as they stand, is encoded as
+one string. Where the tokens of its outer words equal those of the chunks, they take the
+chunks' place; else the window takes in twice as many words, in the end the whole text. So
+a tokenizer whose tokens cross blanks is encoded right as well, as long as what it does to
+a word does not depend on text further away than such an agreement.
+
+Which chunks are shared is found by counting chunk names. Documents with shared chunks send
+their pieces through one join. A fixed-size bitmap tells a scan which names may be shared
+(see ``common.sieve``); a false alarm costs a join row, never a result.
+
+Cases: a null or empty text has no tokens. Repeated rows are each answered; rows that repeat
+a (doc_id, text), told by a hash of both, share their pieces. Any text length is cut the
+same way; a text without a word boundary is encoded whole. Only ``doc_id`` and ``text``
+are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,63 +37,24 @@ from pyspark.sql import functions as F
 from curbflow.llm.common import in_sieve, map_rows, sieve, written
 
 _WORD = re.compile("[^ \n\t\r]+")
-_SPACES = " \n\t\r"
 _WINDOW = 5  # doublings: a cut depends on the 32 bytes before it
-_CACHE_WORDS = 400_000
+_GROUP_CHARS = 200_000  # text that goes to the library at once, and the most of one text as one string
+_NEAR = 200  # characters on each side in which the words of a window are looked for first
 
-_ENCODERS: dict[str, "WordEncoder"] = {}
+_TOKENIZERS: dict = {}
 
 
-class WordEncoder:
-    """Words to (ids, tokens) as text, remembered up to a bound."""
-
-    def __init__(self, path: str):
+def tokenizer(path: str):
+    """The library's tokenizer, one per Python worker, on the task's own core."""
+    if path not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, tuple[str, str]] = {}
-
-    def pairs(self, words: list[str]) -> list[tuple[str, str]]:
-        """For each word its ids and its tokens, each joined by blanks; both empty
-        where the word gives no token."""
-        if len(self.known) > _CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        # many words go through the library as one text; a token belongs to the word
-        # it starts in
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, tokens = found.ids, found.tokens
-            ends = np.cumsum([len(w) + 1 for w in part])
-            owner = np.searchsorted(ends, np.array([o[0] for o in found.offsets], dtype=np.int64), side="right")
-            edges = np.searchsorted(owner, np.arange(len(part) + 1)).tolist()
-            for w, a, b in zip(part, edges, edges[1:]):
-                known[w] = (" ".join(map(str, ids[a:b])), " ".join(tokens[a:b]))
-        return [known[w] for w in words]
-
-    def packed(self, words: list[str]) -> tuple[bytes, bytes]:
-        """Ids of the words and how many each has, as numbers of four bytes."""
-        ids = [p[0].split() for p in self.pairs(words)]
-        flat = np.array([int(i) for own in ids for i in own], "<u4")
-        return flat.tobytes(), np.array([len(own) for own in ids], "<u4").tobytes()
-
-    def unpacked(self, ids: bytes, counts: bytes) -> list[tuple[str, str]]:
-        flat = np.frombuffer(ids, "<u4").tolist()
-        ends = np.cumsum(np.frombuffer(counts, "<u4")).tolist()
-        token = self.tokenizer.id_to_token
-        parts = [flat[a:b] for a, b in zip([0, *ends], ends)]
-        return [(" ".join(map(str, own)), " ".join(map(token, own))) for own in parts]
-
-
-def encoder(path: str) -> WordEncoder:
-    """One per Python worker: its memory serves all tasks of the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+        found = Tokenizer.from_file(path)
+        found.no_truncation()
+        found.no_padding()
+        _TOKENIZERS[path] = found
+    return _TOKENIZERS[path]
 
 
 _GEAR = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -120,53 +85,112 @@ def chunk_name(chunk: str) -> tuple[int, int]:
     return tuple(int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
 
 
-def inner(chunk: str, first: bool, last: bool) -> tuple[int, int]:
-    """The part of a chunk that whole words make up, whatever its neighbours hold."""
-    start, end = 0, len(chunk)
-    if not first:
-        while start < end and chunk[start] not in _SPACES:
-            start += 1
-    if not last:
-        while end > start and chunk[end - 1] not in _SPACES:
-            end -= 1
-    return start, end
-
-
-def encode_inner(chunk: str, enc: WordEncoder) -> tuple[list[str], list[tuple[str, str]]]:
-    """Words of a chunk's inner part with their tokens."""
-    start, end = inner(chunk, False, False)
-    words = _WORD.findall(chunk[start:end])
-    return words, enc.pairs(words)
-
-
-def assemble(chunks: list[str], pairs: list[list[tuple[str, str]]], enc: WordEncoder) -> list[tuple[str, str]]:
-    """Tokens of the whole text from those of its chunks' inner parts.
-
-    What a cut split hangs over from one inner part to the next; its words are encoded
-    by themselves.
-    """
-    out: list[tuple[str, str]] = []
-    hanging = ""
-    for chunk, own in zip(chunks, pairs):
-        start, end = inner(chunk, False, False)
-        if start == end:  # no boundary inside: all of it hangs over
-            hanging += chunk
-            continue
-        out += enc.pairs(_WORD.findall(hanging + chunk[:start]))
-        out += own
-        hanging = chunk[end:]
-    out += enc.pairs(_WORD.findall(hanging))
+@dataclass
+class Tokens:
+    """Ids with the places they come from, in code points of a text."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def moved(self, by: int) -> Tokens:
+        return Tokens(self.ids, self.starts + by, self.ends + by)
+
+    def packed(self) -> bytes:
+        """Ids, distances of the starts and lengths, one after the other."""
+        steps = np.diff(self.starts, prepend=0)
+        return b"".join([self.ids.astype("<u4").tobytes(), steps.astype("<i4").tobytes(), (self.ends - self.starts).astype("<u4").tobytes()])
+
+    @staticmethod
+    def unpacked(raw: bytes) -> Tokens:
+        n = len(raw) // 12
+        starts = np.cumsum(np.frombuffer(raw, "<i4", n, 4 * n)).astype(np.int64)
+        return Tokens(np.frombuffer(raw, "<u4", n), starts, starts + np.frombuffer(raw, "<u4", n, 8 * n))
+
+    @staticmethod
+    def joined(parts: list[Tokens]) -> Tokens:
+        return Tokens(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "starts", "ends")))
+
+
+def encoded(texts: list[str], library) -> list[Tokens]:
+    """Each text as one string, a bounded amount at a time."""
+    out: list[Tokens] = []
+    group: list[str] = []
+    size = 0
+    for i, text in enumerate(texts):
+        group.append(text)
+        size += len(text)
+        if size >= _GROUP_CHARS or i == len(texts) - 1:
+            for e in library.encode_batch(group, add_special_tokens=False):
+                places = np.array(e.offsets, np.int64).reshape(-1, 2)
+                out.append(Tokens(np.array(e.ids, np.uint32), places[:, 0], places[:, 1]))
+            group, size = [], 0
     return out
 
 
-def digests(pairs: list[tuple[str, str]]) -> tuple[int, str, str]:
-    ids = " ".join([p[0] for p in pairs if p[0]])
-    decoded = " ".join([p[1] for p in pairs if p[0]])
-    n = ids.count(" ") + 1 if ids else 0
-    return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+def _outer(text: str, cut: int, words: int) -> tuple[int, int, int, int]:
+    """A window around a cut: its start, the end of its first word, the start of its last
+    word, its end. So many whole words stand on each side of the word that the cut may
+    split; the window starts with the blanks before the first. -1 for an outer word where
+    the text itself starts or ends the window."""
+    near = _NEAR * words
+    while True:
+        low, high = max(0, cut - near), min(len(text), cut + near)
+        before = [m.span() for m in _WORD.finditer(text, low, cut)]
+        after = [m.span() for m in _WORD.finditer(text, cut, high)]
+        if before and before[-1][1] == cut:
+            before.pop()  # perhaps split
+        if after and after[0][0] == cut:
+            after.pop(0)
+        # the outermost span of a slice may be a piece of a word
+        enough_before = low == 0 or len(before) > words + 1
+        enough_after = high == len(text) or len(after) > words + 1
+        if enough_before and enough_after:
+            break
+        near *= 2
+    start, first = (before[-words - 1][1], before[-words][1]) if len(before) > words else (0, -1)
+    end, last = (after[words - 1][1], after[words - 1][0]) if len(after) > words else (len(text), -1)
+    return start, first, last, end
+
+
+def _same(old: Tokens, new: Tokens, chosen, within: bool) -> bool:
+    mine, yours = chosen(old), chosen(new)
+    return within and mine.any() and all(
+        np.array_equal(getattr(old, c)[mine], getattr(new, c)[yours]) for c in ("ids", "starts", "ends")
+    )
 
 
-_DONE = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+def repaired(text: str, cuts_at: list[int], tokens: Tokens, library) -> Tokens:
+    """Tokens of the whole text from those of its chunks, which meet at ``cuts_at``."""
+    done = 0  # up to here the text is right
+    for cut in cuts_at:
+        if cut < done:
+            continue  # inside a window already
+        words = 1
+        while True:
+            start, first, last, end = _outer(text, cut, words)
+            i = int(np.searchsorted(tokens.starts, start, side="left"))
+            j = int(np.searchsorted(tokens.ends, end, side="right"))
+            old = Tokens(tokens.ids[i:j], tokens.starts[i:j], tokens.ends[i:j])
+            # no token reaches over the window's edges
+            clean = (i == 0 or tokens.ends[i - 1] <= start) and (j == len(tokens.ids) or tokens.starts[j] >= end) and i <= j
+            [new] = encoded([text[start:end]], library)
+            new = new.moved(start)
+            left = first < 0 or _same(old, new, lambda t: t.ends <= first, _breaks(old, first) and _breaks(new, first))
+            right = last < 0 or _same(old, new, lambda t: t.starts >= last, _breaks(old, last) and _breaks(new, last))
+            whole = first < 0 and last < 0
+            if whole or (clean and left and right):
+                parts = [Tokens(*(getattr(tokens, c)[part] for c in ("ids", "starts", "ends"))) for part in (slice(i), slice(j, None))]
+                tokens = Tokens.joined([parts[0], new, parts[1]]) if not whole else new
+                done = end
+                break
+            words *= 2
+    return tokens
+
+
+def _breaks(t: Tokens, at: int) -> bool:
+    """Does no token reach over this place?"""
+    return not ((t.starts < at) & (t.ends > at)).any()
 
 
 def _chunks(text: str, mask_bits: int) -> list[str]:
@@ -174,6 +198,43 @@ def _chunks(text: str, mask_bits: int) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def of_chunks(chunks: list[str], parts: list[Tokens], library) -> Tokens:
+    """Tokens of the text that the chunks make up."""
+    ends = np.cumsum([len(c) for c in chunks]).tolist()
+    tokens = Tokens.joined([p.moved(at) for p, at in zip(parts, [0, *ends])])
+    return repaired("".join(chunks), ends[:-1], tokens, library)
+
+
+def encode_texts(texts: list[str], library, mask_bits: int = 10) -> list[np.ndarray]:
+    """Ids of texts that share nothing. Very long ones go through the library in parts."""
+    out: list = [None] * len(texts)
+    short = [i for i, t in enumerate(texts) if len(t) <= _GROUP_CHARS]
+    for i, found in zip(short, encoded([texts[i] for i in short], library)):
+        out[i] = found.ids
+    for i, text in enumerate(texts):
+        if out[i] is None:
+            parts, held = [], ""
+            for chunk in _chunks(text, mask_bits):
+                held += chunk
+                if len(held) >= _GROUP_CHARS:
+                    parts.append(held)
+                    held = ""
+            parts += [held] if held else []
+            out[i] = of_chunks(parts, encoded(parts, library), library).ids
+    return out
+
+
+def digests(ids: np.ndarray, library) -> tuple[int, str, str]:
+    """Number of tokens, digests of the ids as text and of what they decode to."""
+    own = ids.tolist()
+    text = " ".join(map(str, own))
+    decoded = library.decode(own, skip_special_tokens=False)
+    return len(own), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+_DONE = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+
 def shared_chunks(texts: DataFrame, mask_bits: int) -> DataFrame:
     """``n1, n2``: names of the chunks that stand in more than one place."""
 
@@ -188,80 +249,85 @@ def shared_chunks(texts: DataFrame, mask_bits: int) -> DataFrame:
 
 def encode_documents(docs: DataFrame, path: str, mask_bits: int = 10) -> DataFrame:
     """``doc_id``, ``n_tokens``, digests of the ids and of the decoded text."""
-    spark = docs.sparkSession
+    ids = encoded_documents(docs, path, mask_bits, digest=True)
+    return ids.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def encoded_documents(docs: DataFrame, path: str, mask_bits: int = 10, digest: bool = False) -> DataFrame:
+    """``doc_id`` and ``ids``, the token ids of each text; with ``digest`` their number and
+    digests in place of the ids."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     shared = written(shared_chunks(texts, mask_bits), "shared-chunks")
     bitmap = sieve(shared, "n1")
+    fields = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids"]
+    result = _DONE if digest else "ids array<int>"
+
+    def answer(ids: np.ndarray, library) -> tuple:
+        return digests(ids, library) if digest else (ids.astype(np.int32),)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """Finished documents, and of the others every chunk: its words' tokens where
-        it is certainly not shared, else its name and text."""
-        enc, bits = encoder(path), bitmap.value
-        columns = ("doc_id", "row", "n_tokens", "ids_sha256", "decoded_sha256", "seq", "n1", "n2", "chunk")
+        """Finished documents, and of the others every chunk, with its name where it may be shared."""
+        library, bits = tokenizer(path), bitmap.value
+        columns = ("doc_id", "row", *fields, "seq", "n1", "n2", "chunk")
         for b in batches:
             out: list[tuple] = []
+            alone: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 chunks = _chunks(text, mask_bits)
                 names = np.array([chunk_name(c) for c in chunks], dtype=np.int64)
                 maybe = in_sieve(bits, np.ascontiguousarray(names[:, 0]))
                 if not maybe.any():
-                    own = [encode_inner(c, enc)[1] for c in chunks]
-                    out.append((doc_id, None, *digests(assemble(chunks, own, enc)), None, None, None, None))
+                    alone.append((doc_id, text))
                     continue
                 row = hashlib.sha256(f"{doc_id}\0{text}".encode("utf-8", "surrogatepass")).digest()[:16]
                 for i, (c, name, m) in enumerate(zip(chunks, names.tolist(), maybe.tolist())):
-                    out.append((doc_id, row, None, None, None, i, *(name if m else (None, None)), c))
+                    out.append((doc_id, row, *[None] * len(fields), i, *(name if m else (None, None)), c))
+            for (doc_id, _), ids in zip(alone, encode_texts([t for _, t in alone], library, mask_bits)):
+                out.append((doc_id, None, *answer(ids, library), None, None, None, None))
             yield dict(zip(columns, map(list, zip(*out)))) if out else {c: [] for c in columns}
 
     pieces = written(
-        map_rows(texts, scan, f"doc_id bigint, row binary, {_DONE}, seq int, n1 bigint, n2 bigint, chunk string", batch=500),
+        map_rows(texts, scan, f"doc_id bigint, row binary, {result}, seq int, n1 bigint, n2 bigint, chunk string", batch=200),
         "chunks",
     )
-    done = pieces.where("row is null").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    bitmap.destroy()
+    done = pieces.where("row is null").select("doc_id", *fields)
     waiting = pieces.where("row is not null")
     # rows that repeat a (doc_id, text) share their pieces; count them and answer each
     copies = waiting.where("seq = 0").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        enc = encoder(path)
+        library = tokenizer(path)
         for b in batches:
-            chunks = b.column(2).to_pylist()
-            own = [enc.packed(_WORD.findall(c[slice(*inner(c, False, False))])) for c in chunks]
-            ids, counts = map(list, zip(*own)) if own else ([], [])
-            yield {"n1": b.column(0), "n2": b.column(1), "text": b.column(2), "ids": ids, "counts": counts}
+            tokens = [t.packed() for t in encoded(b.column(2).to_pylist(), library)]
+            yield {"n1": b.column(0), "n2": b.column(1), "text": b.column(2), "tokens": tokens}
 
     # each shared chunk is encoded once: equal chunks meet after a partial aggregation
     named = waiting.where("n1 is not null")
-    encoded = map_rows(
+    shared_tokens = map_rows(
         named.groupBy("n1", "n2").agg(F.first("chunk").alias("chunk")).select("n1", "n2", "chunk"),
         encode,
-        "n1 bigint, n2 bigint, text string, ids binary, counts binary",
+        "n1 bigint, n2 bigint, text string, tokens binary",
         batch=500,
     )
     # its places travel as names until they meet the tokens
-    found = named.select("row", "seq", "n1", "n2").join(encoded, ["n1", "n2"])
-    found = found.select("row", "seq", F.col("text").alias("chunk"), "ids", "counts")
-    none = F.lit(None).cast("binary")
-    own = waiting.where("n1 is null").select("row", "seq", "chunk", none.alias("ids"), none.alias("counts"))
+    found = named.select("row", "seq", "n1", "n2").join(shared_tokens, ["n1", "n2"])
+    found = found.select("row", "seq", F.col("text").alias("chunk"), "tokens")
+    own = waiting.where("n1 is null").select("row", "seq", "chunk", F.lit(None).cast("binary").alias("tokens"))
     # a document's parts meet in one row, repeated rows as a set: no more than the document
-    whole = found.unionAll(own).groupBy("row").agg(
-        F.sort_array(F.collect_set(F.struct("seq", "chunk", "ids", "counts"))).alias("parts")
-    )
+    whole = found.unionAll(own).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("seq", "chunk", "tokens"))).alias("parts"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        enc = encoder(path)
+        library = tokenizer(path)
         for b in batches:
             out = []
             for parts in b.column(1).to_pylist():
-                chunks = [p["chunk"] for p in parts]
-                own = [
-                    encode_inner(p["chunk"], enc)[1] if p["ids"] is None else enc.unpacked(p["ids"], p["counts"])
-                    for p in parts
-                ]
-                out.append(digests(assemble(chunks, own, enc)))
-            n, ids, decoded = map(list, zip(*out)) if out else ([], [], [])
-            yield {"row": b.column(0), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
-
-    joined = map_rows(whole, join, f"row binary, {_DONE}", batch=200)
+                fresh = iter(encoded([p["chunk"] for p in parts if p["tokens"] is None], library))
+                tokens = [next(fresh) if p["tokens"] is None else Tokens.unpacked(p["tokens"]) for p in parts]
+                out.append(answer(of_chunks([p["chunk"] for p in parts], tokens, library).ids, library))
+            columns = map(list, zip(*out)) if out else ([] for _ in fields)
+            yield {"row": b.column(0), **dict(zip(fields, columns))}
+
+    joined = map_rows(whole, join, f"row binary, {result}", batch=200)
     answered = joined.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return done.unionByName(answered.select(*done.columns))

@@ -496,20 +496,66 @@ def test_bad_stretch_in_a_long_text(spark):
         assert sum(got[i][score] > got[i][limit] for i in range(300)) in range(28, 31)  # a tenth, to the grid
 
 
-def test_words_that_a_cut_split_are_encoded_alone():
-    """Words are independent: what a cut split needs no neighbour, and gives what the whole text gives."""
-    enc = chunked_bpe.WordEncoder(queries.tokenizer_path())
-    text = "Some words, don't\tsplit any-thing \n\u00e9t\u00e9  here."
-    for cut in range(1, len(text)):
-        chunks = [text[:cut], text[cut:]]
-        pairs = [chunked_bpe.encode_inner(c, enc)[1] for c in chunks]
-        asked = []
-        enc.pairs, plain = lambda w: asked.extend(w) or plain(w), enc.pairs
-        found = chunked_bpe.assemble(chunks, pairs, enc)
-        enc.pairs = plain
-        assert len(asked) + sum(map(len, pairs)) == len(found) == len(text.split())
-        ids = " ".join(p[0] for p in found if p[0])
-        assert ids == " ".join(map(str, enc.tokenizer.encode(text, add_special_tokens=False).ids))
+def blank_crossing(folder):
+    """A tokenizer without words: tokens reach over blanks, up to four words long."""
+    from tokenizers import Tokenizer, models
+
+    letters = list("abcdef \n")
+    merges = [("a", " "), ("a ", "b"), (" ", "c"), ("d", " c"), ("d c", "a "), ("a b", " c"), ("e", "f"), ("ef", " "), ("ef ", "ef "), ("f", " ")]
+    vocabulary = {t: i for i, t in enumerate([*letters, *(x + y for x, y in merges)])}
+    path = f"{folder}/crossing.json"
+    Tokenizer(models.BPE(vocabulary, merges)).save(path)
+    return path
+
+
+@pytest.mark.parametrize("crossing", [False, True])
+def test_joins_are_repaired(folder, crossing):
+    """Every single cut, and many at once, give what the whole text gives."""
+    path = blank_crossing(folder) if crossing else queries.tokenizer_path()
+    library = chunked_bpe.tokenizer(path)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdef  \n") for _ in range(rng.randint(1, 90))) for _ in range(12)]
+    texts += ["ef " * 30, "a b c " * 9, "abcdef" * 12, " \n ", ""]
+    if not crossing:
+        texts += ["Some words, don't\tsplit any-thing \n\u00e9t\u00e9  here.", "e\u0301 a\u00a0b <|endoftext|> c\U0001f642d \u0301x 123"]
+    for text in texts:
+        want = library.encode(text, add_special_tokens=False).ids
+        some = [sorted(rng.sample(range(1, len(text)), min(len(text) - 1, k))) for k in (2, 5, 20)] if len(text) > 1 else []
+        for at in [*([c] for c in range(1, len(text))), *some]:
+            chunks = [text[i:j] for i, j in zip([0, *at], [*at, len(text)])]
+            parts = [chunked_bpe.Tokens.unpacked(t.packed()) for t in chunked_bpe.encoded(chunks, library)]
+            found = chunked_bpe.of_chunks(chunks, parts, library)
+            assert found.ids.tolist() == want, (text, at)
+
+
+def test_repair_leaves_most_tokens_alone(monkeypatch):
+    library = chunked_bpe.tokenizer(queries.tokenizer_path())
+    text = "some plain words that stand in a long line of text " * 40
+    chunks = [text[:700], text[700:1300], text[1300:]]
+    parts = chunked_bpe.encoded(chunks, library)
+    seen = []
+    real = chunked_bpe.encoded
+    monkeypatch.setattr(chunked_bpe, "encoded", lambda texts, lib: seen.extend(texts) or real(texts, lib))
+    found = chunked_bpe.of_chunks(chunks, parts, library)
+    assert found.ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(seen) == 2 and all(len(w.split()) == 3 for w in seen)
+
+
+def test_long_texts_go_in_parts(monkeypatch):
+    monkeypatch.setattr(chunked_bpe, "_GROUP_CHARS", 300)
+    library = chunked_bpe.tokenizer(queries.tokenizer_path())
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("aeioustn") for _ in range(rng.randint(1, 9))) for _ in range(n)) for n in (3, 400, 0, 90)]
+    texts.append("x" * 2000)
+    for text, ids in zip(texts, chunked_bpe.encode_texts(texts, library, mask_bits=6)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_encoded_documents(docs, rows):
+    library = chunked_bpe.tokenizer(queries.tokenizer_path())
+    got = chunked_bpe.encoded_documents(docs, queries.tokenizer_path(), 6).collect()
+    want = [(i, str(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
+    assert expected((r["doc_id"], str(list(r["ids"]))) for r in got) == expected(want)
 
 
 # ---- licenses ----
