@@ -6,7 +6,10 @@ is present in both directions. A field is a table ``(cell_id, value)``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curbflow.functions.raster import Raster
@@ -15,8 +18,7 @@ from curbflow.session import enable_checkpoints
 
 # A cell id and its row overhead in a broadcast hash table, roughly.
 _CELL_BYTES = 32
-_STATE_BYTES = 24  # of a past value that travels along
-_PAST = "array<struct<step:int,value:double>>"
+_EDGES_PER_PART = 250_000
 
 
 def restrict(graph: DataFrame, cells: DataFrame, raster: Raster) -> DataFrame:
@@ -100,16 +102,15 @@ def _spokes(graph: DataFrame, cells: DataFrame) -> DataFrame:
     return graph.select("src", "dst", F.lit(False).alias("marker")).unionByName(markers)
 
 
-def _step(field: DataFrame, spokes: DataFrame, delta: float) -> DataFrame:
-    """The next state; a cell's marker carries its ``past`` values along."""
+def _step(field: DataFrame, spokes: DataFrame, delta: float, keep: Sequence[str] = ()) -> DataFrame:
+    """The next state; a cell's marker carries the columns to ``keep`` along."""
     inflow = F.avg(F.when(~F.col("marker"), F.col("value")))
-    value = F.coalesce(inflow, F.lit(0.0)) + F.lit(delta)
-    past = F.first(F.when(F.col("marker"), F.col("past")), ignorenulls=True)
+    kept = [F.max(F.when(F.col("marker"), F.col(c))).alias(c) for c in keep]
     return (
         spokes.join(field, F.col("src") == F.col("cell_id"))
         .groupBy(F.col("dst").alias("next_id"))
-        .agg(value.alias("value"), past.alias("past"))
-        .select(F.col("next_id").alias("cell_id"), "value", "past")
+        .agg((F.coalesce(inflow, F.lit(0.0)) + F.lit(delta)).alias("value"), *kept)
+        .withColumnRenamed("next_id", "cell_id")
     )
 
 
@@ -118,8 +119,27 @@ def diffuse(field: DataFrame, graph: DataFrame, delta: float = 0.0) -> DataFrame
 
     A cell without neighbours becomes ``delta``.
     """
-    state = field.select("cell_id", "value", F.lit(None).cast(_PAST).alias("past"))
-    return _step(state, _spokes(graph, field), delta).drop("past")
+    return _step(field, _spokes(graph, field), delta)
+
+
+@contextmanager
+def _plans_as_written(spark: SparkSession, parts: int) -> Iterator[None]:
+    """Shuffles into ``parts`` partitions that keep their layout: adaptive execution would
+    merge them, and the next step would have to lay them out again. Cells have few
+    neighbours, so no partition grows hot."""
+    wanted = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": str(parts),
+    }
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def diffusion(
@@ -129,38 +149,43 @@ def diffusion(
     *,
     delta: float = 0.0,
     keep_all: bool = False,
-    checkpoint_every: int = 10,
+    checkpoint_every: int = 4,
 ) -> DataFrame:
     """The field after ``steps`` steps, or with ``keep_all`` every state by ``step``.
 
-    Each step is one join and one aggregation. The edges are laid out by their start once;
-    no step moves them: while the field is small it is broadcast to them, and beyond that
-    only the field is shuffled to where the edges lie. What is shuffled is one partial mean
-    per cell and task. Every tenth state is checkpointed to the shared folder, so the plan
-    stays short and a lost executor costs at most ten steps. The states in between travel
-    with their cell until then, so that keeping all of them takes no job for each.
+    Each step is one join and one aggregation. Edges and field are laid out alike, by the
+    hash of the cell, so no step moves the edges or the field: all that is shuffled is one
+    partial mean per cell and task. Every few states one is checkpointed to the shared folder,
+    so the plan stays short and a lost executor costs only those. The states in between
+    travel with their cell until then: keeping all of them takes no job for each.
     """
     spark = field.sparkSession
     enable_checkpoints(spark)
-    state = field.select("cell_id", F.col("value").cast("double").alias("value"), F.lit(None).cast(_PAST).alias("past")).checkpoint()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spokes = _spokes(graph, state).repartition(parts, "src").checkpoint()
-    n_cells = spokes.where("marker").count()
-    row_bytes = _CELL_BYTES + (_STATE_BYTES * checkpoint_every if keep_all else 0)
-    states = [state.select("cell_id", "value", F.lit(0).alias("step"))]
-    for step in range(1, steps + 1):
-        sized = broadcast_if_small(state, at_most_rows=n_cells, row_bytes=row_bytes)
-        state = _step(sized, spokes, delta)
-        if keep_all:
-            now = F.array(F.struct(F.lit(step).alias("step"), F.col("value").alias("value")))
-            state = state.withColumn("past", F.when(F.col("past").isNull(), now).otherwise(F.concat("past", now)))
-        if step % checkpoint_every == 0 or step == steps:
+    state = field.select("cell_id", F.col("value").cast("double").alias("value")).checkpoint()
+    spokes = _spokes(graph, state).checkpoint()
+    parts = max(1, min(-(-spokes.count() // _EDGES_PER_PART), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    states = [state.withColumn("step", F.lit(0))]
+    with _plans_as_written(spark, parts):
+        spokes = spokes.repartition(parts, "src").checkpoint()
+        kept: list[int] = []  # steps since the last checkpoint, in columns of their own
+        for step in range(1, steps + 1):
+            columns = [f"at_{k}" for k in range(len(kept))]
+            state = _step(state.hint("shuffle_hash"), spokes, delta, columns)
+            if step % checkpoint_every and step < steps:
+                if keep_all:
+                    state = state.withColumn(f"at_{len(kept)}", F.col("value"))
+                    kept.append(step)
+                continue
             state = state.checkpoint()
             if keep_all:
-                states.append(state.select("cell_id", F.explode("past").alias("then")).select("cell_id", "then.value", "then.step"))
-                state = state.withColumn("past", F.lit(None).cast(_PAST))
+                then = [F.struct(F.lit(s).alias("step"), F.col(c).alias("value")) for s, c in zip(kept, columns)]
+                then.append(F.struct(F.lit(step).alias("step"), F.col("value").alias("value")))
+                rows = state.select("cell_id", F.explode(F.array(*then)).alias("then"))
+                # a cell that a step reached first has no value before
+                states.append(rows.select("cell_id", "then.value", "then.step").where("value is not null"))
+                state, kept = state.select("cell_id", "value"), []
     if not keep_all:
-        return state.drop("past")
+        return state
     out = states[0]
     for later in states[1:]:
         out = out.unionByName(later)
