@@ -191,9 +191,8 @@ def gram_costs(totals: DataFrame, order: int = ORDER) -> DataFrame:
                 "longer", (F.col("n") - F.col("out_n")).alias("rest_n"), (F.col("q") - F.col("out_q")).alias("rest_q")
             )
             rows = rows.join(small(held), "longer", "left").drop("longer")
-    known = levels[0].agg(F.count("*").alias("known"))  # one row
-    rows = rows.join(F.broadcast(known))
-    last = -F.log10(F.greatest(F.lit(float(_SYMBOLS)) - F.col("known"), F.lit(1.0)))
+    known = levels[0].agg(F.count("*")).scalar()
+    last = -F.log10(F.greatest(F.lit(float(_SYMBOLS)) - known, F.lit(1.0)))
     return rows.select("gram", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") + last).alias("cost"))
 
 
@@ -225,27 +224,27 @@ def _word_answers(blocks: DataFrame) -> tuple[DataFrame, int, int, int]:
 def _scored(docs: pa.Table, answers: pa.Table, tokens: int, words: int, documents: int, order: int) -> Iterable[dict]:
     """Base and model score of a block's documents."""
     is_word = answers["word"].is_valid()
-    by_word = answers.filter(is_word)
-    counts = dict(zip(by_word["word"].to_pylist(), by_word["value"].to_pylist()))
     by_gram = answers.filter(pa.compute.invert(is_word))
     grams, costs = by_gram["gram"].to_numpy(), by_gram["value"].to_numpy()
     place = np.argsort(grams)
     grams, costs = grams[place], costs[place]
     texts, held = docs["text"].to_pylist(), docs["held"].to_pylist()
-    own: Counter = Counter()
-    for t, h in zip(texts, held):
-        if not h:
-            own.update([w for w in words_of_bytes(t) if w not in counts])
-    every = tokens + documents + words + (documents > 0) + 1
+    # each text is split once; from then on a word is its number in the block
+    numbers: dict[bytes, int] = {}
+    coded = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of_bytes(t)], np.int32) for t in texts]
+    training = [c for c, h in zip(coded, held) if not h]
+    counts = np.bincount(np.concatenate(training) if training else np.empty(0, np.int32), minlength=len(numbers) + 1).astype(np.float64)
+    by_word = answers.filter(is_word)
+    at = np.array([numbers.get(w, -1) for w in by_word["word"].to_pylist()], np.int64)
+    counts[at[at >= 0]] = by_word["value"].to_numpy()[at >= 0]
+    logs = np.log10(counts + 1)
+    every = math.log10(tokens + documents + words + (documents > 0) + 1)
+    end = math.log10(documents + 1)
     out = []
-    for t in texts:
-        found = [counts.get(w, -1) for w in words_of_bytes(t)]
-        if -1 in found:
-            found = [own[w] if c < 0 else c for w, c in zip(words_of_bytes(t), found)]
-        c = np.array([*found, documents], dtype=np.float64)
-        base = float(np.log10(c + 1).sum()) - len(c) * math.log10(every)
+    for t, own in zip(texts, coded):
+        base = float(logs[own].sum()) + end - (len(own) + 1) * every
         score = float(costs[np.searchsorted(grams, grams_of(t, order))].sum())
-        out.append((len(c), int((c > 0).sum()), base, score))
+        out.append((len(own) + 1, int((counts[own] > 0).sum()) + (documents > 0), base, score))
     return out
 
 
