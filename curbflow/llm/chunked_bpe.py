@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,24 +38,79 @@ from pyspark.sql import functions as F
 from curbflow.llm.common import in_sieve, map_rows, sieve, written
 
 _WORD = re.compile("[^ \n\t\r]+")
+_BLANKS = np.array([32, 10, 9, 13], np.uint32)
 _WINDOW = 5  # doublings: a cut depends on the 32 bytes before it
 _GROUP_CHARS = 200_000  # text that goes to the library at once, and the most of one text as one string
 _NEAR = 200  # characters on each side in which the words of a window are looked for first
 
+_KNOWN_BYTES = 48 << 20  # what a worker remembers of words
+
 _TOKENIZERS: dict = {}
 
 
-def tokenizer(path: str):
-    """The library's tokenizer, one per Python worker, on the task's own core."""
-    if path not in _TOKENIZERS:
+class Words:
+    """What words give by themselves, remembered within a bound of bytes.
+
+    For tokenizers that split at blanks and look at nothing beyond: then the tokens of a
+    text are those of its words, each of which goes through the library once.
+    """
+
+    def __init__(self, library):
+        self.library = library
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if not new:
+            return
+        if self.held > _KNOWN_BYTES:
+            self.known.clear()
+            self.held = 0
+            new = list(words)
+        for at in range(0, len(new), 1000):  # many words as one text; a token is of the word it starts in
+            part = new[at : at + 1000]
+            found = self.library.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
+            ends = np.cumsum([len(w) + 1 for w in part])
+            edges = np.searchsorted(starts, np.r_[0, ends])
+            raw, cut = ids.tobytes(), (4 * edges).tolist()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(cut, cut[1:])]))
+        self.held += 200 * len(new) + sum(map(len, new))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        split = [_WORD.findall(t) for t in texts]
+        self.learn(set().union(*split))
+        known = self.known
+        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+
+    def tokens(self, text: str) -> Tokens:
+        """Every token with the place of its whole word."""
+        words = _WORD.findall(text)
+        self.learn(set(words))
+        raw = [self.known[w] for w in words]
+        each = np.array([len(r) // 4 for r in raw], np.int64)
+        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        within = np.zeros(len(letters) + 2, np.int8)
+        within[1:-1] = ~np.isin(letters, _BLANKS)
+        turns = np.diff(within)
+        ids = np.frombuffer(b"".join(raw), "<u4")
+        return Tokens(ids, np.repeat(np.flatnonzero(turns == 1), each), np.repeat(np.flatnonzero(turns == -1), each))
+
+
+def tokenizer(path: str, word_by_word: bool = False):
+    """The library's tokenizer, one per Python worker, on the task's own core; or a memory of
+    its words (``Words``)."""
+    if (path, word_by_word) not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         found = Tokenizer.from_file(path)
         found.no_truncation()
         found.no_padding()
-        _TOKENIZERS[path] = found
-    return _TOKENIZERS[path]
+        _TOKENIZERS[path, word_by_word] = Words(found) if word_by_word else found
+    return _TOKENIZERS[path, word_by_word]
 
 
 _GEAR = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -97,15 +153,22 @@ class Tokens:
         return Tokens(self.ids, self.starts + by, self.ends + by)
 
     def packed(self) -> bytes:
-        """Ids, distances of the starts and lengths, one after the other."""
+        """Ids, distances of the starts and lengths, one after the other, deflated."""
         steps = np.diff(self.starts, prepend=0)
-        return b"".join([self.ids.astype("<u4").tobytes(), steps.astype("<i4").tobytes(), (self.ends - self.starts).astype("<u4").tobytes()])
+        parts = [self.ids.astype("<u4"), steps.astype("<i4"), (self.ends - self.starts).astype("<u4")]
+        # byte by byte of all numbers: the high ones are nearly all zero
+        return zlib.compress(b"".join([p.view(np.uint8).reshape(-1, 4).T.tobytes() for p in parts]), 1)
 
     @staticmethod
     def unpacked(raw: bytes) -> Tokens:
-        n = len(raw) // 12
-        starts = np.cumsum(np.frombuffer(raw, "<i4", n, 4 * n)).astype(np.int64)
-        return Tokens(np.frombuffer(raw, "<u4", n), starts, starts + np.frombuffer(raw, "<u4", n, 8 * n))
+        planes = np.frombuffer(zlib.decompress(raw), np.uint8)
+        n = len(planes) // 12
+        ids, steps, length = (
+            np.ascontiguousarray(planes[4 * n * k : 4 * n * (k + 1)].reshape(4, n).T).view(kind).reshape(n)
+            for k, kind in enumerate(("<u4", "<i4", "<u4"))
+        )
+        starts = np.cumsum(steps).astype(np.int64)
+        return Tokens(ids, starts, starts + length)
 
     @staticmethod
     def joined(parts: list[Tokens]) -> Tokens:
@@ -114,6 +177,8 @@ class Tokens:
 
 def encoded(texts: list[str], library) -> list[Tokens]:
     """Each text as one string, a bounded amount at a time."""
+    if isinstance(library, Words):
+        return [library.tokens(t) for t in texts]
     out: list[Tokens] = []
     group: list[str] = []
     size = 0
@@ -207,6 +272,8 @@ def of_chunks(chunks: list[str], parts: list[Tokens], library) -> Tokens:
 
 def encode_texts(texts: list[str], library, mask_bits: int = 10) -> list[np.ndarray]:
     """Ids of texts that share nothing. Very long ones go through the library in parts."""
+    if isinstance(library, Words):
+        return library.ids(texts)
     out: list = [None] * len(texts)
     short = [i for i, t in enumerate(texts) if len(t) <= _GROUP_CHARS]
     for i, found in zip(short, encoded([texts[i] for i in short], library)):
@@ -228,7 +295,7 @@ def digests(ids: np.ndarray, library) -> tuple[int, str, str]:
     """Number of tokens, digests of the ids as text and of what they decode to."""
     own = ids.tolist()
     text = " ".join(map(str, own))
-    decoded = library.decode(own, skip_special_tokens=False)
+    decoded = getattr(library, "library", library).decode(own, skip_special_tokens=False)
     return len(own), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 
 
@@ -247,15 +314,18 @@ def shared_chunks(texts: DataFrame, mask_bits: int) -> DataFrame:
     return names.groupBy("n1", "n2").count().where("count > 1").select("n1", "n2")
 
 
-def encode_documents(docs: DataFrame, path: str, mask_bits: int = 10) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, mask_bits: int = 10, word_by_word: bool = False) -> DataFrame:
     """``doc_id``, ``n_tokens``, digests of the ids and of the decoded text."""
-    ids = encoded_documents(docs, path, mask_bits, digest=True)
+    ids = encoded_documents(docs, path, mask_bits, word_by_word, digest=True)
     return ids.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def encoded_documents(docs: DataFrame, path: str, mask_bits: int = 10, digest: bool = False) -> DataFrame:
+def encoded_documents(
+    docs: DataFrame, path: str, mask_bits: int = 10, word_by_word: bool = False, digest: bool = False
+) -> DataFrame:
     """``doc_id`` and ``ids``, the token ids of each text; with ``digest`` their number and
-    digests in place of the ids."""
+    digests in place of the ids. ``word_by_word`` states that the tokenizer's tokens
+    never cross blanks nor depend on what stands beyond them (see ``Words``)."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     shared = written(shared_chunks(texts, mask_bits), "shared-chunks")
     bitmap = sieve(shared, "n1")
@@ -267,7 +337,7 @@ def encoded_documents(docs: DataFrame, path: str, mask_bits: int = 10, digest: b
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         """Finished documents, and of the others every chunk, with its name where it may be shared."""
-        library, bits = tokenizer(path), bitmap.value
+        library, bits = tokenizer(path, word_by_word), bitmap.value
         columns = ("doc_id", "row", *fields, "seq", "n1", "n2", "chunk")
         for b in batches:
             out: list[tuple] = []
@@ -297,7 +367,7 @@ def encoded_documents(docs: DataFrame, path: str, mask_bits: int = 10, digest: b
     copies = waiting.where("seq = 0").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        library = tokenizer(path)
+        library = tokenizer(path, word_by_word)
         for b in batches:
             tokens = [t.packed() for t in encoded(b.column(2).to_pylist(), library)]
             yield {"n1": b.column(0), "n2": b.column(1), "text": b.column(2), "tokens": tokens}
@@ -318,7 +388,7 @@ def encoded_documents(docs: DataFrame, path: str, mask_bits: int = 10, digest: b
     whole = found.unionAll(own).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("seq", "chunk", "tokens"))).alias("parts"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        library = tokenizer(path)
+        library = tokenizer(path, word_by_word)
         for b in batches:
             out = []
             for parts in b.column(1).to_pylist():

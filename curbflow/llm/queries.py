@@ -55,7 +55,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunked_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return chunked_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), word_by_word=True)
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
