@@ -38,7 +38,7 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document."""
-    return chunked_bpe.encode_documents(docs, tokenizer_path())
+    return chunked_bpe.encode_documents(docs, tokenizer_path(), word_by_word=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
