@@ -14,6 +14,7 @@ from curbflow.functions.timeparts import (
     week_slot,
     week_slot_parts,
 )
+from curbflow.operators.joins import broadcast_if_small, one_row_each
 
 NO_REGION = 0
 
@@ -190,13 +191,16 @@ def region_parity(trips: DataFrame, region: str) -> DataFrame:
     )
 
 
-def at_level(trips: DataFrame, codes: DataFrame, region: str, level: str) -> DataFrame:
+def at_level(
+    trips: DataFrame, codes: DataFrame, region: str, level: str, *, at_most_regions: int | None = None
+) -> DataFrame:
     """Attach ``pickup_<level>`` and ``dropoff_<level>`` from a region code table.
 
-    ``codes`` holds one row per region with the columns ``region`` and ``level``;
-    pass it through ``broadcast_if_small``. Unlisted regions become 0.
+    ``codes`` holds one row per region with the columns ``region`` and ``level``; a region
+    listed twice is an error. Unlisted regions become 0.
     """
     out = trips
+    codes = broadcast_if_small(one_row_each(codes.select(region, level), [region]), at_most_rows=at_most_regions)
     for end in ("pickup", "dropoff"):
         side = codes.select(
             F.col(region).alias(f"{end}_{region}"), F.col(level).alias(f"{end}_{level}")

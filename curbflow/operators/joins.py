@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType, VariantType
@@ -59,3 +61,15 @@ def broadcast_if_small(
     else:
         size = side.count() * fixed
     return F.broadcast(side) if size <= limit_bytes else side
+
+
+def one_row_each(side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``side`` as it is, but a query that reads a key listed twice fails and names it:
+    joined, such a key would double its partners. Costs no job of its own."""
+    rest = [c for c in side.columns if c not in keys]
+    counted = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_row"))
+    name = F.to_json(F.struct(*keys))
+    single = F.when(F.col("_n") == 1, F.col("_row")).otherwise(
+        F.raise_error(F.concat(F.lit("listed twice: "), name)).cast(counted.schema["_row"].dataType)
+    )
+    return counted.select(*keys, single.alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])

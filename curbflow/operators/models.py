@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -285,3 +286,123 @@ def with_trip_time_hat(trips: DataFrame, model: PipelineModel) -> DataFrame:
     scored = model.transform(coded).select(*trips.columns, "trip_time_hat")
     unknown = trips.where(F.col("pickup_time").isNull()).withColumn("trip_time_hat", F.lit(None).cast("double"))
     return scored.unionByName(unknown)
+
+
+@dataclass(frozen=True)
+class Network:
+    """One hidden layer of logistic units and a linear output, over scaled inputs.
+
+    ``weights`` holds, per hidden unit, its constant, a weight per input and its weight in
+    the output; then the output's constant. ``errors`` are the mean squared errors of
+    the steps that were kept, in units of the label's variance.
+    """
+
+    inputs: tuple[str, ...]
+    centers: tuple[float, ...]
+    scales: tuple[float, ...]
+    label_center: float
+    label_scale: float
+    hidden: int
+    weights: tuple[float, ...]
+    errors: tuple[float, ...]
+
+    def units(self) -> tuple[list[Column], list[Column]]:
+        """Scaled inputs, and the hidden units over them."""
+        scaled = [(F.col(c).cast("double") - F.lit(m)) / F.lit(s) for c, m, s in zip(self.inputs, self.centers, self.scales)]
+        width = len(self.inputs) + 2
+        units = []
+        for k in range(self.hidden):
+            own = self.weights[k * width : (k + 1) * width]
+            reach = F.lit(own[0])
+            for w, x in zip(own[1:-1], scaled):
+                reach = reach + F.lit(w) * x
+            units.append(F.lit(1.0) / (F.lit(1.0) + F.exp(-reach)))
+        return scaled, units
+
+    def scaled_output(self, units: Sequence[Column]) -> Column:
+        width = len(self.inputs) + 2
+        out = F.lit(self.weights[-1])
+        for k, unit in enumerate(units):
+            out = out + F.lit(self.weights[(k + 1) * width - 1]) * unit
+        return out
+
+
+def trip_time_network(
+    trips: DataFrame, *, with_weekday: bool = True, hidden: int | None = None, steps: int = 40, seed: int = 7
+) -> Network:
+    """A small network of trip time on pickup time of day, and weekday if asked.
+
+    Trips are reduced to one weighted mean for each value of the inputs, at most 1,440 × 7
+    rows, which changes the error by a constant. Full-batch descent: each step is one
+    aggregate over that table, which gives the error and the whole gradient. A weight's step
+    grows while the sign of its slope stays and shrinks when it turns; a step that raises the
+    error is taken back and all steps are halved, so the errors never rise.
+    """
+    enable_checkpoints(trips.sparkSession)
+    inputs = ("pickup_time", "pickup_weekday") if with_weekday else ("pickup_time",)
+    hidden = hidden or (5 if with_weekday else 2)
+    reduced = (
+        trips.where(_all_known([*inputs, "trip_time"]))
+        .groupBy(*inputs)
+        .agg(F.avg("trip_time").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+        .checkpoint()
+    )
+    of = [*inputs, "y"]
+    total = F.sum("w")
+    moments = reduced.agg(
+        total.alias("n"),
+        *[(F.sum(F.col(c) * F.col("w")) / total).alias(f"m{k}") for k, c in enumerate(of)],
+        *[(F.sum(F.col(c) * F.col(c) * F.col("w")) / total).alias(f"s{k}") for k, c in enumerate(of)],
+    ).first()
+    if moments["n"] is None:
+        raise ValueError("no trip with all inputs and a trip time")
+    centers = [moments[f"m{k}"] for k in range(len(of))]
+    scales = [max(moments[f"s{k}"] - centers[k] ** 2, 0.0) ** 0.5 or 1.0 for k in range(len(of))]
+    width = len(inputs) + 2
+    rng = np.random.default_rng(seed)
+    weights = rng.uniform(-0.7, 0.7, hidden * width + 1)
+
+    def network(of_weights: np.ndarray, errors: Sequence[float] = ()) -> Network:
+        return Network(
+            inputs, tuple(centers[:-1]), tuple(scales[:-1]), centers[-1], scales[-1], hidden, tuple(map(float, of_weights)), tuple(errors)
+        )
+
+    def slope(of_weights: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean squared error and its gradient, in one pass."""
+        net = network(of_weights)
+        scaled, units = net.units()
+        off = net.scaled_output(units) - (F.col("y") - F.lit(net.label_center)) / F.lit(net.label_scale)
+        push = F.col("w") * off
+        rows = reduced.select("w", off.alias("off"), push.alias("push"), *[x.alias(f"x{i}") for i, x in enumerate(scaled)], *[
+            u.alias(f"u{k}") for k, u in enumerate(units)
+        ])
+        sums = [F.sum(F.col("push") * F.col("off")), F.sum("w")]
+        for k in range(hidden):
+            out = float(of_weights[(k + 1) * width - 1])
+            back = F.col("push") * F.lit(out) * F.col(f"u{k}") * (F.lit(1.0) - F.col(f"u{k}"))
+            sums += [F.sum(back), *[F.sum(back * F.col(f"x{i}")) for i in range(len(inputs))], F.sum(F.col("push") * F.col(f"u{k}"))]
+        sums.append(F.sum("push"))
+        row = rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
+        return row[0] / row[1], np.array(row[2:], float) * 2 / row[1]
+
+    error, gradient = slope(weights)
+    errors, size, before = [error], np.full(weights.size, 0.1), np.sign(gradient)
+    for _ in range(steps - 1):
+        moved = weights - np.sign(gradient) * size
+        new_error, new_gradient = slope(moved)
+        if new_error > error:
+            size *= 0.5
+            continue
+        weights, error, gradient = moved, new_error, new_gradient
+        errors.append(error)
+        now = np.sign(gradient)
+        size = np.clip(np.where(now * before > 0, size * 1.2, np.where(now * before < 0, size * 0.5, size)), 1e-6, 2.0)
+        before = now
+    return network(weights, errors)
+
+
+def with_network_hat(trips: DataFrame, network: Network) -> DataFrame:
+    """Append the network's estimate to every trip; NULL where an input is."""
+    _, units = network.units()
+    estimate = network.scaled_output(units) * F.lit(network.label_scale) + F.lit(network.label_center)
+    return trips.withColumn("trip_time_hat", F.when(_all_known(network.inputs), estimate))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curbflow.functions.aggregates import Mean, clip
 from curbflow.functions.text import slot_label
 from curbflow.functions.timeparts import SLOT_PARTS, SLOTS_PER_DAY, SLOTS_PER_HOUR
-from curbflow.operators.joins import broadcast_if_small
+from curbflow.operators.joins import broadcast_if_small, one_row_each
 
 TRIP_MEASURES = ("trips_out", "trips_in", "net_trips_in")
 WEATHER_MEASURES = ("temperature", "precipitation", "windspeed")
@@ -40,8 +40,56 @@ def attach_codes(
     *,
     at_most_regions: int | None = None,
 ) -> DataFrame:
-    """Area attributes on every row; regions missing from the codes are kept."""
-    return net.join(broadcast_if_small(codes, at_most_rows=at_most_regions), region, "left")
+    """Area attributes on every row; regions missing from the codes are kept, and a region
+    listed twice is an error. For codes that change over time see ``attach_dated_codes``."""
+    single = one_row_each(codes, [region])
+    return net.join(broadcast_if_small(single, at_most_rows=at_most_regions), region, "left")
+
+
+def overlapping_codes(codes: DataFrame, region: str = "region_id") -> DataFrame:
+    """Rows of a dated code table that begin before an earlier row of the region ends, or
+    that end before they begin."""
+    until = F.coalesce("valid_to", F.lit("9999-12-31").cast("date"))
+    earlier = F.max(until).over(
+        Window.partitionBy(region).orderBy("valid_from", until).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return codes.withColumn("_earlier", earlier).where((F.col("valid_from") < F.col("_earlier")) | (F.col("valid_from") >= until)).drop("_earlier")
+
+
+def attach_dated_codes(net: DataFrame, codes: DataFrame, region: str = "region_id") -> DataFrame:
+    """Area attributes as they were on the day of each row.
+
+    ``codes`` has ``valid_from`` and ``valid_to`` (dates, the latter excluded and NULL for
+    open) beside the region and its attributes. That no two rows of a region overlap is
+    checked once, before the join. A code row is laid out by the months that it covers
+    among those of ``net``, and meets the rows of its region and month, so the join has
+    equal keys and no row meets more than the few versions of a month. Rows of days
+    that no version covers are kept, with NULLs.
+    """
+    bad = overlapping_codes(codes, region).limit(1).collect()
+    if bad:
+        raise ValueError(f"codes overlap: {bad[0].asDict()}")
+    day = F.make_date("year", "month", "day")
+    bucket = F.year(F.col("_day")) * 12 + F.month(F.col("_day"))
+    dated = net.withColumn("_day", day).withColumn("_bucket", bucket)
+    span = dated.agg(F.min("_bucket"), F.max("_bucket")).first()
+    attributes = [c for c in codes.columns if c not in (region, "valid_from", "valid_to")]
+    if span[0] is None:
+        span = (0, 0)
+    first = F.greatest(F.year("valid_from") * 12 + F.month("valid_from"), F.lit(span[0]))
+    last_day = F.date_sub(F.coalesce("valid_to", F.lit("9999-12-31").cast("date")), 1)
+    last = F.least(F.year(last_day) * 12 + F.month(last_day), F.lit(span[1]))
+    laid = codes.withColumns({"_first": first, "_last": last}).where("_first <= _last").select(
+        F.col(region).alias("_region"),
+        F.explode(F.sequence("_first", "_last")).alias("_month"),
+        "valid_from",
+        "valid_to",
+        *attributes,
+    )
+    within = (F.col("_day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_day") < F.col("valid_to")))
+    same = (F.col(region) == F.col("_region")) & (F.col("_bucket") == F.col("_month"))
+    joined = dated.join(broadcast_if_small(laid), same & within, "left")
+    return joined.select(*net.columns, *attributes)
 
 
 def roll_up(

@@ -230,6 +230,13 @@ PIECES["tract"] = (
 )
 
 
+PIECES["rerun"] = (
+    ("tract",),
+    f"""SELECT * FROM tract WHERE date_trunc('month', pickup_datetime) <> (SELECT min(date_trunc('month', pickup_datetime)) FROM tract)
+        OR pickup_region BETWEEN 1 AND {registry.RERUN_TRACTS}""",
+)
+
+
 def _leg(source: str, end: str, leaving: int, internal: bool) -> str:
     ts = f"{end}_datetime"
     parts = ", ".join(f"{part(p, ts)} AS {p}" for p in SLOT_KEYS.split(", "))
@@ -780,6 +787,12 @@ def build() -> dict[str, str]:
             "hourly",
         ),
         "net_with_codes": sql("SELECT * FROM areas", "areas"),
+        "net_with_dated_codes": sql(
+            f"""SELECT CASE WHEN make_date(year, month, day) >= DATE '{registry.CODES_CHANGE}'
+              THEN (neighborhood_code + 1) % {standins.N_NEIGHBORHOODS} ELSE neighborhood_code END AS neighborhood_code,
+            {SLOT_KEYS}, {sums(MEASURES)} FROM areas GROUP BY ALL""",
+            "areas",
+        ),
         "rollup_neighborhood": sql("SELECT * FROM by_nbhd", "by_nbhd"),
         "rollup_borough": sql("SELECT * FROM by_boro", "by_boro"),
         "rollup_all_levels": sql(
@@ -907,6 +920,10 @@ def build() -> dict[str, str]:
             "rides",
             "hourly",
         ),
+        "trip_time_network": sql(
+            "SELECT count(*) AS trips, count(*) AS estimates, true AS below_variance, true AS falling FROM trips WHERE trip_time < 2",
+            "trips",
+        ),
         "ride_regression": sql(
             f"SELECT {RIDE_KEYS}, rides, round(y_hat, 5) AS rides_hat, round(rides - y_hat, 5) AS rides_resid FROM plain_all",
             "plain_all",
@@ -948,6 +965,26 @@ def build() -> dict[str, str]:
         ),
         "grid_graph": sql("SELECT src, dst FROM grid_edges", "grid_edges"),
         "land_graph": sql("SELECT src, dst FROM land_edges", "land_edges"),
+        "dissolved_boroughs": sql(
+            """SELECT borough_code AS region_id, round(area, 9) AS area, sides, round(outline, 9) AS outline FROM
+            (SELECT borough_code, sum(area) AS area FROM (
+               SELECT s.region_id, abs(sum(ax * b_y - bx * ay)) / 2 AS area FROM sides s GROUP BY 1) a
+             JOIN codes USING (region_id) GROUP BY 1) x
+            JOIN (SELECT borough_code, count(*) AS sides, sum(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))) AS outline
+              FROM (SELECT borough_code, x1, y1, x2, y2 FROM edges JOIN codes USING (region_id)
+                    GROUP BY ALL HAVING count(*) = 1) e GROUP BY 1) y USING (borough_code)""",
+            "sides",
+            "edges",
+            "codes",
+        ),
+        "borough_assign": sql(
+            f"""SELECT t.trip_id, CASE WHEN {fine_cell['pickup']} IS NOT NULL THEN c.borough_code END AS pickup_borough
+            FROM trips t LEFT JOIN hit_pickup p USING (trip_id) LEFT JOIN codes c USING (region_id)""",
+            "trips",
+            "hit_pickup",
+            "codes",
+        ),
+        "two_layer_land_graph": sql("SELECT src, dst FROM land_edges", "land_edges"),
         "bridged_graph": sql("SELECT src, dst FROM roads", "roads"),
         "graph_degree": sql("SELECT dst AS cell_id, count(*) AS degree FROM roads GROUP BY ALL", "roads"),
         "edge_segments": sql(
@@ -1006,6 +1043,22 @@ def build() -> dict[str, str]:
             ),
             "tract",
         ),
+        "monthly_tree": sql(
+            " UNION ALL ".join(
+                f"""SELECT {e}_region AS region_id, {part('year', 'pickup_datetime')} AS pickup_year,
+                {part('month', 'pickup_datetime')} AS pickup_month, count(*) AS trips,
+                CAST(sum(passenger_count) AS BIGINT) AS passengers, '{e}' AS led_by FROM rerun GROUP BY ALL"""
+                for e in ("pickup", "dropoff")
+            ),
+            "rerun",
+        ),
+        "trips_of_region": sql(
+            f"""SELECT CASE WHEN pickup_region = {registry.ONE_TRACT} THEN 'pickup' ELSE 'dropoff' END AS led_by,
+            pickup_region AS pickup_tract_id, dropoff_region AS dropoff_tract_id, pickup_datetime, dropoff_datetime, fare_amount
+            FROM rerun WHERE pickup_region = {registry.ONE_TRACT} OR dropoff_region = {registry.ONE_TRACT}""",
+            "rerun",
+        ),
+        "csv_results": sql(f"SELECT {net} FROM net_coarse", "net_coarse"),
         "sql_filter": sql(f"SELECT {net} FROM net_coarse WHERE weekday = 1", "net_coarse"),
         "slot_labels": sql(
             f"""SELECT {labels} AS label, printf('%05d', region_id) AS region_label,

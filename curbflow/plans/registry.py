@@ -6,6 +6,7 @@ bit with another engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from curbflow.functions.projection import LONG_ISLAND_ZONE, NEW_JERSEY_ZONE
 from curbflow.functions.raster import Raster
 from curbflow.functions.text import padded_id, slot_label
 from curbflow.functions.timeparts import ALL_PARTS, add_time_features, fractional_hour, slot_hour
-from curbflow.operators import cleaning, flows, graph, models, raster, rollup, spatial, stats
+from curbflow.operators import cleaning, dissolve, flows, graph, models, raster, rollup, spatial, stats
 from curbflow.operators import weather as readings_ops
 from curbflow.operators.joins import broadcast_if_small
 from curbflow.plans import standins
@@ -25,7 +26,7 @@ from curbflow.plans.mobility import area_weeks, net_with_areas
 from curbflow.plans.standins import COARSE, GRID
 from curbflow.plans.transport import transport_graph
 from curbflow.session import enable_checkpoints, shared_dir
-from curbflow.sources import raw, tables
+from curbflow.sources import raw, tables, versions
 from curbflow.sources.layers import reproject
 from curbflow.sources.weather import readings_from_pages
 
@@ -41,6 +42,11 @@ SMOOTH = {"bins": 99, "reach": 3, "sigma": 1.5}
 DIFFUSION_STEPS = 99
 CROSS_CELLS = 400
 SAMPLE_SIZE = 500
+RERUN_TRACTS = 32
+ONE_TRACT = 5
+CODES_CHANGE = "2024-01-16"
+NETWORK_STEPS = 40
+FIRST_LAYER = 2
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
@@ -355,6 +361,19 @@ def net_with_codes(spark, sf_dir):
     return _areas_net(spark, sf_dir)
 
 
+@query
+def net_with_dated_codes(spark, sf_dir):
+    """Neighbourhoods as they were on the day: every tract moves to the next one once."""
+    codes = standins.tract_codes(spark, sf_dir).select("region_id", "neighborhood_code")
+    moved = (F.col("neighborhood_code") + 1) % standins.N_NEIGHBORHOODS
+    day, never = F.lit(CODES_CHANGE).cast("date"), F.lit(None).cast("date")
+    dated = codes.withColumns({"valid_from": F.lit("2000-01-01").cast("date"), "valid_to": day}).unionByName(
+        codes.withColumns({"neighborhood_code": moved.cast("int"), "valid_from": day, "valid_to": never})
+    )
+    net = flows.net_flow(standins.tract_trips(spark, sf_dir), "tract_id")
+    return rollup.roll_up(rollup.attach_dated_codes(net, dated), AREAS[1:], weather=False)
+
+
 @query
 def rollup_neighborhood(spark, sf_dir):
     return rollup.roll_up(_areas_net(spark, sf_dir), AREAS, mean=MEAN)
@@ -380,9 +399,8 @@ def rollup_all_levels(spark, sf_dir):
 def net_flow_between_boroughs(spark, sf_dir):
     """Net flow counted at borough level, trips within a borough left out."""
     codes = standins.tract_codes(spark, sf_dir).withColumnRenamed("region_id", "tract_id")
-    sized = broadcast_if_small(codes, at_most_rows=standins.N_TRACTS)
     trips = flows.at_level(
-        standins.tract_trips(spark, sf_dir), sized, "tract_id", "borough_code"
+        standins.tract_trips(spark, sf_dir), codes, "tract_id", "borough_code", at_most_regions=standins.N_TRACTS
     )
     return flows.net_flow(trips, "borough_code", exclude_internal=True)
 
@@ -754,6 +772,24 @@ def trip_time_model(spark, sf_dir):
     )
 
 
+@query
+def trip_time_network(spark, sf_dir):
+    """What must hold for the network's estimates: one for every trip with a clock, an error
+    below the spread of the trip times and never rising from step to step."""
+    parts = ("weekday", "hour", "min")
+    trips = models.time_of_day(_fare_trips(spark, sf_dir, parts))
+    network = models.trip_time_network(trips, steps=NETWORK_STEPS)
+    scored = models.with_network_hat(trips, network)
+    off = F.col("trip_time") - F.col("trip_time_hat")
+    falling = all(b <= a for a, b in zip(network.errors, network.errors[1:])) and network.errors[-1] < network.errors[0]
+    return scored.agg(
+        F.count(F.lit(1)).alias("trips"),
+        F.count("trip_time_hat").alias("estimates"),
+        (F.avg(off * off) <= F.var_pop("trip_time")).alias("below_variance"),
+        F.lit(falling).alias("falling"),
+    )
+
+
 # --- graph, diffusion --------------------------------------------------------------------
 
 
@@ -775,6 +811,51 @@ def land_graph(spark, sf_dir):
     return graph.restrict(edges, spatial.land_cells(standins.tract_index(spark), GRID), GRID)
 
 
+def _dissolved(spark, sf_dir):
+    """The lattice's tracts, merged by borough."""
+    return dissolve.dissolve(_tracts_by_borough(spark, sf_dir), "borough_code")
+
+
+def _tracts_by_borough(spark, sf_dir):
+    codes = standins.tract_codes(spark, sf_dir).select("region_id", "borough_code")
+    return standins.tract_rings(spark).join(codes, "region_id")
+
+
+@query
+def dissolved_boroughs(spark, sf_dir):
+    """Area and length of the outline of every borough."""
+    area = dissolve.layer_area(_dissolved(spark, sf_dir))
+    sides = dissolve.outline_segments(_tracts_by_borough(spark, sf_dir), "borough_code")
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    outline = sides.groupBy(F.col("borough_code").alias("region_id")).agg(
+        F.count(F.lit(1)).alias("sides"), F.sum(length).alias("outline")
+    )
+    return area.join(outline, "region_id").select(
+        "region_id", F.round("area", 9).alias("area"), "sides", F.round("outline", 9).alias("outline")
+    )
+
+
+@query
+def borough_assign(spark, sf_dir):
+    """The borough of every pickup, from the dissolved outlines."""
+    index = spatial.sized_index(spatial.region_index(spatial.region_layer(_dissolved(spark, sf_dir)), GRID))
+    out = spatial.assign_regions(
+        standins.trips(spark, sf_dir), index, GRID, "pickup_longitude", "pickup_latitude", "pickup_borough", exact=True
+    )
+    return out.select("trip_id", "pickup_borough")
+
+
+@query
+def two_layer_land_graph(spark, sf_dir):
+    """Land as either of two dissolved layers has it: the first boroughs, and the others."""
+    enable_checkpoints(spark)
+    boroughs = _dissolved(spark, sf_dir).checkpoint()
+    first = F.col("region_id") <= FIRST_LAYER
+    layers = [spatial.region_index(spatial.region_layer(boroughs.where(c)), GRID) for c in (first, ~first)]
+    cells = _used_cells(spark, sf_dir).select("cell_id")
+    return transport_graph(cells, GRID, layers, standins.crossings(spark).limit(0))
+
+
 @query
 def bridged_graph(spark, sf_dir):
     return _transport(spark, sf_dir)
@@ -902,8 +983,7 @@ def weather_from_pages(spark, sf_dir):
 @query
 def partitioned_round_trip(spark, sf_dir):
     """Write trips led by each end, read them back, count per region and month."""
-    app = spark.sparkContext.applicationId
-    root = f"{shared_dir(spark)}/round-trip-{app}"
+    root = f"{shared_dir(spark)}/round-trip-{uuid.uuid4().hex}"
     tables.write_both_ends(standins.tract_trips(spark, sf_dir), root, region="tract_id")
     out = None
     for end in ("pickup", "dropoff"):
@@ -917,6 +997,52 @@ def partitioned_round_trip(spark, sf_dir):
     return out
 
 
+def _monthly_tree(spark, sf_dir):
+    """All months of trips, then a month written again with the trips of fewer regions."""
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    trips = standins.tract_trips(spark, sf_dir)
+    versions.commit_months(trips, root, region="tract_id", region_folders=True)
+    month = trips.agg(F.min(F.struct("pickup_year", "pickup_month"))).first()[0]
+    again = trips.where((F.col("pickup_year") == month[0]) & (F.col("pickup_month") == month[1]))
+    fewer = again.where(F.col("pickup_tract_id").between(1, RERUN_TRACTS))
+    versions.commit_months(fewer, root, region="tract_id", region_folders=True)
+    return root
+
+
+@query
+def monthly_tree(spark, sf_dir):
+    """Both copies of the newest commit, counted per region and month."""
+    root = _monthly_tree(spark, sf_dir)
+    out = None
+    for end in versions.ENDS:
+        counts = (
+            versions.read_end(spark, root, end)
+            .groupBy(F.col(f"{end}_tract_id").alias("region_id"), "pickup_year", "pickup_month")
+            .agg(F.count(F.lit(1)).alias("trips"), F.sum("passenger_count").alias("passengers"))
+            .withColumn("led_by", F.lit(end))
+        )
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+@query
+def trips_of_region(spark, sf_dir):
+    """All trips that start or end in one region, from the two copies."""
+    rows = versions.read_region_of(spark, _monthly_tree(spark, sf_dir), "tract_id", [ONE_TRACT])
+    return rows.select(
+        "led_by", "pickup_tract_id", "dropoff_tract_id", "pickup_datetime", "dropoff_datetime", "fare_amount"
+    )
+
+
+@query
+def csv_results(spark, sf_dir):
+    """Net flow stored as CSV with a header and read back by its schema."""
+    net = flows.net_flow(standins.cell_trips(spark, sf_dir, COARSE), "grid")
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    tables.save(net, path, "csv")
+    return spark.read.schema(net.schema).option("header", True).csv(path)
+
+
 @query
 def sql_filter(spark, sf_dir):
     net = flows.net_flow(standins.cell_trips(spark, sf_dir, COARSE), "grid")

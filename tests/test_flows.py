@@ -132,3 +132,33 @@ def test_weather_join_keeps_rows_without_a_reading(spark, trips):
     out = rollup.attach_weather(net, weather)
     assert out.count() == net.count()
     assert out.where("temperature IS NOT NULL").count() == net.where("day = 6 AND hour = 1").count()
+
+
+def test_region_listed_twice_is_an_error(spark):
+    net = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "region_id int, trips int")
+    codes = spark.createDataFrame([(1, 10), (2, 20)], "region_id int, borough_code int")
+    joined = rollup.attach_codes(net, codes)
+    assert sorted(tuple(r) for r in joined.fillna(0).collect()) == [(1, 5, 10), (2, 6, 20), (3, 7, 0)]
+    twice = codes.unionByName(codes.limit(1))
+    with pytest.raises(Exception, match="listed twice"):
+        rollup.attach_codes(net, twice).collect()
+    trips = spark.createDataFrame([(1, 2)], "pickup_tract_id int, dropoff_tract_id int")
+    with pytest.raises(Exception, match="listed twice"):
+        flows.at_level(trips, twice.withColumnRenamed("region_id", "tract_id"), "tract_id", "borough_code").collect()
+
+
+def test_dated_codes(spark):
+    days = [(1, 2015, 1, 31), (1, 2015, 2, 1), (1, 2016, 7, 1), (1, 2014, 12, 31), (2, 2015, 3, 3), (9, 2015, 1, 1)]
+    net = spark.createDataFrame(days, "region_id int, year int, month int, day int")
+    rows = [(1, "2015-01-01", "2015-02-01", "a"), (1, "2015-02-01", "2016-01-01", "b"), (1, "2016-07-01", None, "c"), (2, "2000-01-01", None, "d")]
+    codes = spark.createDataFrame(rows, "region_id int, f string, t string, area string").select(
+        "region_id", F.col("f").cast("date").alias("valid_from"), F.col("t").cast("date").alias("valid_to"), "area"
+    )
+    got = {(r["region_id"], r["year"], r["month"], r["day"]): r["area"] for r in rollup.attach_dated_codes(net, codes).collect()}
+    assert got == dict(zip(days, ["a", "b", "c", None, "d", None]))
+    assert rollup.attach_dated_codes(net.where("false"), codes).count() == 0
+    clash = codes.unionByName(codes.where("area = 'b'").withColumn("area", F.lit("x")))
+    with pytest.raises(ValueError, match="overlap"):
+        rollup.attach_dated_codes(net, clash)
+    backward = codes.where("area = 'a'").withColumn("valid_to", F.col("valid_from"))
+    assert rollup.overlapping_codes(backward).count() == 1

@@ -118,3 +118,30 @@ def test_split_field_sign(spark):
     field = graph.split_field(raster.cells(spark), raster)
     assert field.where("(cell_id - 1) % 100 < 50 AND value <> 10").count() == 0
     assert field.agg(F.sum("value")).first()[0] == 0
+
+
+def test_convergence(spark):
+    states = spark.createDataFrame(
+        [(0, 1, 5.0), (1, 1, 3.0), (2, 1, 3.5), (1, 2, 8.0), (2, 2, 4.0)], "step int, cell_id int, value double"
+    )
+    got = {r["step"]: (r["largest"], r["mean"]) for r in graph.convergence(states).collect()}
+    assert got == {1: (2.0, 2.0), 2: (4.0, 2.25)}
+
+
+@pytest.mark.parametrize("every", [1, 3, 50])
+def test_states_do_not_depend_on_checkpoints(spark, every):
+    """A chain that grows into cells the field did not have."""
+    field = spark.createDataFrame([(1, 8.0), (40, 2.0)], "cell_id int, value double")
+    edges = [(i, i + 1) for i in range(1, 9)]
+    net = spark.createDataFrame([*edges, *((b, a) for a, b in edges)], "src int, dst int")
+    states = graph.diffusion(field, net, 7, delta=0.5, keep_all=True, checkpoint_every=every)
+    got = {(r["step"], r["cell_id"]): r["value"] for r in states.collect()}
+    now, want = {1: 8.0, 40: 2.0}, {(0, 1): 8.0, (0, 40): 2.0}
+    for step in range(1, 8):
+        near = {c: [now[a] for a, b in [*edges, *((y, x) for x, y in edges)] if b == c and a in now] for c in range(1, 10)}
+        now = {c: (sum(v) / len(v) if v else 0.0) + 0.5 for c, v in {**near, **{40: []}}.items() if v or c in now}
+        want |= {(step, c): v for c, v in now.items()}
+    assert got == pytest.approx(want)
+    last = graph.diffusion(field, net, 7, delta=0.5, checkpoint_every=every)
+    assert {r["cell_id"]: r["value"] for r in last.collect()} == pytest.approx(now)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"

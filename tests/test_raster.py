@@ -1,5 +1,8 @@
 """Cell ids, flips, coarsening, centres and outlines."""
 
+import math
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -164,3 +167,29 @@ def test_counts_beyond_bigint_products(spark):
     counts = spark.createDataFrame([(5, 5, 10**14)], "bx long, by long, n long")
     out = raster_ops.smooth_2d(counts, bins=11, reach=2, sigma=1.0)
     assert out.where("bx = 5 AND by = 5").first()["mass"] == 1e20
+
+
+def test_fitted_density(spark):
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.normal(3, 1, 400), rng.normal(9, 0.5, 100), [3.0] * 20])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+    out = sorted(map(tuple, raster_ops.fitted_density(df, F.col("v"), points=256).collect()))
+    low, high = np.quantile(values, [0.25, 0.75])
+    bandwidth = 0.9 * min(values.std(ddof=1), (high - low) / 1.34) * len(values) ** -0.2
+    x = np.linspace(values.min() - 3 * bandwidth, values.max() + 3 * bandwidth, 256)
+    assert [r[0] for r in out] == list(range(256))
+    assert np.allclose([r[1] for r in out], x, atol=1e-9)
+    exact = np.exp(-0.5 * ((x[:, None] - values) / bandwidth) ** 2).sum(1) / (len(values) * bandwidth * math.sqrt(2 * math.pi))
+    density = np.array([r[2] for r in out])
+    assert np.abs(density - exact).max() < 0.003 * exact.max()  # what sharing out between points costs
+    assert (density * (x[1] - x[0])).sum() == pytest.approx(1, abs=5e-3)
+
+
+def test_fitted_density_of_little(spark):
+    none = spark.createDataFrame([(None,)], "v double")
+    assert raster_ops.fitted_density(none, F.col("v")).count() == 0
+    same = spark.createDataFrame([(4.0,)] * 3, "v double")
+    density = raster_ops.fitted_density(same, F.col("v"), points=65)
+    top = density.orderBy(F.desc("density")).first()
+    assert top["point"] == 32 and top["x"] == pytest.approx(4.0)
+    assert raster_ops.rule_of_thumb(1, None, 0.0, 0.0) == pytest.approx(0.9)

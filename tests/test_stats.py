@@ -1,5 +1,7 @@
 """Quantiles, duplicates, samples; one key holding a third of the rows."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +104,65 @@ def test_wide_rows_are_measured_before_a_broadcast(spark):
     assert joins.broadcast_if_small(wide, at_most_rows=40, limit_bytes=3_000_000) is wide
     assert joins.broadcast_if_small(wide, limit_bytes=5_000_000) is not wide
     assert joins.broadcast_if_small(spark.range(40), limit_bytes=3_000) is not wide
+
+
+def spread_values():
+    rng = np.random.default_rng(4)
+    tiny = [5e-324, 1e-300, -1e-300, 1e300, -1.7e308, 1.7e308, 0.0, -0.0]
+    return {
+        "even": rng.uniform(-3, 9, 1001).tolist(),
+        "wide": np.exp(rng.normal(0, 40, 800)).tolist(),
+        "both": (np.exp(rng.normal(0, 30, 700)) * rng.choice([-1, 1], 700)).tolist(),
+        "ties": rng.integers(0, 5, 900).astype(float).tolist(),
+        "extreme": tiny * 3,
+        "negative": (-np.exp(rng.normal(0, 9, 500))).tolist(),
+        "one": [7.25],
+        "same": [2.0] * 50,
+    }
+
+
+PROBS = {"q0": 0.0, "q01": 0.01, "q25": 0.25, "q50": 0.5, "q99": 0.99, "q100": 1.0}
+
+
+def by_hand(values):
+    out = {}
+    ordered = sorted(values)
+    for name, p in PROBS.items():
+        at = (len(ordered) - 1) * p
+        low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+        out[name] = low + (high - low) * (at - math.floor(at))
+    return out
+
+
+@pytest.mark.parametrize("buckets", [4, 1024])
+def test_refined_quantiles_by_key(spark, buckets):
+    groups = spread_values()
+    rows = [(k, float(v)) for k, values in groups.items() for v in values]
+    rows += [(None, 1.0), (None, 2.0), ("even", None), ("even", float("nan")), ("even", float("inf")), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r["k"]: r for r in stats.refined_quantiles(df, "v", PROBS, ["k"], buckets=buckets).collect()}
+    assert set(got) == {*groups, None}
+    for k, values in groups.items():
+        assert got[k]["n"] == len(values)
+        for name, want in by_hand(values).items():
+            assert got[k][name] == pytest.approx(want, rel=1e-12, abs=0), (k, name)
+    assert got[None]["q50"] == 1.5
+
+
+def test_refined_quantiles_of_everything(spark):
+    values = spread_values()["both"]
+    df = spark.createDataFrame([(v, 1 + i % 3) for i, v in enumerate(values)], "v double, w int")
+    row = stats.exact_quantiles(df, "v", PROBS).first()
+    assert {n: row[n] for n in PROBS} == pytest.approx(by_hand(values), rel=1e-12)
+    weighted = stats.weighted_quantiles(df, "v", "w", PROBS).first()
+    repeated = [v for i, v in enumerate(values) for _ in range(1 + i % 3)]
+    assert weighted["n"] == len(repeated)
+    assert {n: weighted[n] for n in PROBS} == pytest.approx(by_hand(repeated), rel=1e-12)
+    empty = stats.refined_quantiles(df.where("false"), "v", {"q": 0.5}).collect()
+    assert len(empty) == 1 and empty[0]["q"] is None
+
+
+def test_refinement_never_gathers_everything_in_one_task(spark):
+    df = spark.range(20000).select(F.sin("id").alias("v"))
+    plan = stats.refined_quantiles(df, "v", {"q": 0.3})._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # the last step only picks what the rounds have found
