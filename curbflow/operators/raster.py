@@ -45,7 +45,6 @@ class FineGrid:
 
 
 # The park and midtown window, and the window of the fare maps.
-PARK_GRID = FineGrid(lon_min=-73.98, lon_max=-73.96, lat_min=40.75)
 FARE_MAP_LON = (-74.05, -73.75)
 FARE_MAP_LAT = (40.6, 40.9)
 FARE_MAP_BREAKS = 800
