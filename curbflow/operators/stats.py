@@ -119,8 +119,8 @@ def _bucket(x: Column, low: Column, high: Column, buckets: int) -> Column:
     same_scale = 4.0
     return (
         F.when((low <= 0) & (high >= 0), F.signum(x).cast("bigint"))
-        .when((low > 0) & (high / low > same_scale), share(F.ln(x / low) / F.ln(high / low)))
-        .when((high < 0) & (low / high > same_scale), share(F.ln(low / x) / F.ln(low / high)))
+        .when((low > 0) & (high / low > same_scale), share((F.ln(x) - F.ln(low)) / (F.ln(high) - F.ln(low))))
+        .when((high < 0) & (low / high > same_scale), share((F.ln(-low) - F.ln(-x)) / (F.ln(-low) - F.ln(-high))))
         .otherwise(share((x - low) / (high - low)))
     )
 

@@ -134,7 +134,7 @@ def by_hand(values):
     return out
 
 
-@pytest.mark.parametrize("buckets", [4, 1024])
+@pytest.mark.parametrize("buckets", [64, 1024])
 def test_refined_quantiles_by_key(spark, buckets):
     groups = spread_values()
     rows = [(k, float(v)) for k, values in groups.items() for v in values]
