@@ -600,19 +600,81 @@ def test_licenses(docs, rows):
     assert sum(r["n_notices"] for r in found.values()) == 3
 
 
-def test_license_in_a_long_line():
-    line = "word " * 3000 + "Released under the MIT License. " + "word " * 3000
+def _licenses(text: str) -> tuple[list[str], list[str]]:
     rules = licenses.Rules()
-    assert [(f[0], f[5]) for f in licenses.find(line, licenses.Compressors(rules), rules)] in ([], [("mit", 0)])
-    spans = licenses.blocks(line * 3)
-    assert len(spans) >= 3 and all(b - a <= rules.max_block for a, b in spans)
+    found, near = licenses.search(text, licenses.Compressors(rules), rules)
+    return [f[0] for f in found], [f[0] for f in near]
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        (licenses.TEMPLATES["lgpl-2.1-notice"], ["lgpl-2.1-notice"]),
+        ("This program is distributed under the GNU General Public License, version 2.", ["gpl-2.0-name"]),
+        ("Licensed under CC BY 3.0.", ["cc-by-3.0"]),
+        ("Licensed under CC-BY-SA-4.0.", ["cc-by-sa-4.0"]),
+        ("This work is not in the public domain.", []),
+        ("It is not licensed under CC BY 4.0.", []),
+        ("You may not copy it. Licensed under CC BY 4.0.", ["cc-by-4.0"]),
+        ("Licensed under the GNU Affero General Public License v3.0 or later.", ["agpl-3.0-or-later"]),
+        ("// SPDX-License-Identifier: Apache-2.0", ["spdx:Apache-2.0"]),
+        ("SPDX-License-Identifier: GPL-2.0+", ["spdx:GPL-2.0+"]),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", ["spdx:GPL-2.0-or-later"]),
+        ("SPDX-License-Identifier: GPL-1.0", []),
+        ("All rights" + " " * 25 + "reserved.", ["all-rights-reserved"]),
+        ("ALL RIGHTS RESERVED", ["all-rights-reserved"]),
+        ("Licenced under the Apache Licence, Version 2.", ["apache-2.0"]),
+        ("Licensed under the Apache License, Version 1.1.", []),
+        ("Licensed under the Lesser Apache License, Version 2.0.", []),
+        ("All rights reserved. All rights reserved.", ["all-rights-reserved"] * 2),
+    ],
+)
+def test_license_names_versions_and_negations(text, names):
+    for whole in (text, f"Once upon a time there was a text. {text}\n\nIt went on for long."):
+        assert _licenses(whole)[0] == names
+
+
+def test_license_near_misses():
+    assert _licenses("This work is not in the public domain.") == ([], ["public-domain"])
+    assert _licenses("Licensed under the Lesser Apache License, Version 2.0.") == ([], ["apache-2.0"])
+    assert _licenses("A text without any.") == ([], [])
+
+
+def test_licenses_against_all_word_windows():
+    """As with every word of a template as anchor and no look at word counts."""
+    rng, rules = random.Random(11), licenses.Rules()
+    tools = licenses.Compressors(rules)
+    names = sorted(licenses.TEMPLATES)
+    fillers = ["not", "the", "a", "free", "work", "version", "2.0", "license", "under", "public", "\n", "-", ".", "lesser", "3"]
+    hits = 0
+    for _ in range(25):
+        parts = []
+        for name in rng.sample(names, 3):
+            words = licenses.TEMPLATES[name].split()
+            for _ in range(rng.choice((0, 0, 1, 1, 2))):
+                at = rng.randrange(len(words) + 1)
+                words[at : at + rng.randint(0, 1)] = rng.choices(fillers, k=rng.randint(0, 1))
+            parts += [*words, *rng.choices(fillers, k=rng.randint(0, 4))]
+        text = " ".join(parts)
+        spans = [m.span() for m in re.finditer(licenses._WORD, text)]
+        words = [licenses._fold(text[a:b]) for a, b in spans]
+        windows = []
+        for name in names:
+            size, spare = len(tools.words[name]), tools.spare[name]
+            at = {i - j for i, w in enumerate(words) for j, own in enumerate(tools.words[name]) if w == own}
+            windows += [(name, max(0, i - spare), min(len(words), i + size + spare)) for i in at]
+        slow = licenses.judged(text, words, spans, [w for w in windows if w[1] < w[2]], tools, rules)
+        fast = licenses.search(text, tools, rules)
+        assert [(f[0], *f[1:3], *f[5:]) for f in fast[0]] == [(f[0], *f[1:3], *f[5:]) for f in slow[0]]
+        hits += len(fast[0])
+    assert hits > 40
 
 
 def test_license_lost_in_prose():
     """Every verbatim notice in the middle of a long line of ordinary words is found."""
     rng, rules = random.Random(3), licenses.Rules()
     tools = licenses.Compressors(rules)
-    prose = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(n))
+    prose = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(5, 9))) for _ in range(n))
     for name, notice in licenses.TEMPLATES.items():
         for n in (100, 300, 3000):
             text = f"{prose(n)} {notice} {prose(n)}"
