@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 from curbflow.llm.common import in_sieve, map_rows, sieve, written
 
 _WORD = re.compile("[^ \n\t\r]+")
-_BLANKS = np.array([32, 10, 9, 13], np.uint32)
 _WINDOW = 5  # doublings: a cut depends on the 32 bytes before it
 _GROUP_CHARS = 200_000  # text that goes to the library at once, and the most of one text as one string
 _NEAR = 200  # characters on each side in which the words of a window are looked for first
@@ -93,7 +92,7 @@ class Words:
         each = np.array([len(r) // 4 for r in raw], np.int64)
         letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         within = np.zeros(len(letters) + 2, np.int8)
-        within[1:-1] = ~np.isin(letters, _BLANKS)
+        within[1:-1] = (letters != 32) & (letters != 10) & (letters != 9) & (letters != 13)
         turns = np.diff(within)
         ids = np.frombuffer(b"".join(raw), "<u4")
         return Tokens(ids, np.repeat(np.flatnonzero(turns == 1), each), np.repeat(np.flatnonzero(turns == -1), each))
@@ -152,6 +151,9 @@ class Tokens:
     def moved(self, by: int) -> Tokens:
         return Tokens(self.ids, self.starts + by, self.ends + by)
 
+    def part(self, a: int, b: int | None) -> Tokens:
+        return Tokens(self.ids[a:b], self.starts[a:b], self.ends[a:b])
+
     def packed(self) -> bytes:
         """Ids, distances of the starts and lengths, one after the other, deflated."""
         steps = np.diff(self.starts, prepend=0)
@@ -227,30 +229,39 @@ def _same(old: Tokens, new: Tokens, chosen, within: bool) -> bool:
 
 def repaired(text: str, cuts_at: list[int], tokens: Tokens, library) -> Tokens:
     """Tokens of the whole text from those of its chunks, which meet at ``cuts_at``."""
-    done = 0  # up to here the text is right
+    out: list[Tokens] = []  # what lies before the last window
+    last_window: Tokens | None = None
+    begin = done = 0  # of the last window; up to its end the text is right
+    rest = tokens
     for cut in cuts_at:
         if cut < done:
             continue  # inside a window already
         words = 1
         while True:
             start, first, last, end = _outer(text, cut, words)
-            i = int(np.searchsorted(tokens.starts, start, side="left"))
-            j = int(np.searchsorted(tokens.ends, end, side="right"))
-            old = Tokens(tokens.ids[i:j], tokens.starts[i:j], tokens.ends[i:j])
+            if last_window is not None and start < done:  # reaches into the last window
+                rest, last_window = Tokens.joined([last_window, rest]), None
+            if out and start < begin:  # and before it
+                rest, out = Tokens.joined([*out, rest]), []
+            i = int(np.searchsorted(rest.starts, start, side="left"))
+            j = int(np.searchsorted(rest.ends, end, side="right"))
+            old = rest.part(i, j)
             # no token reaches over the window's edges
-            clean = (i == 0 or tokens.ends[i - 1] <= start) and (j == len(tokens.ids) or tokens.starts[j] >= end) and i <= j
+            clean = (i == 0 or rest.ends[i - 1] <= start) and (j == len(rest.ids) or rest.starts[j] >= end) and i <= j
             [new] = encoded([text[start:end]], library)
             new = new.moved(start)
+            whole = first < 0 and last < 0
+            if whole:
+                return new
             left = first < 0 or _same(old, new, lambda t: t.ends <= first, _breaks(old, first) and _breaks(new, first))
             right = last < 0 or _same(old, new, lambda t: t.starts >= last, _breaks(old, last) and _breaks(new, last))
-            whole = first < 0 and last < 0
-            if whole or (clean and left and right):
-                parts = [Tokens(*(getattr(tokens, c)[part] for c in ("ids", "starts", "ends"))) for part in (slice(i), slice(j, None))]
-                tokens = Tokens.joined([parts[0], new, parts[1]]) if not whole else new
-                done = end
+            if clean and left and right:
+                out += [rest.part(0, i)] if last_window is None else [last_window, rest.part(0, i)]
+                last_window, rest = new, rest.part(j, None)
+                begin, done = start, end
                 break
             words *= 2
-    return tokens
+    return rest if last_window is None else Tokens.joined([*out, last_window, rest])
 
 
 def _breaks(t: Tokens, at: int) -> bool:
@@ -291,10 +302,21 @@ def encode_texts(texts: list[str], library, mask_bits: int = 10) -> list[np.ndar
     return out
 
 
+class _Decimals(dict):
+    """Ids of a vocabulary as text, each made once."""
+
+    def __missing__(self, i: int) -> str:
+        self[i] = str(i)
+        return self[i]
+
+
+_DECIMALS = _Decimals()
+
+
 def digests(ids: np.ndarray, library) -> tuple[int, str, str]:
     """Number of tokens, digests of the ids as text and of what they decode to."""
     own = ids.tolist()
-    text = " ".join(map(str, own))
+    text = " ".join(map(_DECIMALS.__getitem__, own))
     decoded = getattr(library, "library", library).decode(own, skip_special_tokens=False)
     return len(own), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 

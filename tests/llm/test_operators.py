@@ -590,6 +590,23 @@ def test_encoded_documents(docs, rows):
     assert expected((r["doc_id"], str(list(r["ids"]))) for r in got) == expected(want)
 
 
+def test_repair_of_cuts_close_together(folder):
+    """Windows that overlap, widen and reach back, with a tokenizer whose tokens cross blanks too."""
+    rng = random.Random(1)
+    path = queries.tokenizer_path()
+    libraries = [chunked_bpe.tokenizer(path, word_by_word) for word_by_word in (False, True)]
+    libraries.append(chunked_bpe.tokenizer(blank_crossing(folder)))
+    for _ in range(150):
+        words = ["".join(rng.choices("aeionst\u00e9'1.", k=rng.choice((1, 2, 3, 9)))) for _ in range(rng.choice((1, 5, 60, 300)))]
+        text = "".join(w + rng.choice((" ", " ", "\n", "  \t")) for w in words)
+        at = sorted(rng.sample(range(1, len(text)), min(len(text) - 1, rng.choice((1, 5, 60)))))
+        parts = [text[a:b] for a, b in zip([0, *at], [*at, len(text)])]
+        for library in libraries:
+            got = chunked_bpe.of_chunks(parts, chunked_bpe.encoded(parts, library), library)
+            [want] = chunked_bpe.encoded([text], library)
+            assert got.ids.tolist() == want.ids.tolist()
+
+
 # ---- licenses ----
 
 
