@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curbflow.llm import chunked_bpe, decontamination, kneser_ney, personal_data, simhash
 from curbflow.llm.common import table, written
-from curbflow.llm.queries import tokenizer_path
+from curbflow.llm.queries import TRUSTED, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that read like trusted text of their language."""
-    return kneser_ney.keep_trusted_like(docs, table(spark, sf_dir, "labels"))
+    return kneser_ney.keep_trusted_like(docs, table(spark, sf_dir, "labels"), TRUSTED)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,18 +2,21 @@
 
 The model counts runs of up to five bytes per language and is interpolated over all
 lengths with three discounts each. Counts, continuation counts, discounts and
-probabilities are worked out by joins on (language, run), sharded by hash; documents meet the
-model in the scan, as shipping all their runs would move several times the corpus.
-
-The model is fitted on a bounded sample of trusted documents (``Fit``): labelled of
-quality 1 and not toxic, of at most ``max_chars`` characters; of each language about
-``sample`` by a hash of their ids, or four fifths of them if that is less, and at least one. With
-many languages the share of each is smaller, so that ``total`` bounds the models together.
-Everything else covers all documents: the thresholds come from all trusted documents outside
-the sample, per language and length class, shrunk where they are few (``thresholds``), and
-every text is scored whole. Two scores have a threshold each: the perplexity of the text, and that
-of its worst stretch of ``Fit.stretch`` words, so that a short foreign or toxic passage
-shows in a long text.
+probabilities are worked out by joins on (language, run), sharded by hash. Up to ``Fit.carried``
+rows the model goes to the documents in the scan. A larger one stays in its tables: documents
+are stored in blocks, a block asks for each of its runs once, and the costs return by one
+shuffle on the block (``scores_by_joins``), so no model is ever held whole. Both give the same.
+
+Trusted documents are those labelled of quality 1 and not toxic. With ``Fit.folds`` the models
+come from all of them, of any length, and the thresholds from all of them too: each trusted text is
+of one fold and is scored for the thresholds by a model of the other folds, as a text that a
+model has counted fits it too well. Copies of a text are of one fold. Without folds four fifths of a
+language's trusted documents make the model and the others the thresholds; ``sample``,
+``total`` and ``max_chars`` are for callers who want a smaller model.
+Thresholds are taken per language and length class, shrunk where there are few documents
+(``thresholds``), and every text is scored whole. Two scores have a threshold each: the
+perplexity of the text, and that of its worst stretch of ``Fit.stretch`` words, so that a short
+foreign or toxic passage shows in a long text.
 
 Cases: a document whose language has no trusted document at all has no model, no perplexity
 and no threshold, and is kept. One without a language is judged as of the language whose
@@ -24,8 +27,9 @@ and ``lang``, and of the labels ``doc_id``, ``quality`` and ``toxic`` are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbflow.llm.common import in_sieve, map_rows, ship, sieve, text_key, written
-from curbflow.llm.matching import grams_of
+from curbflow.llm.matching import BLOCK_BYTES, grams_of
 
 RUN = 5
 _BITS = 9
@@ -43,10 +47,12 @@ _SYMBOLS = 257
 
 @dataclass(frozen=True)
 class Fit:
-    sample: int = 4000  # documents of a language
-    most: float = 0.8  # of its trusted documents; the others give the thresholds
-    total: int = 40_000  # documents of all languages: bounds the models together
-    max_chars: int = 4000  # longer trusted documents are not sampled
+    folds: int = 0  # models from all trusted documents, thresholds from all by folds; 0: from a part each
+    sample: int | None = None  # documents of a language, without folds
+    most: float = 0.8  # of its trusted documents, without folds; the others give the thresholds
+    total: int | None = None  # documents of all languages, without folds
+    max_chars: int = (1 << 31) - 1  # longer trusted documents are not counted, without folds
+    carried: int = 6_000_000  # rows of model tables that go to the scan; larger models answer by joins
     quantile: float = 0.998  # of the trusted perplexities, and of those of the worst stretches
     stretch: int = 4  # words
     classes: tuple[int, ...] = (100, 400, 1600)  # bytes at which a new length class starts
@@ -89,8 +95,8 @@ def _run_counts(texts: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> tuple[dict[str, Model], DataFrame]:
-    """Models by language, and the ``doc_id, lang`` they were made from."""
+def _chosen(docs: DataFrame, labels: DataFrame, how: Fit) -> DataFrame:
+    """``doc_id, lang`` of the trusted documents that make the models, without folds."""
     ids = trusted_ids(labels)
     small = F.char_length("text") <= how.max_chars
     pool = docs.where("text is not null and text <> '' and lang is not null").where(small).select("doc_id", "lang")
@@ -99,16 +105,66 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> tuple[dict[str,
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
     each = pool.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
     each = written(each, "languages")
-    sample = min(how.sample, max(1, how.total // max(each.count(), 1)))
-    share = each.select("lang", "n", "first", "last", F.least(F.lit(sample) / F.col("n"), F.lit(how.most)).alias("share"))
+    share = F.lit(how.most)
+    bounds = [] if how.sample is None else [how.sample]
+    bounds += [] if how.total is None else [max(1, how.total // max(each.count(), 1))]
+    if bounds:
+        share = F.least(F.lit(min(bounds)) / F.col("n"), share)
+    share = each.select("lang", "n", "first", "last", share.alias("share"))
     # of two or more at least one stays outside
     mine = ((place < F.col("share")) & ((place < F.col("last")) | (F.col("n") == 1))) | (place == F.col("first"))
-    chosen = pool.join(F.broadcast(share), "lang").where(mine).select("doc_id", "lang")
-    chosen = written(chosen, "sample")
-    # about ``sample`` rows a language; not broadcast unless Spark measures it as small
-    texts = docs.where("text is not null and text <> '' and lang is not null").where(small)
-    texts = texts.join(chosen, ["doc_id", "lang"], "left_semi").select("text", "lang")
-    levels = [written(_run_counts(texts), "runs")]
+    return written(pool.join(F.broadcast(share), "lang").where(mine).select("doc_id", "lang"), "sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> tuple[dict[str, Model], DataFrame]:
+    """Models by language, and the ``doc_id, lang`` they were made from, without folds."""
+    chosen = _chosen(docs, labels, how)
+    return collected(model_tables(_run_counts(_texts_of(docs, chosen, how)))), chosen
+
+
+def _texts_of(docs: DataFrame, chosen: DataFrame, how: Fit) -> DataFrame:
+    # not broadcast unless Spark measures it as small
+    texts = docs.where("text is not null and text <> '' and lang is not null").where(F.char_length("text") <= how.max_chars)
+    return texts.join(chosen, ["doc_id", "lang"], "left_semi").select("text", "lang")
+
+
+def in_folds(docs: DataFrame, labels: DataFrame, folds: int) -> DataFrame:
+    """``doc_id, k1, k2, text, lang, fold`` of all trusted documents, stored.
+
+    The fold is that of the text, -1 for a text of no language or the only one of its language.
+    Of two or more texts of a language at least one is of another fold.
+    """
+    rows = docs.where("text is not null and text <> ''").select("doc_id", *text_key(), "text", "lang")
+    rows = written(rows.join(trusted_ids(labels), "doc_id", "left_semi"), "trusted")
+    fold = F.pmod(F.col("k1"), F.lit(folds)).cast("int")
+    each = rows.where("lang is not null").groupBy("lang").agg(
+        F.min(fold).alias("low"), F.max(fold).alias("high"), F.min("k1").alias("first"), F.max("k1").alias("last")
+    )
+    moved = F.when(F.col("k1") == F.col("last"), (fold + 1) % folds).otherwise(fold)
+    fold = F.when(F.col("low") < F.col("high"), fold).when(F.col("first") < F.col("last"), moved).otherwise(-1)
+    rows = rows.join(F.broadcast(each), "lang", "left")  # a row per language
+    return rows.select("doc_id", "k1", "k2", "text", "lang", fold.alias("fold"))
+
+
+def _fold_name(lang: Column, fold: Column) -> Column:
+    return F.concat_ws("\0", lang, fold.cast("string"))
+
+
+def _fold_counts(rows: DataFrame, folds: int) -> DataFrame:
+    """Counts of the models of all texts (fold -1) and of those without each fold."""
+    texts = rows.where("lang is not null").select("text", _fold_name(F.col("lang"), F.col("fold")).alias("lang"))
+    tail = F.substring_index("lang", "\0", -1)
+    lang = F.col("lang").substr(F.lit(1), F.length("lang") - F.length(tail) - 1)
+    parts = _run_counts(texts).withColumns({"of": tail.cast("int"), "lang": lang})
+    others = F.filter(F.sequence(F.lit(-1), F.lit(folds - 1)), lambda f: (f != F.col("of")) | (f == -1))
+    spread = parts.select("lang", F.explode(others).alias("fold"), "g", "c")
+    return spread.groupBy(_fold_name(F.col("lang"), F.col("fold")).alias("lang"), "g").agg(F.sum("c").alias("c"))
+
+
+def model_tables(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Per length of run, shortest first: ``lang, g, p`` of the runs, and ``lang, x, rest`` of
+    the contexts, what they leave to the shorter run."""
+    levels = [written(counts, "runs")]
     for m in range(RUN - 1, 0, -1):
         # how many different bytes precede a run, not how often it occurs
         shorter = levels[-1].groupBy("lang", _low(F.col("g"), m).alias("g")).agg(F.count("*").alias("c"))
@@ -142,20 +198,21 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> tuple[dict[str,
             rows = rows.select("lang", "g", (own + F.col("rest") * F.col("below")).alias("p"))
         lower = written(rows, "probabilities")
         tables.append((lower, written(stats.select("lang", "x", "rest"), "rests")))
-    return _collected(tables), chosen
+    return tables
 
 
-def _collected(tables: list[tuple[DataFrame, DataFrame]]) -> dict[str, Model]:
-    """The model on the driver; bounded by the sample, see ``Fit``."""
+def collected(tables: list[tuple[DataFrame, DataFrame]]) -> dict[str, Model]:
+    """The models as arrays; only for tables that are known to be small, see ``Fit.carried``."""
     models: dict[str, Model] = {}
     for p, rest in tables:
         runs, rests = p.toArrow().to_pandas(), rest.toArrow().to_pandas()
+        left_of = dict(list(rests.groupby("lang")))
         for lang, own in runs.groupby("lang"):
             model = models.setdefault(lang, Model([], [], [], []))
             own = own.sort_values("g")
             model.runs.append(own["g"].to_numpy())
             model.costs.append(np.log10(own["p"].to_numpy()))
-            left = rests[rests["lang"] == lang].sort_values("x")
+            left = left_of[lang].sort_values("x")
             model.contexts.append(left["x"].to_numpy())
             model.rests.append(np.log10(left["rest"].to_numpy()))
     return models
@@ -197,30 +254,142 @@ def worst_stretch(costs: np.ndarray, text: str, words: int) -> float:
     return float(((sums[words:] - sums[:-words]) / (edges[words:] - edges[:-words])).max())
 
 
-def scores(docs: DataFrame, models: Broadcast, how: Fit = Fit()) -> DataFrame:
-    """``doc_id, k1, k2, lang, model, bytes, cost, worst``: log10 perplexity of the text and
-    of its worst stretch, null for no text or model."""
+_SCORES = "doc_id bigint, k1 bigint, k2 bigint, lang string, model string, bytes bigint, cost double, worst double"
+
+
+def _scored(texts: list, langs: list, names: dict[str, str], cost_of: Callable[[str, str], np.ndarray], how: Fit) -> tuple:
+    """``model, bytes, cost, worst`` as columns. ``names`` holds the model of each language."""
+    out = []
+    for text, lang in zip(texts, langs):
+        # without a language the model that fits best; a language without a model is not judged
+        own = _asked(lang, names)
+        if not text or not own:
+            out.append((None, len((text or "").encode("utf-8", "surrogatepass")), None, None))
+            continue
+        found = []
+        for name in own:
+            costs = cost_of(names[name], text)
+            found.append((float(costs.mean()), name, costs))
+        cost, name, costs = min(found, key=lambda f: f[:2])
+        out.append((name, len(costs) - 1, cost, worst_stretch(costs, text, how.stretch)))
+    return tuple(map(list, zip(*out))) if out else ([], [], [], [])
+
+
+def _asked(lang: str | None, names: dict[str, str]) -> list[str]:
+    return [lang] if lang in names else sorted(names) if lang is None else []
+
+
+def scores(rows: DataFrame, models: Broadcast, names: dict[str, str], how: Fit = Fit()) -> DataFrame:
+    """``doc_id, k1, k2, lang, model, bytes, cost, worst`` of rows of ``doc_id, k1, k2, text, lang``:
+    log10 perplexity of the text and of its worst stretch, null for no text or model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        cost_of = lambda name, text: symbol_costs(models.value[name], text)
         for b in batches:
-            out = []
-            for text, lang in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
-                # without a language the model that fits best; a language without a model is not judged
-                names = [lang] if lang in models.value else sorted(models.value) if lang is None else []
-                if not text or not names:
-                    out.append((None, len((text or "").encode("utf-8", "surrogatepass")), None, None))
-                    continue
-                found = []
-                for name in names:
-                    costs = symbol_costs(models.value[name], text)
-                    found.append((float(costs.mean()), name, costs))
-                cost, name, costs = min(found, key=lambda f: f[:2])
-                out.append((name, len(costs) - 1, cost, worst_stretch(costs, text, how.stretch)))
-            name, n, cost, worst = map(list, zip(*out)) if out else ([], [], [], [])
+            name, n, cost, worst = _scored(b.column(3).to_pylist(), b.column(4).to_pylist(), names, cost_of, how)
             yield {"doc_id": b.column(0), "k1": b.column(1), "k2": b.column(2), "lang": b.column(4), "model": name, "bytes": n, "cost": cost, "worst": worst}
 
-    schema = "doc_id bigint, k1 bigint, k2 bigint, lang string, model string, bytes bigint, cost double, worst double"
-    return map_rows(docs.select("doc_id", *text_key(), "text", "lang"), run, schema, batch=500)
+    return map_rows(rows.select("doc_id", "k1", "k2", "text", "lang"), run, _SCORES, batch=500)
+
+
+def _stored_blocks(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        from pyspark import TaskContext
+
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            blocks = []
+            for t in b.column(3).to_pylist():
+                if size > BLOCK_BYTES:
+                    block, size = block + 1, 0
+                size += len(t or "") + 100
+                blocks.append(block)
+            yield {**{n: b.column(i) for i, n in enumerate(("doc_id", "k1", "k2", "text", "lang"))}, "block": blocks}
+
+    schema = "doc_id bigint, k1 bigint, k2 bigint, text string, lang string, block bigint"
+    return written(map_rows(rows.select("doc_id", "k1", "k2", "text", "lang"), run, schema, batch=500), "blocks")
+
+
+def _block_runs(blocks: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``block, lang, g``: the runs that a block's texts need of a model, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        now, parts = None, {}
+
+        def asked() -> Iterator[dict]:
+            for name, own in parts.items():
+                runs = np.unique(np.concatenate(own))
+                yield {"block": np.full(len(runs), now), "lang": [name] * len(runs), "g": runs}
+
+        for b in batches:
+            for text, lang, block in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if block != now:
+                    yield from asked()
+                    now, parts = block, {}
+                grams = np.unique(grams_of(text, RUN - 1)) if text else None
+                for name in _asked(lang, names) if text else []:
+                    own = parts.setdefault(names[name], [])
+                    own.append(grams)
+                    if len(own) > 500:
+                        own[:] = [np.unique(np.concatenate(own))]
+        yield from asked()
+
+    return map_rows(blocks.select("text", "lang", "block"), run, "block bigint, lang string, g bigint", batch=500)
+
+
+def _run_costs(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """``lang, g, cost``: what ``symbol_costs`` works out, for a table of runs."""
+    rows = asked.select("lang", "g", F.lit(0.0).alias("cost"), F.lit(False).alias("done"))
+    for m in range(RUN, 0, -1):
+        p, rest = tables[m - 1]
+        rows = rows.withColumns({"own": _low(F.col("g"), m), "x": F.shiftright(_low(F.col("g"), m), _BITS)})
+        rows = rows.join(p.select("lang", F.col("g").alias("own"), "p"), ["lang", "own"], "left")
+        rows = rows.join(rest.select("lang", "x", "rest"), ["lang", "x"], "left")
+        step = F.coalesce(F.log10("p"), F.log10("rest"), F.lit(0.0))
+        rows = rows.select(
+            "lang", "g", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") - step).alias("cost"),
+            (F.col("done") | F.col("p").isNotNull()).alias("done"),
+        )
+    return rows.select("lang", "g", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") + float(np.log10(_SYMBOLS))).alias("cost"))
+
+
+def scores_by_joins(rows: DataFrame, tables: list[tuple[DataFrame, DataFrame]], names: dict[str, str], how: Fit = Fit()) -> DataFrame:
+    """``scores`` where the models are tables of any size."""
+    blocks = _stored_blocks(rows)
+    asked = written(_block_runs(blocks, names), "asked")
+    costs = written(_run_costs(asked.select("lang", "g").distinct(), tables), "costs")
+    answers = asked.join(costs, ["lang", "g"])
+    columns = [f.split()[0] for f in _SCORES.split(", ")]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        runs, found = right["g"].to_numpy(), right["cost"].to_numpy()
+        kind = pa.compute.dictionary_encode(right["lang"]).combine_chunks()
+        kind = kind.chunk(0) if isinstance(kind, pa.ChunkedArray) else kind
+        own = {}
+        for i, name in enumerate(kind.dictionary.to_pylist()):
+            at = np.flatnonzero(kind.indices.to_numpy() == i)
+            at = at[np.argsort(runs[at])]
+            own[name] = runs[at], found[at]
+
+        def cost_of(name: str, text: str) -> np.ndarray:
+            return own[name][1][np.searchsorted(own[name][0], grams_of(text, RUN - 1))]
+
+        name, n, cost, worst = _scored(left["text"].to_pylist(), left["lang"].to_pylist(), names, cost_of, how)
+        values = [left["doc_id"], left["k1"], left["k2"], left["lang"], pa.array(name, pa.string()), pa.array(n, pa.int64())]
+        return pa.table(dict(zip(columns, [*values, pa.array(cost, pa.float64()), pa.array(worst, pa.float64())])))
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _SCORES)
+
+
+def _scored_by(rows: DataFrame, tables: list[tuple[DataFrame, DataFrame]], names: dict[str, str], how: Fit) -> DataFrame:
+    """Scores by the named models, stored."""
+    own = [tuple(t.where(F.col("lang").isin(list(names.values()))) for t in pair) for pair in tables] if names else []
+    if sum(t.count() for pair in own for t in pair) > how.carried:
+        return written(scores_by_joins(rows, own, names, how), "scores")
+    models = rows.sparkSession.sparkContext.broadcast(collected(own))
+    scored = written(scores(rows, models, names, how), "scores")
+    models.destroy()
+    return scored
 
 
 def _class(how: Fit) -> Column:
@@ -240,8 +409,8 @@ def _quantile(q: float) -> Column:
 def thresholds(scored: DataFrame, labels: DataFrame, chosen: DataFrame, how: Fit = Fit()) -> DataFrame:
     """``model, class, threshold, worst_threshold`` of every model and length class.
 
-    From the trusted documents that the model was not made from; from all of them where
-    that leaves a language none. They are counted on a grid, so a language is never gathered.
+    From the trusted documents that are not ``chosen``, those that the model was made from; from
+    all of them where that leaves a language none. They are counted on a grid, so a language is never gathered.
     A class's mean is shrunk to its language's, and its quantile to that of all languages'
     distances from their means in the class. So a small language is judged, but not by an
     order statistic that it cannot give.
@@ -289,11 +458,22 @@ def thresholds(scored: DataFrame, labels: DataFrame, chosen: DataFrame, how: Fit
 def judged(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> DataFrame:
     """``doc_id, k1, k2, lang, model, bytes, perplexity, threshold, worst,
     worst_threshold, kept`` of every row."""
-    found, chosen = fit(docs, labels, how)
-    models = docs.sparkSession.sparkContext.broadcast(found)
-    scored = written(scores(docs, models, how), "scores")
-    models.destroy()
-    limits = written(thresholds(scored, labels, chosen, how), "thresholds")
+    rows = docs.select("doc_id", *text_key(), "text", "lang")
+    if how.folds:
+        known = in_folds(docs, labels, how.folds)
+        tables = model_tables(_fold_counts(known, how.folds))
+        # a row per language
+        langs = [r["lang"] for r in known.where("lang is not null").select("lang").distinct().collect()]
+        name_of = lambda f: {lang: f"{lang}\0{f}" for lang in langs}
+        scored = _scored_by(rows, tables, name_of(-1), how)
+        parts = [_scored_by(known.where(F.col("fold") == f), tables, name_of(f), how) for f in range(-1, how.folds)]
+        held, chosen = reduce(DataFrame.unionAll, parts), known.select("doc_id", "lang").limit(0)
+    else:
+        chosen = _chosen(docs, labels, how)
+        tables = model_tables(_run_counts(_texts_of(docs, chosen, how)))
+        langs = [r["lang"] for r in chosen.select("lang").distinct().collect()]
+        held = scored = _scored_by(rows, tables, {lang: lang for lang in langs}, how)
+    limits = written(thresholds(held, labels, chosen, how), "thresholds")
     # one row per language of the bounded models and length class
     rows = scored.withColumn("class", _class(how)).join(F.broadcast(limits), ["model", "class"], "left")
     within = lambda score, limit: F.coalesce(F.col(score) <= F.col(limit), F.lit(True))

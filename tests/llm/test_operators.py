@@ -497,6 +497,54 @@ def test_models_are_bounded_together(spark):
     assert len(models) == 20 and 20 <= chosen.count() <= 100
 
 
+def test_all_trusted_documents_count(spark):
+    """With folds a model is that of every trusted text, long ones too; scores are the same by joins,
+    and each trusted text meets the thresholds by a model of the other folds."""
+    rng = random.Random(10)
+    usual = ["".join(rng.choices("etaoin", k=rng.choice((2, 4, 6)))) for _ in range(80)]
+    text = lambda n: " ".join(rng.choices(usual, k=n))
+    rows = [(i, text(30), "en") for i in range(60)] + [(60, text(30) + " jkqxz" * 900, "en"), (61, text(20), None)]
+    rows += [(100 + i, text(10).upper(), "fr") for i in range(2)] + [(200, "only one", "de"), (201, "only one", "de"), (300, "none", "es")]
+    rows += [(400 + i, " ".join(rng.choices(["jkqxz", "vvwu"], k=20)), lang) for i, lang in enumerate(["en", "fr", None])] + [(500, None, "en"), (501, "", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows if i < 300], "doc_id long, quality int, toxic int")
+    how = kneser_ney.Fit(folds=3)
+    known = [(r["doc_id"], r["lang"], r["fold"]) for r in kneser_ney.in_folds(frame, labels, 3).collect()]
+    assert {i for i, *_ in known} == {i for i, *_ in rows if i < 300}
+    folds = {i: f for i, _, f in known}
+    assert folds[100] != folds[101] and folds[200] == folds[201] == folds[61] == -1 and {folds[i] for i in range(60)} == {0, 1, 2}
+
+    source = {i: t for i, t, _ in rows}
+    ids = [i for i in folds if i <= 60]
+    every = kneser_ney.collected(kneser_ney.model_tables(kneser_ney._run_counts(frame.where("doc_id <= 60").select("text", "lang"))))["en"]
+    by_scan = {r["doc_id"]: r for r in kneser_ney.judged(frame, labels, how).collect()}
+    for i in [*ids, 400]:
+        assert by_scan[i]["perplexity"] == pytest.approx(10 ** kneser_ney.symbol_costs(every, source[i]).mean(), rel=1e-9)
+    by_joins = {r["doc_id"]: r for r in kneser_ney.judged(frame, labels, kneser_ney.Fit(folds=3, carried=0)).collect()}
+    for i, r in by_scan.items():
+        for c in r.asDict():
+            assert by_joins[i][c] == (pytest.approx(r[c], rel=1e-9) if isinstance(r[c], float) else r[c]), (i, c)
+    assert not any(by_scan[i]["kept"] for i in (400, 401, 402, 500, 501)) and by_scan[300]["kept"]
+    assert by_scan[200]["kept"] and by_scan[200]["threshold"] and by_scan[61]["model"] in ("en", "fr", "de")
+
+
+def test_thresholds_come_from_the_other_folds(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join("".join(rng.choices("etaoinshr", k=4)) for _ in range(25)), "en") for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    how = kneser_ney.Fit(folds=2, quantile=0.5, grid=1e-6, enough=0, classes=())
+    fold = {r["doc_id"]: r["fold"] for r in kneser_ney.in_folds(frame, labels, 2).collect()}
+    held = []
+    for f in (0, 1):
+        others = frame.where(frame.doc_id.isin([i for i in fold if fold[i] != f])).select("text", "lang")
+        model = kneser_ney.collected(kneser_ney.model_tables(kneser_ney._run_counts(others)))["en"]
+        held += [kneser_ney.symbol_costs(model, t).mean() for i, t, _ in rows if fold[i] == f]
+    limits = {r["threshold"] for r in kneser_ney.judged(frame, labels, how).collect()}
+    assert len(limits) == 1
+    assert abs(sum(c > math.log10(max(limits)) for c in held) - 40) <= 2
+
+
 def test_bad_stretch_in_a_long_text(spark):
     """The threshold is the quantile itself, and eight odd words show in 200 usual ones."""
     rng = random.Random(9)
