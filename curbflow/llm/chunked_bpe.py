@@ -4,7 +4,9 @@ A rolling hash over the bytes of a text picks the places to cut, so equal passag
 are cut alike wherever they stand. Chunks that occur more than once in the corpus are
 encoded once, in a job of their own; a document without any is encoded where it is read.
 
-Joins are repaired: around every cut a window of the text, from a word before to a word
+For a tokenizer that works word by word (``Words``) a shared chunk gives the tokens of its inner
+words, and the words that cuts may have split are put together from the chunks' ends and
+encoded by themselves. For any other, joins are repaired: around every cut a window of the text, from a word before to a word
 after the one that the cut may have split and with the blanks as they stand, is encoded as
 one string. Where the tokens of its outer words equal those of the chunks, they take the
 chunks' place; else the window takes in twice as many words, in the end the whole text. So
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from curbflow.llm.common import in_sieve, map_rows, sieve, written
 
 _WORD = re.compile("[^ \n\t\r]+")
+_BLANK = re.compile("[ \n\t\r]")
 _WINDOW = 5  # doublings: a cut depends on the 32 bytes before it
 _GROUP_CHARS = 200_000  # text that goes to the library at once, and the most of one text as one string
 _NEAR = 200  # characters on each side in which the words of a window are looked for first
@@ -47,6 +50,21 @@ _KNOWN_BYTES = 48 << 20  # what a worker remembers of words
 _TOKENIZERS: dict = {}
 
 
+def _ends(text: str) -> tuple[int, int] | None:
+    """The end of what may be the rest of a word, and the start of what may be the begin of one."""
+    first = _BLANK.search(text)
+    return (first.start(), max(map(text.rfind, " \n\t\r")) + 1) if first else None
+
+
+def _planes(ids: np.ndarray) -> bytes:
+    """Byte by byte of all ids: the high ones are nearly all zero."""
+    return np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplanes(raw: bytes) -> bytes:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.tobytes()
+
+
 class Words:
     """What words give by themselves, remembered within a bound of bytes.
 
@@ -84,6 +102,31 @@ class Words:
         known = self.known
         return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
 
+    def inner(self, chunks: list[str]) -> list[tuple[str, bytes | None]]:
+        """Of each chunk its outer words with a blank between them, and the ids of the words
+        within; none of a chunk without a blank."""
+        ends = [_ends(c) for c in chunks]
+        ids = self.ids([c[e[0] : e[1]] if e else "" for c, e in zip(chunks, ends)])
+        return [(c, None) if e is None else (f"{c[: e[0]]} {c[e[1] :]}", _planes(i)) for c, e, i in zip(chunks, ends, ids)]
+
+    def joined(self, documents: list[list[tuple[str, bytes | None]]]) -> list[np.ndarray]:
+        """Ids of documents given as chunks: of text, or as ``inner`` gives them."""
+        every: list[list[str | bytes]] = []
+        for parts in documents:
+            out, open_word = [], ""
+            for text, ids in parts:
+                ends = _ends(text)
+                if ends is None:
+                    open_word += text
+                    continue
+                out.append(open_word + text[: ends[0]])
+                out += _WORD.findall(text, *ends) if ids is None else [_unplanes(ids)]
+                open_word = text[ends[1] :]
+            every.append([x for x in (*out, open_word) if x])
+        self.learn({x for items in every for x in items if isinstance(x, str)})
+        known = self.known
+        return [np.frombuffer(b"".join([known[x] if isinstance(x, str) else x for x in items]), "<u4") for items in every]
+
     def tokens(self, text: str) -> Tokens:
         """Every token with the place of its whole word."""
         words = _WORD.findall(text)
@@ -313,12 +356,36 @@ class _Decimals(dict):
 _DECIMALS = _Decimals()
 
 
+class _Strings(dict):
+    """What ids of a tokenizer stand for, each looked up once."""
+
+    def __init__(self, library):
+        self.library = library
+
+    def __missing__(self, i: int) -> str:
+        self[i] = self.library.id_to_token(i)
+        return self[i]
+
+
+_STRINGS: dict = {}
+
+
+def decoded(ids: list[int], library) -> str:
+    """As the library decodes. Without a decoder that is the tokens with a blank between them."""
+    if id(library) not in _STRINGS:  # holds the library, so that its id stays its own
+        _STRINGS[id(library)] = library, _Strings(library) if library.decoder is None else None
+    strings = _STRINGS[id(library)][1]
+    if strings is None:
+        return library.decode(ids, skip_special_tokens=False)
+    return " ".join(map(strings.__getitem__, ids))
+
+
 def digests(ids: np.ndarray, library) -> tuple[int, str, str]:
     """Number of tokens, digests of the ids as text and of what they decode to."""
     own = ids.tolist()
     text = " ".join(map(_DECIMALS.__getitem__, own))
-    decoded = getattr(library, "library", library).decode(own, skip_special_tokens=False)
-    return len(own), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+    back = decoded(own, getattr(library, "library", library))
+    return len(own), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 _DONE = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -391,8 +458,12 @@ def encoded_documents(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         library = tokenizer(path, word_by_word)
         for b in batches:
-            tokens = [t.packed() for t in encoded(b.column(2).to_pylist(), library)]
-            yield {"n1": b.column(0), "n2": b.column(1), "text": b.column(2), "tokens": tokens}
+            texts = b.column(2).to_pylist()
+            if word_by_word:
+                texts, tokens = map(list, zip(*library.inner(texts))) if texts else ([], [])
+            else:
+                tokens = [t.packed() for t in encoded(texts, library)]
+            yield {"n1": b.column(0), "n2": b.column(1), "text": texts, "tokens": tokens}
 
     # each shared chunk is encoded once: equal chunks meet after a partial aggregation
     named = waiting.where("n1 is not null")
@@ -413,7 +484,10 @@ def encoded_documents(
         library = tokenizer(path, word_by_word)
         for b in batches:
             out = []
-            for parts in b.column(1).to_pylist():
+            if word_by_word:
+                documents = [[(p["chunk"], p["tokens"]) for p in parts] for parts in b.column(1).to_pylist()]
+                out = [answer(ids, library) for ids in library.joined(documents)]
+            for parts in [] if word_by_word else b.column(1).to_pylist():
                 fresh = iter(encoded([p["chunk"] for p in parts if p["tokens"] is None], library))
                 tokens = [next(fresh) if p["tokens"] is None else Tokens.unpacked(p["tokens"]) for p in parts]
                 out.append(answer(of_chunks([p["chunk"] for p in parts], tokens, library).ids, library))

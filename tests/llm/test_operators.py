@@ -610,6 +610,28 @@ def test_repair_leaves_most_tokens_alone(monkeypatch):
     assert len(seen) == 2 and all(len(w.split()) == 3 for w in seen)
 
 
+def test_words_are_joined_without_their_places():
+    """Every cut gives the ids of the whole text, and only the words it may split are encoded again."""
+    path = queries.tokenizer_path()
+    whole = chunked_bpe.tokenizer(path)
+    rng = random.Random(12)
+    texts = ["Some words, don't\tsplit any-thing \n\u00e9t\u00e9  here.", "e\u0301 a\u00a0b <|endoftext|> c\U0001f642d \u0301x 123", "x" * 40, " \n ", ""]
+    texts += ["".join(rng.choice("abcdef  \n") for _ in range(60)) for _ in range(5)]
+    for text in texts:
+        want = whole.encode(text, add_special_tokens=False).ids
+        assert chunked_bpe.decoded(want, whole) == whole.decode(want, skip_special_tokens=False)
+        some = [sorted(rng.sample(range(1, len(text)), min(len(text) - 1, k))) for k in (2, 5, 20)] if len(text) > 1 else []
+        for at in [[], *([c] for c in range(1, len(text))), *some]:
+            chunks = [text[i:j] for i, j in zip([0, *at], [*at, len(text)])]
+            inner = chunked_bpe.Words(whole).inner(chunks)
+            mixed = [p if rng.random() < 0.5 else (c, None) for p, c in zip(inner, chunks)]
+            for parts in (inner, mixed):
+                words = chunked_bpe.Words(whole)
+                [found] = words.joined([parts])
+                assert found.tolist() == want, (text, at)
+                assert parts is mixed or len(words.known) <= len(chunks) + 1
+
+
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(chunked_bpe, "_KNOWN_BYTES", 5000)
     whole = chunked_bpe.tokenizer(queries.tokenizer_path())
