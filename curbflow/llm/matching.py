@@ -204,7 +204,7 @@ def _word_answers(blocks: DataFrame) -> tuple[DataFrame, int, int, int]:
         {
             "c": F.sum("n").over(one),
             "blocks": F.count("*").over(one),  # a word has at most one row per block
-            "first": F.row_number().over(one.orderBy("block")) == 1,
+            "first": F.col("block") == F.min("block").over(one),  # one sort by word serves all
         }
     )
     wide = F.col("blocks") > 1
@@ -221,13 +221,36 @@ def _word_answers(blocks: DataFrame) -> tuple[DataFrame, int, int, int]:
     return rows.where("word is not null").select("block", "word", "value"), tokens, words, documents
 
 
+class Places:
+    """Where numbers stand in a sorted array that holds them all.
+
+    A table by hash answers most; a number whose slot holds another is searched for.
+    """
+
+    def __init__(self, kinds: np.ndarray):
+        self.kinds = kinds
+        self.shift = np.uint64(64 - max(1, (8 * len(kinds)).bit_length()))
+        self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.slots[self._slot(kinds)] = np.arange(len(kinds), dtype=np.int32)
+
+    def _slot(self, numbers: np.ndarray) -> np.ndarray:
+        return ((numbers.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        at = self.slots[self._slot(numbers)]
+        other = np.flatnonzero(self.kinds[at] != numbers)
+        at[other] = np.searchsorted(self.kinds, numbers[other])
+        return at
+
+
 def _scored(docs: pa.Table, answers: pa.Table, tokens: int, words: int, documents: int, order: int) -> Iterable[dict]:
     """Base and model score of a block's documents."""
     is_word = answers["word"].is_valid()
     by_gram = answers.filter(pa.compute.invert(is_word))
     grams, costs = by_gram["gram"].to_numpy(), by_gram["value"].to_numpy()
     place = np.argsort(grams)
-    grams, costs = grams[place], costs[place]
+    grams, costs = np.ascontiguousarray(grams[place]), costs[place]
+    places = Places(grams)
     texts, held = docs["text"].to_pylist(), docs["held"].to_pylist()
     # each text is split once; from then on a word is its number in the block
     numbers: dict[bytes, int] = {}
@@ -243,7 +266,7 @@ def _scored(docs: pa.Table, answers: pa.Table, tokens: int, words: int, document
     out = []
     for t, own in zip(texts, coded):
         base = float(logs[own].sum()) + end - (len(own) + 1) * every
-        score = float(costs[np.searchsorted(grams, grams_of(t, order))].sum())
+        score = float(costs[places.of(grams_of(t, order))].sum())
         out.append((len(own) + 1, int((counts[own] > 0).sum()) + (documents > 0), base, score))
     return out
 

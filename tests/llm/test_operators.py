@@ -412,6 +412,17 @@ def test_matching(docs, rows):
     assert [r["score"] for r in matching.score_documents(docs.where("doc_id = 2")).collect()][0] < 0
 
 
+def test_places_of_numbers():
+    rng = np.random.default_rng(13)
+    for n in (1, 2, 1000, 50_000):
+        kinds = np.unique(rng.integers(0, 1 << 45, n))
+        numbers = rng.choice(kinds, 5000)
+        assert (matching.Places(kinds).of(numbers) == np.searchsorted(kinds, numbers)).all()
+        full = matching.Places(kinds)
+        full.slots[:] = 0  # every slot holds another number
+        assert (full.of(numbers) == np.searchsorted(kinds, numbers)).all()
+
+
 # ---- classifier ----
 
 
