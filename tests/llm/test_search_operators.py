@@ -116,6 +116,74 @@ def test_bounds_spare_scores(spark, monkeypatch):
     assert sum(scored) < 0.2 * 60 * 3000
 
 
+def table_of(q, label, ids, directions=5):
+    import pyarrow as pa
+
+    d = q[:directions].astype(float)
+    scale = np.outer(np.linalg.norm(q.astype(float), axis=1), np.linalg.norm(d, axis=1))
+    angles = np.arccos(np.clip(np.divide(q @ d.T, scale, out=np.zeros(scale.shape), where=scale > 0), -1, 1)).astype("<f4")
+    return pa.table({
+        "x": np.arange(len(q)), "vec_id": pa.array(ids, pa.int64()), "label": label,
+        "q": [r.astype("<i4").tobytes() for r in q], "angles": [r.tobytes() for r in angles],
+    })
+
+
+def test_bounds_are_for_tiles(monkeypatch):
+    """Bounds cost more than scores, so there are none for single pairs, however little they spare."""
+    bounded, scored = [], []
+    bounds, products = negatives.score_bounds, negatives.inner_products
+    monkeypatch.setattr(negatives, "score_bounds", lambda *a: bounded.append(len(a[1]) * len(a[4])) or bounds(*a))
+    monkeypatch.setattr(negatives, "inner_products", lambda a, b: scored.append(len(a) * len(b)) or products(a, b))
+    rng = np.random.default_rng(4)
+    t = table_of(rng.integers(-90, 90, (4000, 24)), rng.integers(0, 4, 4000), np.arange(4000))
+    anchors = negatives.Rows(t.slice(0, 80))
+    floor = np.full((80, 1), -negatives.LAST)
+    negatives.search_cell(anchors, negatives.Rows(t), floor, -floor, 3, same=False)
+    assert sum(scored) > 0.5 * 80 * 4000
+    assert sum(bounded) < 0.05 * 80 * 4000
+
+
+@pytest.mark.parametrize("same", [True, False])
+@pytest.mark.parametrize(("labels", "size"), [(3, 100), (3, 3000), (3, 2**30), (40, 100), (1, 100)])
+def test_search_in_parts(monkeypatch, same, labels, size):
+    """Rows come in parts, with many equal vectors and ids, of any size of component."""
+    monkeypatch.setattr(negatives, "TILE", 64)
+    monkeypatch.setattr(negatives, "BLOCK", 7)
+    monkeypatch.setattr(negatives, "GROUP", 20)
+    rng = np.random.default_rng(labels + size)
+    n, keep = 900, 3
+    q = rng.integers(-size, size, (n, 6)) // (6 if size > 2**24 else 1)
+    q[rng.random(n) < 0.3] = q[5]
+    q[rng.random(n) < 0.1] = 0
+    label, ids = rng.integers(0, labels, n), [None if i % 97 == 0 else i // 2 for i in rng.permutation(n).tolist()]
+    t = table_of(q, label, ids)
+    some = np.sort(rng.permutation(n)[:70])
+    score = q.astype(object) @ q.astype(object).T
+    cap = np.array([sorted((int(v) for v in rng.choice(score[i], 4)), reverse=True) for i in some])
+    floor = cap - np.abs(cap) // 2 - 10
+    floor[:9, 2], cap[:9, 2] = negatives.LAST, -negatives.LAST
+    floor[20:40], cap[20:40, 0] = -negatives.LAST, negatives.LAST
+    search = negatives.Search(negatives.Rows(t.take(some)), floor, cap, keep, same)
+    for at in range(0, n, 250):
+        search.add(negatives.Rows(t.slice(at, 250)))
+    got = {r for f in search.found() for r in zip(*(f[c].tolist() for c in ("a", "slot", "id", "x", "score")))}
+    want = set()
+    for a, i in enumerate(some.tolist()):
+        for s in range(4):
+            fit = [j for j in range(n) if j != i and (label[j] == label[i]) == same and floor[a, s] <= score[i, j] <= cap[a, s]]
+            known = [negatives.LAST if v is None else v for v in ids]
+            fit.sort(key=lambda j: (-score[i, j], known[j], j))
+            want |= {(i, s, known[j], j, score[i, j]) for j in fit[:keep]}
+    assert got == want and (want or labels == 1 and not same)
+
+
+def test_negatives_in_parts(spark, monkeypatch):
+    for name, value in (("PART_BYTES", 500), ("CELL_BYTES", 20_000), ("GROUP", 4), ("CELL_PAIRS", 1000)):
+        monkeypatch.setattr(negatives, name, value)
+    rows = vectors(seed=8)
+    assert ordered(negatives.mine(spark.createDataFrame(rows, VECTORS).repartition(3)).collect()) == ordered(slow_negatives(rows))
+
+
 def test_no_vectors(spark):
     assert negatives.mine(spark.createDataFrame([], VECTORS)).count() == 0
     alone = spark.createDataFrame([(0, [1.0], 1, True, "", "", "", "")], VECTORS)
