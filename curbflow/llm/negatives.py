@@ -43,8 +43,8 @@ TILE = 1024  # rows bounded and scored at a time
 BLOCK = 256  # anchors scored at a time
 GROUP = 2048  # anchors whose best rows are kept together
 CELL_PAIRS = 200_000_000_000  # pairs of one task
-CELL_BYTES = 1 << 28  # a cell's anchors with their best rows
-PART_BYTES = 1 << 24  # components of the rows that a cell holds at a time
+CELL_BYTES = 1 << 27  # a cell's anchors with their best rows
+PART_BYTES = 1 << 24  # components of the rows that a cell holds at a time, as float32
 SLACK = 2e-6  # of an angle: far beyond what float32 angles and arccos lose
 LAST = (1 << 63) - 1  # sorts a null id last
 
@@ -53,7 +53,7 @@ _PAIR = "a bigint, slot int, id bigint, x bigint, score bigint"
 
 def whole_vectors(rows: DataFrame) -> DataFrame:
     """``vec_id, embedding, label, anchor`` to numbered rows with whole components ``q``,
-    four bytes each; rows that take no part go."""
+    four bytes each, that lie within ``most``; rows that take no part go."""
     numbered = rows.where("label is not null and embedding is not null").select(
         F.monotonically_increasing_id().alias("x"), "vec_id", "label", "anchor", "embedding"
     )
@@ -67,20 +67,21 @@ def whole_vectors(rows: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(b.num_rows), length)
             good = np.bincount(owner[~finite], minlength=b.num_rows) == 0
             part = part[good[owner]]
-            if part.size and np.abs(part).max() >= 2**31:
+            most = int(np.abs(part).max(initial=0))
+            if most >= 2**31:
                 raise ValueError("a component is too large for scores that fit a long")
             kept = b.filter(pa.array(good))
             yield {
                 "x": kept.column(0), "vec_id": kept.column(1), "label": kept.column(2), "anchor": kept.column(3),
-                "q": _binary(part.astype("<i4"), length[good]),
+                "q": _binary(part.astype("<i4"), length[good]), "most": np.full(kept.num_rows, most),
             }
 
-    return map_rows(numbered, run, "x bigint, vec_id bigint, label bigint, anchor boolean, q binary")
+    return map_rows(numbered, run, "x bigint, vec_id bigint, label bigint, anchor boolean, q binary, most bigint")
 
 
 def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Values of four bytes, end to end, as binaries of so many values each."""
-    ends = np.concatenate([[0], 4 * np.cumsum(sizes)]).astype("<i4")
+    """Values that stand end to end as binaries of so many values each."""
+    ends = np.concatenate([[0], values.itemsize * np.cumsum(sizes)]).astype("<i4")
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
 
 
@@ -92,7 +93,7 @@ def _values(column: pa.Array | pa.ChunkedArray, kind: str) -> tuple[np.ndarray,
     _, ends, data = whole.buffers()
     ends = np.frombuffer(ends, "<i8" if pa.types.is_large_binary(whole.type) else "<i4")[whole.offset :][: len(whole) + 1]
     flat = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].view(kind)
-    return flat, np.diff(ends).astype(np.int64) // 4
+    return flat, np.diff(ends).astype(np.int64) // flat.itemsize
 
 
 def matrix(flat: np.ndarray, sizes: np.ndarray, width: int = 0, kind: type = np.float64) -> np.ndarray:
@@ -106,9 +107,10 @@ def matrix(flat: np.ndarray, sizes: np.ndarray, width: int = 0, kind: type = np.
     return out
 
 
-def with_angles(vectors: DataFrame, references: int = REFERENCES) -> DataFrame:
-    """Adds ``angles`` to the reference directions, as float32. The directions are the
-    vectors of the rows with the smallest hashes: a fixed number, whatever the table."""
+def with_angles(vectors: DataFrame, references: int = REFERENCES, kind: str = "<i4") -> DataFrame:
+    """Adds ``angles`` to the reference directions, as float32, and makes the components of
+    ``kind``. The directions are the vectors of the rows with the smallest hashes: a fixed
+    number, whatever the table."""
     picked = vectors.where("length(q) > 0").orderBy(F.xxhash64("q"), "x").limit(references).select("q").toArrow()
     directions = [raw for raw in picked["q"].to_pylist() if any(raw)]
     known = np.frombuffer(b"".join(directions), "<i4"), np.array([len(r) // 4 for r in directions], dtype=np.int64)
@@ -122,7 +124,8 @@ def with_angles(vectors: DataFrame, references: int = REFERENCES) -> DataFrame:
             cosine = np.divide(v @ d.T, scale, out=np.zeros(scale.shape), where=scale > 0)
             angles = np.arccos(np.clip(cosine, -1, 1)).astype("<f4")
             stored = _binary(angles, np.full(len(angles), angles.shape[1]))
-            yield {**{n: b.column(n) for n in ("x", "vec_id", "label", "anchor", "q")}, "angles": stored}
+            q = _binary(flat.astype(kind), sizes)
+            yield {**{n: b.column(n) for n in ("x", "vec_id", "label", "anchor")}, "q": q, "angles": stored}
 
     return map_rows(vectors, run, "x bigint, vec_id bigint, label bigint, anchor boolean, q binary, angles binary")
 
@@ -131,11 +134,11 @@ class Rows:
     """Rows of a cell as arrays. Components are float32 where inner products of such rows,
     and all their partial sums, are below 2**24 and so exact."""
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, t: pa.Table, kind: str = "<i4"):
         self.x = t["x"].to_numpy()
         self.id = t["vec_id"].fill_null(LAST).to_numpy()
         self.label = t["label"].to_numpy()
-        flat, sizes = _values(t["q"], "<i4")
+        flat, sizes = _values(t["q"], kind)
         self.norm, starts = np.zeros(len(sizes)), np.cumsum(sizes) - sizes
         for at in range(0, len(sizes), TILE):
             own = slice(at, at + TILE)
@@ -296,12 +299,20 @@ class Group:
         near = np.flatnonzero(score.max(axis=1) >= reach.astype(score.dtype))
         if not len(near):
             return
-        block, score = block[near], score[near]
-        hit = (score >= reach[near, None].astype(score.dtype)) & (score <= self.cap[block, None].astype(score.dtype))
-        many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 8 * self.best.keep)
-        if len(many):
-            hit[many] &= self.sift(block[many], score[many], rows, tile)
-        i, j = np.nonzero(hit)
+        block, score, reach = block[near], score[near], reach[near, None].astype(score.dtype)
+        width = score.shape[1]
+        hit = np.empty((len(near), -(-width // 8) * 8), dtype=bool)  # looked through by eights
+        hit[:, width:] = False
+        np.greater_equal(score, reach, out=hit[:, :width])
+        eights = np.flatnonzero(hit.view(np.uint64))
+        if len(eights) > hit.size // 400:
+            hit[:, :width] &= score <= self.cap[block, None].astype(score.dtype)
+            many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 8 * self.best.keep)
+            if len(many):
+                hit[many, :width] &= self.sift(block[many], score[many], rows, tile)
+            eights = np.flatnonzero(hit.view(np.uint64))
+        k, bit = np.nonzero(hit.reshape(-1, 8)[eights])
+        i, j = np.divmod(8 * eights[k] + bit, hit.shape[1])
         self.hits.append((block[i], tile[j], score[i, j].astype(np.int64)))
         self.n_hits += len(i)
         if self.n_hits > 2 * max(5000, len(self.x) * self.best.slots * self.best.keep):
@@ -357,13 +368,14 @@ def search_cell(anchors: Rows, rows: Rows, floor: np.ndarray, cap: np.ndarray, k
     return search
 
 
-def search_cells(batches: Iterable[pa.RecordBatch], begin: Callable[[pa.Table], Search]) -> Iterator[dict]:
+def search_cells(batches: Iterable[pa.RecordBatch], begin: Callable[[pa.Table], Search], kind: str) -> Iterator[dict]:
     """Batches sorted by ``cell`` and ``row``, with the anchors (``row`` is false) of a cell
-    before its rows, to what the search that ``begin`` makes of the anchors finds."""
+    before its rows, to what the search that ``begin`` makes of the anchors finds. Components
+    are of ``kind``."""
     cell, search, anchors, held, size = None, None, [], [], 0
 
     def part() -> Rows:
-        return Rows(pa.Table.from_batches(held))
+        return Rows(pa.Table.from_batches(held), kind)
 
     for b in batches:
         code = 2 * b.column("cell").to_numpy().astype(np.int64) + b.column("row").to_numpy(zero_copy_only=False)
@@ -385,7 +397,7 @@ def search_cells(batches: Iterable[pa.RecordBatch], begin: Callable[[pa.Table],
                 search, anchors = begin(pa.Table.from_batches(anchors)), []
             if search:
                 held.append(some)
-                size += some.column("q").nbytes
+                size += some.column("q").nbytes * 4 // np.dtype(kind).itemsize
                 if size >= PART_BYTES:
                     search.add(part())
                     held, size = [], 0
@@ -395,7 +407,7 @@ def search_cells(batches: Iterable[pa.RecordBatch], begin: Callable[[pa.Table],
         yield from search.found()
 
 
-def _grid(rows: DataFrame, anchors: DataFrame, begin, n_rows: int, n_anchors: int, anchor_bytes: int) -> DataFrame:
+def _grid(rows: DataFrame, anchors: DataFrame, begin, kind: str, n_rows: int, n_anchors: int, anchor_bytes: int) -> DataFrame:
     """What the searches that ``begin(anchor table)`` makes find over every pair of an anchor
     and a row once."""
     cells = max(-(-n_rows * n_anchors // CELL_PAIRS), 2 * rows.sparkSession.sparkContext.defaultParallelism)
@@ -420,7 +432,7 @@ def _grid(rows: DataFrame, anchors: DataFrame, begin, n_rows: int, n_anchors: in
         dealt(rows, True, numbers(anchor_groups), group(row_groups)), allowMissingColumns=True
     )
     met = both.repartitionById(anchor_groups * row_groups, "cell").sortWithinPartitions("cell", "row")
-    return map_rows(met, lambda batches: search_cells(batches, begin), _PAIR)
+    return map_rows(met, lambda batches: search_cells(batches, begin, kind), _PAIR)
 
 
 def _ranked(found: DataFrame, keep: int) -> DataFrame:
@@ -444,18 +456,19 @@ def mine(
     positive_score, negative_score``; anchors without any such row have none.
     """
     vectors = written(whole_vectors(rows), "whole-vectors")
-    stored = written(with_angles(vectors, references), "angles")
+    n_rows, n_anchors, longest, most = vectors.agg(F.count("*"), F.count_if("anchor"), F.max(F.length("q")), F.max("most")).first()
+    kind = "<i2" if (most or 0) < 2**15 else "<i4"
+    stored = written(with_angles(vectors, references, kind), "angles")
     anchors = stored.where("anchor")
-    n_rows, n_anchors, longest = stored.agg(F.count("*"), F.count_if("anchor"), F.max(F.length("q"))).first()
 
     def searched(side: DataFrame, begin, slots: int, keep: int) -> DataFrame:
         # components twice, angles, numbers; the best rows while they are merged
         each = 2 * (longest or 0) + 4 * references + 64 + slots * (24 + 40 * keep)
-        return _ranked(_grid(stored, side, begin, n_rows, n_anchors, each), keep)
+        return _ranked(_grid(stored, side, begin, kind, n_rows, n_anchors, each), keep)
 
     def nearest(t: pa.Table) -> Search:
         floor = np.full((t.num_rows, 1), -LAST, np.int64)
-        return Search(Rows(t), floor, np.full_like(floor, LAST), positives, same=True)
+        return Search(Rows(t, kind), floor, np.full_like(floor, LAST), positives, same=True)
 
     firsts = searched(anchors, nearest, 1, positives).select("a", "rank", F.col("id").alias("positive"), F.col("score").alias("positive_score"))
     firsts = written(firsts, "positives")
@@ -478,7 +491,7 @@ def mine(
         wanted = pc.list_flatten(t["windows"])
         slot, low, high = (pc.struct_field(wanted, f).to_numpy() for f in ("rank", "floor", "cap"))
         floor[own, slot - 1], cap[own, slot - 1] = low, high
-        return Search(Rows(t), floor, cap, negatives, same=False)
+        return Search(Rows(t, kind), floor, cap, negatives, same=False)
 
     chosen = searched(seeking, between, positives, negatives).select(
         "a", (F.col("slot") + 1).alias("slot"), "rank", F.col("id").alias("negative"), F.col("score").alias("negative_score")

@@ -181,6 +181,7 @@ def test_negatives_in_parts(spark, monkeypatch):
     for name, value in (("PART_BYTES", 500), ("CELL_BYTES", 20_000), ("GROUP", 4), ("CELL_PAIRS", 1000)):
         monkeypatch.setattr(negatives, name, value)
     rows = vectors(seed=8)
+    rows += [(3000 + i, [v * 500 for v in r[1]], r[2], i % 3 == 0, *r[4:]) for i, r in enumerate(rows[:30])]
     assert ordered(negatives.mine(spark.createDataFrame(rows, VECTORS).repartition(3)).collect()) == ordered(slow_negatives(rows))
 
 
