@@ -223,7 +223,16 @@ class Best:
         pool = [np.concatenate(p) for p in zip(self.pool, *self.new)]
         self.new = []
         key, ids, x, score = pool
-        order = np.lexsort((x, ids, -score, key))
+        most = score.max(initial=0)
+        span = int(most) - int(score.min(initial=0)) + 1
+        if span * int(key.max(initial=0) + 1) < 2**62:  # one number to sort by, few ties
+            place = key * span + (most - score)
+            order = np.argsort(place)
+            tie = np.diff(place[order]) == 0
+            at = np.flatnonzero(np.r_[tie, False] | np.r_[False, tie])
+            order[at] = order[at][np.lexsort((x[order[at]], ids[order[at]], place[order[at]]))]
+        else:
+            order = np.lexsort((x, ids, -score, key))
         key = key[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         rank = np.arange(len(key)) - np.repeat(starts, np.diff(np.r_[starts, len(key)]))
@@ -305,7 +314,7 @@ class Group:
         hit[:, width:] = False
         np.greater_equal(score, reach, out=hit[:, :width])
         eights = np.flatnonzero(hit.view(np.uint64))
-        if len(eights) > hit.size // 400:
+        if len(eights) > hit.size // 150:
             hit[:, :width] &= score <= self.cap[block, None].astype(score.dtype)
             many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 8 * self.best.keep)
             if len(many):
