@@ -268,7 +268,6 @@ class Group:
         self.x, self.label, self.norm = anchors.x[some], anchors.label[some], anchors.norm[some]
         self.q, self.angles = anchors.q[some], anchors.angles[some]
         self.best = Best(floor[some], cap[some], keep)
-        self.cap = self.best.cap.max(axis=1)
         self.hits: list[tuple] = []
         self.n_hits = 0
 
@@ -295,7 +294,7 @@ class Group:
             if not len(mine):
                 continue
             # an equal score matters with a smaller id only
-            reach = (self.best.least + (self.best.last < tiles.first_id[t])).min(axis=1)
+            reach = self.best.least + (self.best.last < tiles.first_id[t])
             for at in range(0, len(mine), BLOCK):
                 block = mine[at : at + BLOCK]
                 whole = block[-1] - block[0] == len(block) - 1
@@ -305,17 +304,22 @@ class Group:
 
     def take(self, block: np.ndarray, reach: np.ndarray, score: np.ndarray, rows: Rows, tile: np.ndarray) -> None:
         """Note the rows of a tile whose scores matter to a block of anchors."""
-        near = np.flatnonzero(score.max(axis=1) >= reach.astype(score.dtype))
+        reach = reach.astype(score.dtype)
+        near = np.flatnonzero(score.max(axis=1) >= reach.min(axis=1))
         if not len(near):
             return
-        block, score, reach = block[near], score[near], reach[near, None].astype(score.dtype)
+        block, score, reach = block[near], score[near], reach[near]
         width = score.shape[1]
         hit = np.empty((len(near), -(-width // 8) * 8), dtype=bool)  # looked through by eights
         hit[:, width:] = False
-        np.greater_equal(score, reach, out=hit[:, :width])
+        np.greater_equal(score, reach.min(axis=1, keepdims=True), out=hit[:, :width])
         eights = np.flatnonzero(hit.view(np.uint64))
         if len(eights) > hit.size // 150:
-            hit[:, :width] &= score <= self.cap[block, None].astype(score.dtype)
+            # many lie between or beyond the windows of the slots
+            hit[:, :width] = False
+            cap = self.best.cap[block].astype(score.dtype)
+            for s in range(self.best.slots):
+                hit[:, :width] |= (score >= reach[:, s, None]) & (score <= cap[:, s, None])
             many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 8 * self.best.keep)
             if len(many):
                 hit[many, :width] &= self.sift(block[many], score[many], rows, tile)

@@ -143,6 +143,20 @@ def test_bounds_are_for_tiles(monkeypatch):
     assert sum(bounded) < 0.05 * 80 * 4000
 
 
+def test_scores_between_windows_are_not_kept(monkeypatch):
+    """Where the windows of an anchor lie far apart, the scores between them are left alone."""
+    kept = []
+    real = negatives.Best.add
+    monkeypatch.setattr(negatives.Best, "add", lambda self, anchor, *a: kept.append(len(anchor)) or real(self, anchor, *a))
+    rng = np.random.default_rng(6)
+    t = table_of(rng.integers(-90, 90, (6000, 24)), np.repeat([0, 1], 3000), np.arange(6000))
+    cap = np.tile([40_000, 1000], (50, 1))
+    search = negatives.Search(negatives.Rows(t.slice(0, 50)), cap - 500, cap, 3, same=False)
+    for at in range(0, 6000, 1500):
+        search.add(negatives.Rows(t.slice(at, 1500)))
+    assert sum(kept) < 0.05 * 50 * 3000
+
+
 @pytest.mark.parametrize("same", [True, False])
 @pytest.mark.parametrize(("labels", "size"), [(3, 100), (3, 3000), (3, 2**30), (40, 100), (1, 100)])
 def test_search_in_parts(monkeypatch, same, labels, size):
